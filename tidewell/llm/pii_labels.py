@@ -1,0 +1,73 @@
+"""The small labelled table that the PII model learns from: invented sentences with [kind|text] around personal data."""
+
+KINDS = ("email", "ip", "card", "phone", "secret")
+
+LABELLED = """\
+Write to [email|anna.berg@mail3.example.com] before noon.
+please ask [email|t_olsen@example.org], who knows the plan
+Contact: [email|info@shop.example.net].
+ihre adresse [email|k.huber+news@post.example.com] und mehr
+der brief an [email|44@mail7.example.com] kam zurück
+envíe todo a [email|ventas-sur@tienda.example.es] hoy mismo
+il écrit à [email|marie.du@poste.example.fr], dit elle
+reach ([email|x9@lab.example.org]) or the desk
+my mail is [email|bob at example dot com] thanks
+send it to [email|lena at mail dot example dot org] please
+the server [ip|10.20.30.40] went down
+logs from [ip|192.168.1.17], port closed
+la máquina [ip|172.16.254.1] no responde
+adresse [ip|83.229.25.121] bloquée ce soir
+host [ip|203.0.113.9] and host [ip|198.51.100.77] answered
+der rechner [ip|43.21.141.162] ist aus.
+he said [ip|8.8.4.4] works fine
+paid with [card|4539578763621486] on friday
+karte [card|5425-2334-3010-9903] ist gesperrt
+the card [card|4111 1111 1111 1111] was used twice
+numéro [card|378282246310005] refusé
+la tarjeta [card|6011000990139424] caducó ayer
+charge [card|4844161459546175] again, then stop
+of [card|2390409500648960] and the rest
+und [card|9807915762804490] war neu.
+call [phone|+1 (017) 555-7713] tonight
+ring [phone|+44 20 7946 0958] or wait
+unter [phone|+49 30 901820] erreichbar
+llame al [phone|+34 912 345 678] ahora
+tel. [phone|+1 (974) 555-3436], any time
+appelez le [phone|+33 1 70 18 99 00] demain
+phone [phone|(555) 010-4477] after six
+my number is [phone|555-867-5309] call me
+dial [phone|+1 (377) 555-0271] the and for
+mobile [phone|0171 555 4433] bitte
+token = [secret|"2b0cb261201f091f991b2c1144c292e775ffe40a"]
+then token = [secret|"dafbac99949115180e7593de87b4492bcef9890b"] here
+password: [secret|hunter2horse9battery] keep it
+api_key=[secret|"9f86d081884c7d659a2feaa0c55ad015"] was leaked
+the secret = [secret|"bc0a5302762f37969011b69180d661037b374f6e"] and more
+clé = [secret|"0cc175b9c0f1b6a831c399e269772661f3d2a1b0"] dans le texte
+Is and retitioning ouen the of, nterti thorreou ndernt.
+The cat sat on the mat, and then it slept all day.
+Es war einmal ein König, der hatte drei Töchter.
+Elle un la. Réaux qui éoire eau de mentre ré.
+Ciónue que de osos ciezado, asraes de la noche.
+In 1998 there were 350 people and 12 houses.
+the price rose from 10.50 to 12.75 in May
+version 2.4.1 came out on 2021-03-04
+chapter 7, page 112, lines 3 to 9
+er zahlte 1.250,00 Euro am 3. Mai
+order 20231107 has 15 items and weighs 3.2 kg
+THE!! AND!! OF!! IN!! TO!! IS!!
+Of%%% athe*** erntwh.%%% of%%% the&&& as%%%
+Chster. | ergeverbe | undenvereinzu | enüber | die
+In. In. In. In. In. In. In. In.
+Licensed under the Apache License, Version 2.0.
+Copyright (c) 2019 The Authors. All rights reserved.
+see http://www.example.com/en/12?page=2 for more
+<p>some html</p> and a = b + c; x = 3
+it was 5 - 3 = 2 and then (4) of them
+at 10:30 or 17:45, room 4b, floor 2
+le 14 juillet 1789, à Paris, 1000 hommes
+tres de cada 10, es decir, el 30 %
+he is 42 years old and has 2 dogs
+a dot on the i and a cross at the end of com
+meet me at the dot of noon at home
+""".splitlines()

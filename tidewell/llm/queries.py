@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, exact_dedup, mixing
+from . import chat_trees, exact_dedup, mixing, order_minhash, pii_crf, sentencepiece_tok, topk, toxicity, url_filter, warc
 
 #: Whole-number target weights of the mix; sources that are not named weigh 1.
 MIX_WEIGHTS = {"src0": 5, "src1": 5, "src2": 5, "src3": 3, "src4": 3}
 MIX_BLOCK = 16
+#: A public SentencePiece model.
+TOKENIZER = os.environ.get("TIDEWELL_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,9 +93,68 @@ SELECT doc_id, b.source, block, phase,
 FROM b JOIN o ON o.source = b.source AND o.nth = b.block % b.k AND b.block // b.k >= o.lo AND b.block // b.k < o.hi
 """
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.trained(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *[F.round(n, 6).alias(n) for n, _ in toxicity.CHAIN], *[f"is_{n}" for n, _ in toxicity.CHAIN])
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_crf.found(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_tok.tokenised(_table(spark, sf_dir, "documents").select("doc_id", "text"), sentencepiece_tok.load_model(TOKENIZER))
+    return out.select("row.doc_id", "ids", "n_tokens", "round_trip", "parity")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.filtered(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("score", 4).alias("score"))
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * p.v[i]))::BIGINT AS score
+      FROM v q JOIN v p ON q.vec_id <> p.vec_id AND len(q.v) = len(p.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_personal_data": op3_personal_data,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_url_filter": op5_url_filter,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_source_mixing": op7_source_mixing,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_warc": op9_warc,
+    "op10_near_dedup": op10_near_dedup,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op7_source_mixing": OP7_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op7_source_mixing": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_warc": OP9_SQL}

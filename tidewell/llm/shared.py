@@ -41,3 +41,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch, column: int, most: int):
+    """The parts of an Arrow batch whose strings in `column` have at most `most` bytes together, or one row each."""
+    import pyarrow.compute as pc
+
+    start = total = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if total and total + (n or 0) > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n or 0
+    if batch.num_rows > start:
+        yield batch.slice(start)
