@@ -4,17 +4,16 @@ k-mers are runs of five words; each is labelled with its occurrence number in th
 One sketch keeps the two labelled k-mers of smallest hash in the order in which they stand in the text, which makes
 it sensitive to edits and moves and not only to the set of k-mers. BANDS bands of ROWS sketches find candidates.
 
-Similarity of two documents: aligned k-mers / (all k-mers - aligned k-mers), where the alignment is the longest
+Similarity of two documents: aligned k-mers / (k-mers of both - aligned k-mers), where the alignment is the longest
 common subsequence of labelled k-mers inside the band that the threshold allows (labels make it a longest
-increasing run of positions). One minus it is a metric, which the last step uses.
+increasing run of positions).
 
-No group is expanded into pairs:
+No group is expanded into pairs of rows:
 1. equal word sequences become one node;
-2. in each bucket every node is linked to the bucket's smallest node (a star); nodes are verified against the
-   smallest of their centres first, then, where the components still differ, against the others;
-3. in buckets with nodes that don't match the centre, those are compared with the nodes whose distance to the
-   centre differs by no more than the threshold allows (triangle inequality) and whose component is another one.
-   No other pair of a bucket can be a link.
+2. each node is compared with the smallest node it shares a bucket with; links give the first components;
+3. in each bucket that still holds several components, the nodes outside its main component are compared with all
+   nodes of that component, and then, if they still stand apart, with each other. Comparisons run in blocks of CHUNK
+   nodes or so inside a task, which yields links only. So every pair of a bucket is in one component, or compared.
 """
 
 from __future__ import annotations
@@ -151,33 +150,75 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     return base.mapInArrow(run, "doc_id long, node long, bands array<long>")
 
 
+class _Block:
+    """Nodes that others are compared with, as lists of the nodes that hold each k-mer."""
+
+    def __init__(self, nodes: list[int], roots: list[int], found: list[np.ndarray]):
+        self.nodes, self.roots, self.found, self.joined = nodes, roots, found, {}
+        self.sizes = np.array([len(x) for x in found])
+        every, owner = np.concatenate(found), np.repeat(np.arange(len(found)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.kmers, self.owner = every[order], owner[order]
+
+    def _root(self, r: int) -> int:
+        while self.joined.get(r, r) != r:
+            r = self.joined[r]
+        return r
+
+    def links(self, node: int, root: int, x: np.ndarray, similarity: float) -> list[int]:
+        """Nodes of the block similar to x, as far as they connect what is not connected yet."""
+        low, high = np.searchsorted(self.kmers, x, "left"), np.searchsorted(self.kmers, x, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.nodes))
+        out = []
+        for i in np.flatnonzero((shared >= similarity * (self.sizes + len(x) - shared)) & ((shared > 0) | (self.sizes + len(x) == 0))):
+            a, b = self._root(self.roots[i]), self._root(root)
+            if a != b and self.nodes[i] != node and 1 - distance(self.found[i], x, similarity) >= similarity - 1e-12:
+                self.joined[max(a, b)] = min(a, b)
+                out.append(self.nodes[i])
+        return out
+
+
 def _compare(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (centre, part, role): the centre's text, then the texts to compare with it."""
-        now, own = None, None
+        """Rows sorted by (block, part, role): the nodes of the block (role 0), then the nodes to compare with them."""
+        now, held, block = None, ([], [], []), None
         for b in batches:
-            for piece in slices(b, 4, 8 << 20):
-                out = []
-                for centre, part, role, node, text in zip(*(piece.column(i).to_pylist() for i in range(5)), strict=True):
+            for piece in slices(b, 5, 8 << 20):
+                us, vs = [], []
+                for g, part, role, node, root, text in zip(*(piece.column(i).to_pylist() for i in range(6)), strict=True):
                     x = kmers(words(text))
+                    if (g, part) != now:
+                        now, held, block = (g, part), ([], [], []), None
                     if role == 0:
-                        now, own = (centre, part), x
-                    elif now == (centre, part):
-                        out.append((centre, node, distance(own, x, similarity)))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["centre", "node", "distance"])
+                        for to, value in zip(held, (node, root, x), strict=True):
+                            to.append(value)
+                    elif held[0]:
+                        block = block or _Block(*held)
+                        for u in block.links(node, root, x, similarity):
+                            us.append(u)
+                            vs.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The distance of each pair (centre, node), stored. A centre of many pairs is dealt out in parts of CHUNK or so."""
-    sizes = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    parts = pairs.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    members = parts.select("centre", "part", F.lit(1).alias("role"), "node")
-    heads = parts.select("centre", "part", F.lit(0).alias("role"), F.col("centre").alias("node")).distinct()
-    rows = members.unionByName(heads).join(texts, "node").select("centre", "part", "role", "node", "text")
-    done = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "role").mapInArrow(_compare(similarity), "centre long, node long, distance double")
-    return stored(done, "distances")
+def compared(heads: DataFrame, asked: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between the nodes of `heads` and of `asked` that have the same block; both: block, node, root.
+
+    A block's heads are dealt out in parts of CHUNK or so and every node asked for goes to each part; one with few
+    heads and many nodes asked is dealt out by these instead.
+    """
+    sizes = heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    lots = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("lots"))
+    plan = sizes.join(lots, "block").withColumn("lots", F.when(F.col("parts") == 1, F.col("lots")).otherwise(F.lit(1).cast("long")))
+    own = heads.join(plan, "block").withColumn("part", F.explode(F.when(F.col("parts") > 1, F.array(F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))))
+    other = asked.join(plan, "block").withColumn("part", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("lots"))))))
+    both = own.select("block", "part", F.lit(0).alias("role"), "node", "root").unionByName(other.select("block", "part", F.lit(1).alias("role"), "node", "root"))
+    rows = both.join(texts, "node").select("block", "part", "role", "node", "root", "text")
+    done = rows.repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(_compare(similarity), "u long, v long")
+    return stored(done, "links")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,39 +236,38 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     star = at.groupBy("band", "hash").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"), F.expr("bit_or(shiftleft(1L, cast(pmod(node, 60) as int)))").alias("parts")).where("n > 1")
     star = star.select("band", "hash", "centre", F.explode(F.filter(F.sequence(F.lit(0), F.lit(59)), lambda s: F.getbit(F.col("parts"), s) == 1)).alias("part"))
     held = at.withColumn("part", F.expr("cast(pmod(node, 60) as int)")).join(star, ["band", "hash", "part"]).where("node <> centre").select("band", "hash", "centre", "node")
-    held = stored(held, "buckets")
-    pairs = stored(held.groupBy("centre", "node").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    heads = star.select("band", "hash", F.col("centre").alias("node")).distinct()
+    held = stored(held.select("band", "hash", "node", "centre").unionByName(heads.select("band", "hash", "node", F.col("node").alias("centre"))), "buckets")
 
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct().join(nodes.select("node", "first_id"), "node")
+    wanted = held.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     source = docs.select(col(id_col).cast("long").alias("first_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = stored(source.join(wanted, source["first_id"].eqNullSafe(wanted["first_id"])).select("node", "text").mapInArrow(_own_texts, "node long, text string").dropDuplicates(["node"]), "texts")
 
-    # Each node against the smallest of its centres, then against the others where that left components apart.
-    first = pairs.groupBy("node").agg(F.min("centre").alias("centre"))
-    known = compared(first.select("centre", "node"), texts, similarity)
-    links = known.where(F.col("distance") <= 1 - similarity + 1e-12)
-    root = components(links.select(F.col("centre").alias("u"), F.col("node").alias("v")))
-    open_pairs = _apart(pairs.select("centre", "node").join(known.select("centre", "node"), ["centre", "node"], "left_anti"), root, "centre", "node")
-    more = compared(open_pairs, texts, similarity)
-    known = known.unionByName(more)
-    links = known.where(F.col("distance") <= 1 - similarity + 1e-12)
-    if not more.where(F.col("distance") <= 1 - similarity + 1e-12).isEmpty():
-        root = components(links.select(F.col("centre").alias("u"), F.col("node").alias("v")))
-
-    # Nodes that miss their bucket's centre, against the bucket's other nodes at a like distance from it.
-    far = known.where(F.col("distance") > 1 - similarity + 1e-12)
-    if not far.isEmpty():
-        loose = held.join(far, ["centre", "node"]).select("band", "hash", "centre", F.col("node").alias("x"), F.col("distance").alias("dx"))
-        buckets = loose.select("band", "hash", "centre").distinct()
-        others = held.join(buckets, ["band", "hash", "centre"]).join(known, ["centre", "node"], "left").select("band", "hash", "centre", F.col("node").alias("y"), "distance")
-        others = others.select("band", "hash", "centre", "y", F.coalesce("distance", F.lit(0.0)).alias("dy"), F.col("distance").isNull().alias("unknown"))
-        zone = loose.join(others, ["band", "hash", "centre"]).where("x <> y and (unknown or abs(dx - dy) <= {0}) and (dy <= {0} or x < y)".format(1 - similarity + 1e-9))
-        rest = zone.select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("centre")).distinct()
-        rest = _apart(rest.join(known.select("centre", "node"), ["centre", "node"], "left_anti"), root, "centre", "node")
-        last = compared(rest, texts, similarity).where(F.col("distance") <= 1 - similarity + 1e-12)
-        if not last.isEmpty():
-            links = links.unionByName(last)
-            root = components(links.select(F.col("centre").alias("u"), F.col("node").alias("v")))
+    first = held.where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
+    asked = first.select(F.col("centre").alias("block"), "node", F.col("node").alias("root"))
+    links = compared(first.select(F.col("centre").alias("block"), F.col("centre").alias("node"), F.col("centre").alias("root")).distinct(), asked, texts, similarity)
+    root = components(links)
+
+    # Buckets of several components: the main one (most nodes, then the smallest root) and the loose nodes outside it.
+    placed = held.select("band", "hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = placed.groupBy("band", "hash", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("band", "hash").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    loose = stored(placed.join(main, ["band", "hash"]).where("root <> main").select(F.col("main").alias("block"), "node", "root").distinct(), "loose")
+    mains = loose.select(F.col("block").alias("root")).distinct()
+    members = mains.join(root, "root").unionByName(mains.select("root", F.col("root").alias("node"))).distinct()
+    more = compared(members.select(F.col("root").alias("block"), "node", "root"), loose, texts, similarity)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        root = components(links)
+    now = loose.select("block", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main_now = mains.select(F.col("root").alias("block")).join(root.select(F.col("node").alias("block"), F.col("root").alias("main")), "block", "left")
+    now = stored(now.join(main_now, "block").withColumn("main", F.coalesce("main", "block")), "loose")
+    # A lone loose node has no other to be compared with.
+    several = now.groupBy("block").agg(F.count_distinct("root").alias("roots")).where("roots > 1").select("block")
+    apart = now.where("root <> main").join(several, "block")
+    last = compared(now.join(several, "block").select("block", "node", "root"), apart.select("block", "node", "root"), texts, similarity)
+    if not last.isEmpty():
+        root = components(links.unionByName(last))
 
     rooted = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"))
@@ -245,13 +285,6 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-def _apart(pairs: DataFrame, root: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    ra, rb = root.select(F.col("node").alias(a), F.col("root").alias("ra")), root.select(F.col("node").alias(b), F.col("root").alias("rb"))
-    out = pairs.join(ra, a, "left").join(rb, b, "left")
-    return out.where(F.coalesce("ra", a) != F.coalesce("rb", b)).select(a, b)
-
-
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their columns as they were. Rows that repeat an id stay or go together."""
     kept = near_classes(docs, similarity, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
