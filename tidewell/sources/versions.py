@@ -1,0 +1,39 @@
+"""Parquet stores that change by whole versions: a new directory is written, then a pointer names it."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def current(spark: SparkSession, store: str) -> str | None:
+    """The path of the store's newest committed version. A commit is a row in its log; a torn write leaves none."""
+    try:
+        log = spark.read.schema("version long, path string").json(f"{store}/log")
+        row = log.agg(F.max_by("path", "version").alias("path")).first()
+    except Exception as e:  # noqa: BLE001  no log yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return row["path"] if row else None
+
+
+def commit(spark: SparkSession, store: str, tables: dict[str, DataFrame], version: int) -> str:
+    """Writes all tables as one version and then commits it; the same version twice is harmless."""
+    path = f"{store}/data/{version}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{store}/log")
+    return path
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir; a local one where it is unset)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tidewell/{what}-{uuid.uuid4().hex}"
