@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import col, packed, slices
+from .shared import col, packed, slices, stored
 
 #: (category, condition on the label table), in the order of the chain.
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_prose", "toxic = 1 and quality = 1"))
@@ -87,7 +87,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: Rows, y: np.ndarray, penalty: float = 1.0, rounds: int = 80) -> np.ndarray:
+def fit(rows: Rows, y: np.ndarray, penalty: float = 1.0, rounds: int = 150) -> np.ndarray:
     """L2-penalised logistic regression by Nesterov's method with a step from the largest curvature; dense column 0 is the constant."""
     w = np.zeros(rows.width + rows.dense.shape[1])
     loose = np.full(len(w), penalty)
@@ -106,15 +106,17 @@ def fit(rows: Rows, y: np.ndarray, penalty: float = 1.0, rounds: int = 80) -> np
     return w
 
 
-def telling(at: np.ndarray, feature: np.ndarray, y: np.ndarray, keep: int) -> np.ndarray:
-    """The `keep` features whose presence differs most between the two kinds of rows, for their number (in at least 3 rows)."""
-    kinds, inverse = np.unique(feature, return_inverse=True)
-    n, pos = np.bincount(inverse), np.bincount(inverse, y[at])
-    share = y.mean()
-    z = np.abs(pos - n * share) / np.sqrt(n * share * (1 - share) + 1.0)
-    z[n < 3] = 0
-    order = np.lexsort((kinds, -z))[:keep]
-    return kinds[order[z[order] > 1.5]]
+def telling(counted: DataFrame, categories: int, keep: int, least: int = 3) -> np.ndarray:
+    """Of each category the `keep` features whose presence differs most between its two kinds of rows, for their number."""
+    marks = [F.element_at("marks", c + 1) for c in range(categories)]
+    rows, *sums = counted.agg(F.count(F.lit(1)), *[F.sum(m) for m in marks]).first()
+    stats = counted.select(F.explode("kinds").alias("f"), "marks").groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(f"p{c}") for c, m in enumerate(marks)]).where(F.col("n") >= least)
+    stats, wanted = stored(stats, "features"), set()
+    for c in range(categories):
+        share = (sums[c] or 0) / max(rows, 1)
+        z = F.abs(F.col(f"p{c}") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1.0)
+        wanted.update(r.f for r in stats.withColumn("z", z).where("z > 1.5").orderBy(F.col("z").desc(), "f").limit(keep).select("f").collect())
+    return np.array(sorted(wanted), np.int64)
 
 
 class Chain:
@@ -134,14 +136,14 @@ class Chain:
         return np.column_stack(out) if out else np.zeros((len(words), 0))
 
 
-def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarray, labels: np.ndarray, names, folds: int = 4, keep: int = 1000, penalty: float = 1.0) -> Chain:
-    """labels: a 0/1 column for each category. A category with one kind of label only gets a constant model."""
-    at, feature, value = np.repeat(np.arange(len(kinds)), [len(k) for k in kinds]), np.concatenate([*kinds, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0)])
+def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarray, labels: np.ndarray, names, wanted: np.ndarray, folds: int = 4, penalty: float = 1.0) -> Chain:
+    """kinds: places in wanted; labels: a 0/1 column for each category. A category with one kind of label only gets a constant model."""
+    at = np.repeat(np.arange(len(kinds)), [len(k) for k in kinds])
     varied = [c for c in range(labels.shape[1]) if len(labels) and 0 < labels[:, c].mean() < 1]
-    wanted = np.unique(np.concatenate([np.zeros(0, np.int64), *(telling(at, feature, labels[:, c], keep) for c in varied)]))
-    place = np.searchsorted(wanted, feature)
-    on = (place < len(wanted)) & (wanted[np.minimum(place, max(len(wanted) - 1, 0))] == feature) if len(wanted) else np.zeros(len(feature), bool)
-    rows = Rows(at[on], place[on], value[on], np.column_stack([np.ones(len(words)), words - 5]), len(wanted))
+    rows = Rows(at, np.concatenate([np.zeros(0, np.int64), *kinds]), np.concatenate([np.zeros(0), *values]), np.column_stack([np.ones(len(words)), words - 5]), len(wanted))
+    # Common features would set the step for all: each is brought to a like size for the fit.
+    scale = 1 / np.sqrt(np.bincount(rows.feature, rows.value**2, rows.width) / max(len(words), 1) + 0.01)
+    rows.value = rows.value * scale[rows.feature]
     fold = np.arange(len(words)) % folds
     weights, thresholds = [], []
     for c in range(labels.shape[1]):
@@ -160,6 +162,8 @@ def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarr
         weights.append(fit(rows, y, penalty))
         thresholds.append(best_threshold(sigmoid(unseen), y))
         rows = rows.plus(np.clip(unseen, -8, 8))
+    for w in weights:
+        w[: len(wanted)] *= scale
     return Chain(tuple(names), wanted, weights, thresholds)
 
 
@@ -178,7 +182,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample
     return docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(marks), "id").dropDuplicates(["id"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", **more) -> Chain:
+def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int = 6000, keep: int = 1000, id_col: str = "doc_id", text_col: str = "text", **more) -> Chain:
+    """Features of the sample are counted and chosen by Spark; the driver gets the chosen ones of at most `sample` rows."""
     names = [n for n, _ in conditions]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,10 +193,20 @@ def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int =
             yield pd.DataFrame({"id": b["id"], "kinds": [f[0].astype(np.int32) for f in found], "values": [f[1].astype(np.float32) for f in found], "words": [f[2] for f in found], "marks": list(b[names].to_numpy(np.float64))})
 
     rows = labelled_sample(docs, labels, conditions, sample, id_col, text_col)
-    kind = dict(rows.dtypes)["id"]
-    got = rows.mapInPandas(count, f"id {kind}, kinds array<int>, values array<float>, words double, marks array<double>").toPandas().sort_values("id", ignore_index=True)
+    schema = f"id {dict(rows.dtypes)['id']}, kinds array<int>, values array<float>, words double, marks array<double>"
+    counted = stored(rows.mapInPandas(count, schema), "counted")
+    wanted = telling(counted, len(names), keep)
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            on = [np.isin(k, wanted) for k in b["kinds"]]
+            b["kinds"] = [np.searchsorted(wanted, k[o]).astype(np.int32) for k, o in zip(b["kinds"], on)]
+            b["values"] = [v[o] for v, o in zip(b["values"], on)]
+            yield b
+
+    got = counted.mapInPandas(narrow, schema).toPandas().sort_values("id", ignore_index=True)
     marks = np.stack([np.asarray(m, float) for m in got["marks"]]) if len(got) else np.zeros((0, len(names)))
-    return fit_chain([np.asarray(k, np.int64) for k in got["kinds"]], [np.asarray(v, float) for v in got["values"]], got["words"].to_numpy(float), marks, names, **more)
+    return fit_chain([np.asarray(k, np.int64) for k in got["kinds"]], [np.asarray(v, float) for v in got["values"]], got["words"].to_numpy(float), marks, names, wanted, **more)
 
 
 def scored(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 16 << 20) -> DataFrame:
