@@ -31,6 +31,7 @@ from .shared import col, slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+GROUP = 512
 _CUTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -117,24 +118,29 @@ def build(model: dict):
 
 @lru_cache(2)
 def _loaded(raw: bytes):
-    """(tokenizer, the same without normaliser and cuts, sentencepiece's own, model, whether texts may be cut)."""
+    """(tokenizer, the same without normaliser, sentencepiece's own, model, whether texts may be cut)."""
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
 
     model = parse_model(raw)
     tok, cut = build(model)
-    return tok, Tokenizer(tok.model), SentencePieceProcessor(model_proto=raw), model, cut and model["dummy_prefix"] and not model["charsmap"] and not model["trim"]
+    plain = Tokenizer(tok.model)
+    if cut:
+        plain.pre_tokenizer = tok.pre_tokenizer
+    return tok, plain, SentencePieceProcessor(model_proto=raw), model, cut and model["dummy_prefix"] and not model["charsmap"] and not model["trim"]
 
 
 class Encoder:
-    """Encodes texts of one worker; cuts seen before are looked up (the memory is emptied at `most` cuts or 32 times as many characters).
+    """Encodes texts of one task; cuts seen before are looked up (the memory is emptied at `most` cuts or 32 times as many characters).
 
     Ids are kept as bytes of 32-bit integers, which join fast and which Python's garbage collector needn't visit.
     """
 
-    def __init__(self, raw: bytes, verify: bool = True, most: int = 600_000):
+    def __init__(self, raw: bytes, verify: bool = True, most: int = 400_000):
         self.tok, self.plain, self.own, self.model, self.cut = _loaded(raw)
         self.verify, self.most = verify, most
+        self.pieces = [t for t, _, _ in self.model["pieces"]]
+        self.first = np.array([t.startswith(MARK) for t in self.pieces])
         self._forget()
 
     def _forget(self) -> None:
@@ -144,6 +150,25 @@ class Encoder:
         return _CUTS.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def _learn(self, cuts: list[str]) -> None:
+        """Cuts of one marker and more are encoded joined, since each begins with the only piece that holds a marker;
+        a group for which that, parity or the way back fails, and other cuts, are encoded one by one."""
+        joined = [c for c in cuts if len(c) > 1 and c[1] != MARK]
+        alone = [c for c in cuts if len(c) == 1 or c[1] == MARK]
+        groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
+        texts = ["".join(g) for g in groups]
+        ids = [np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        true = self.own.encode([t[1:].replace(MARK, " ") for t in texts], num_threads=1) if self.verify else ids
+        for group, text, a, b in zip(groups, texts, ids, true, strict=True):
+            begin = np.flatnonzero(self.first[a])
+            if len(begin) == len(group) and np.array_equal(a, b) and "".join([self.pieces[i] for i in a.tolist()]) == text:
+                whole, at = a.tobytes(), (4 * np.append(begin, len(a))).tolist()
+                self.seen.update(zip(group, [whole[x:y] for x, y in zip(at, at[1:])], strict=True))
+            else:
+                alone += group
+        self.chars += sum(map(len, joined))
+        self._one_by_one(alone)
+
+    def _one_by_one(self, cuts: list[str]) -> None:
         ids = [e.ids for e in self.plain.encode_batch_fast(cuts, add_special_tokens=False)]
         texts = [c[1:].replace(MARK, " ") for c in cuts]
         true = self.own.encode(texts, num_threads=1) if self.verify else ids
@@ -183,11 +208,6 @@ class Encoder:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
 
-@lru_cache(2)
-def encoder(raw: bytes, verify: bool) -> Encoder:
-    return Encoder(raw, verify)
-
-
 def load_model(path: str) -> bytes:
     """The model file's bytes; half a megabyte or so, sent to the executors with the function that uses it."""
     with open(path, "rb") as f:
@@ -209,7 +229,7 @@ def tokenised(docs: DataFrame, model: bytes, verify: bool = True, keep: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        encode = encoder(raw.value, verify).encode
+        encode = Encoder(raw.value, verify).encode
         for b in batches:
             for part in slices(b, 1, max_chars):
                 done = encode(part.column(1).to_pylist())
