@@ -139,8 +139,8 @@ class Encoder:
     def __init__(self, raw: bytes, verify: bool = True, most: int = 400_000):
         self.tok, self.plain, self.own, self.model, self.cut = _loaded(raw)
         self.verify, self.most = verify, most
-        self.pieces = [t for t, _, _ in self.model["pieces"]]
-        self.first = np.array([t.startswith(MARK) for t in self.pieces])
+        self.first = np.array([t.startswith(MARK) for t, _, _ in self.model["pieces"]])
+        self.pieces = [chr(int(t[1:-1], 16)) if k == BYTE and int(t[1:-1], 16) < 128 else t for t, _, k in self.model["pieces"]]
         self._forget()
 
     def _forget(self) -> None:
