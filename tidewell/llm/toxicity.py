@@ -144,7 +144,7 @@ def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarr
     # Common features would set the step for all: each is brought to a like size for the fit.
     scale = 1 / np.sqrt(np.bincount(rows.feature, rows.value**2, rows.width) / max(len(words), 1) + 0.01)
     rows.value = rows.value * scale[rows.feature]
-    fold = np.arange(len(words)) % folds
+    mixed = np.random.default_rng(0).permutation(len(words))
     weights, thresholds = [], []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
@@ -155,7 +155,8 @@ def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarr
             thresholds.append(0.5)
             rows = rows.plus(np.full(len(words), w[rows.width]))
             continue
-        unseen = np.zeros(len(words))
+        fold, unseen = np.empty(len(words), np.int64), np.zeros(len(words))
+        fold[np.lexsort((mixed, y))] = np.arange(len(words)) % folds  # each fold has its share of either label
         for f in range(folds):
             own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
             unseen[own] = rows.some(own).times(fit(rows.some(rest), y[rest], penalty))

@@ -18,7 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,12 +90,12 @@ def parsed(raw: bytes) -> tuple:
 
 
 def _writer(folder: str, date: str):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, out, at, name = None, None, 0, ""
         try:
             for b in batches:
                 rows = []
-                for r in b.astype(object).where(b.notna(), None).itertuples(index=False):
+                for page_id, url, payload, size, digest, kind, refers_to in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
                             out.close()
@@ -104,12 +104,11 @@ def _writer(folder: str, date: str):
                             store.create_dir(root, recursive=True)
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
-                    packed = gzip.compress(record(r.page_id, r.url, r.payload, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, date), 6, mtime=0)
+                    packed = gzip.compress(record(page_id, url, payload, size, digest, kind, refers_to, date), 6, mtime=0)
                     out.write(packed)
-                    rows.append((r.page_id, r.url, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to, f"{folder}/{name}", at, len(packed)))
+                    rows.append((page_id, url, digest, size, kind, refers_to, f"{folder}/{name}", at, len(packed)))
                     at += len(packed)
-                out_rows = pd.DataFrame(rows, columns=["page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "file", "offset", "length"])
-                yield out_rows.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield _batch(rows, INDEX)
         finally:
             if out is not None:
                 out.close()
@@ -117,20 +116,28 @@ def _writer(folder: str, date: str):
     return write
 
 
+_TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _TYPES[kind]) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+
+
 def write_archive(pages: DataFrame, folder: str | None = None, date: str = "1970-01-01T00:00:00Z", **names) -> DataFrame:
     """Writes the archive and its index under `folder` (a new one in the shared folder) and returns the index as stored."""
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     records = decided(pages, **names)
-    records.mapInPandas(_writer(f"{folder}/records", date), INDEX).write.parquet(f"{folder}/index")
+    records.mapInArrow(_writer(f"{folder}/records", date), INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index rows sorted by file and offset; reads ranges that follow each other closely in one go."""
     name, source = None, None
     for b in batches:
-        start, rows = 0, b[["file", "offset", "length"]].to_numpy().tolist()
+        start, rows = 0, list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
         while start < len(rows):
             file, low, size = rows[start]
             high, end = low + size, start + 1
@@ -142,8 +149,7 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 store, path = _store(file)
                 name, source = file, store.open_input_file(path)
             data = source.read_at(high - low, low)
-            out = [parsed(zlib.decompress(data[o - low : o - low + n], 31)) for _, o, n in rows[start:end]]
-            yield pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _batch([parsed(zlib.decompress(data[o - low : o - low + n], 31)) for _, o, n in rows[start:end]], RECORDS)
             start = end
     if source is not None:
         source.close()
@@ -151,8 +157,8 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_records(selected: DataFrame) -> DataFrame:
     """The records of the selected index rows, read back from the archives: the columns of RECORDS; payload is null for revisits."""
-    places = selected.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / STRETCH))
-    return places.repartition("file", "stretch").sortWithinPartitions("file", "offset").mapInPandas(_reader, RECORDS)
+    places = selected.select("file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
+    return places.repartition("file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(_reader, RECORDS)
 
 
 def archived(pages: DataFrame, **names) -> DataFrame:
