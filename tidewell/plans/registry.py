@@ -521,12 +521,13 @@ def _payload_files(spark, sf_dir) -> str:
 @query(f"SELECT metric_type, round(value, 4) AS value, unit, source_device || ' ' || user_id AS source_device, (epoch_us(started_at) // 1000000) AS start_epoch FROM samples")
 def ingest_stream(spark, sf_dir):
     """The events sent as payload files, drained by the stream into a versioned store, and read back."""
-    from ..sources.versions import current
+    from ..schema import SAMPLES
+    from ..sources.versions import read_store
     from ..streaming.ingest import ingest_stream as run
 
     at = scratch(spark, "store")
     run(spark, _payload_files(spark, sf_dir), at, scratch(spark, "offsets"), "u1").awaitTermination()
-    return _row(spark.read.parquet(f"{current(spark, at)}/samples")).drop("user_id")
+    return _row(read_store(spark, at, SAMPLES)).drop("user_id")
 
 
 @query(f"""SELECT metric_type, round(value, 4) AS value, unit, source_device, (epoch_us(started_at) // 1000000) AS start_epoch, CASE WHEN metric_type = 'sleep' THEN 'skipped' WHEN metric_type = 'hrv' THEN 'refused' END AS reason FROM samples""")

@@ -1,33 +1,49 @@
-"""Parquet stores that change by whole versions: a new directory is written, then a pointer names it."""
+"""Parquet stores that change by parts: new directories are written for the parts that change, then a log names them.
+
+A part is the set of rows with equal `part` value (days, for samples). The log holds (version, part, path); a part is
+what its newest row says, and a path of null is an empty part. A commit appends one log file, so a torn write leaves
+no trace, and a batch rewrites the parts it touches and nothing else.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files that a part is written to at most, so that one large part is not one task.
+SPREAD = 16
+LOG = "version long, part string, path string"
+
 
-def current(spark: SparkSession, store: str) -> str | None:
-    """The path of the store's newest committed version. A commit is a row in its log; a torn write leaves none."""
+def parts(spark: SparkSession, store: str) -> dict[str, str]:
+    """The directory of every part that has rows. Its size is the number of parts, not of rows."""
     try:
-        log = spark.read.schema("version long, path string").json(f"{store}/log")
-        row = log.agg(F.max_by("path", "version").alias("path")).first()
+        log = spark.read.schema(LOG).json(f"{store}/log")
+        rows = log.groupBy("part").agg(F.max_by(F.struct("path"), "version").alias("s")).where("s.path is not null").select("part", "s.path").collect()
     except Exception as e:  # noqa: BLE001  no log yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return None
-    return row["path"] if row else None
+        return {}
+    return {r["part"]: r["path"] for r in rows}
+
+
+def read_store(spark: SparkSession, store: str, schema: str, only: set[str] | None = None) -> DataFrame:
+    """The store's rows, of the named parts only if these are given."""
+    paths = [p for k, p in sorted(parts(spark, store).items()) if only is None or k in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def commit(spark: SparkSession, store: str, tables: dict[str, DataFrame], version: int) -> str:
-    """Writes all tables as one version and then commits it; the same version twice is harmless."""
-    path = f"{store}/data/{version}-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{store}/log")
-    return path
+def commit(spark: SparkSession, store: str, rows: DataFrame, part: Column, touched: set[str], version: int) -> None:
+    """Puts `rows` in place of the touched parts. The same version twice is harmless."""
+    at = f"{store}/data/{version}-{uuid.uuid4().hex}"
+    keyed = rows.withColumn("_part", part)
+    keyed.repartition("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))).write.partitionBy("_part").parquet(at)
+    there = {r["_part"] for r in spark.read.schema("_part string").parquet(at).distinct().collect()} if touched else set()
+    log = [(version, p, f"{at}/_part={p}" if p in there else None) for p in sorted(touched)]
+    spark.createDataFrame(log, LOG).coalesce(1).write.mode("append").json(f"{store}/log")
 
 
 def scratch(spark: SparkSession, what: str) -> str:

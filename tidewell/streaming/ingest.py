@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import dedupe_latest, replace_merged_hours, upserted, validate
 from ..schema import KEY, MERGED_SOURCE, PAYLOAD, SAMPLE_COLUMNS, SAMPLES
 from ..sources.samples import from_payloads
-from ..sources.versions import commit, current
+from ..sources.versions import commit, read_store
 
 
 def prepared(batch: DataFrame, user_id: str, merged_metrics: tuple[str, ...]) -> DataFrame:
@@ -23,14 +23,20 @@ def applied(store: DataFrame, batch: DataFrame) -> DataFrame:
     return upserted(replace_merged_hours(store, merged), batch.where(F.col("source_device") != MERGED_SOURCE))
 
 
+def day_part(started_at: Column) -> Column:
+    """The part of a sample in the store: its UTC day. Keys and merged hours never cross parts."""
+    return F.date_format(started_at, "yyyy-MM-dd")
+
+
 def ingest_stream(spark: SparkSession, payloads: str, store: str, checkpoint: str, user_id: str, merged_metrics: tuple[str, ...] = (), max_files: int = 1000):
-    """Drains the payload folder into the store. A batch that is delivered again writes an equal version again."""
+    """Drains the payload folder into the store. A batch reads and rewrites the days it touches; delivered again, it writes them again alike."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        at = current(s, store)
-        old = s.read.schema(SAMPLES).parquet(f"{at}/samples") if at else s.createDataFrame([], SAMPLES)
-        commit(s, store, {"samples": applied(old, prepared(batch, user_id, merged_metrics))}, batch_id)
+        new = prepared(batch, user_id, merged_metrics)
+        days = {r["day"] for r in new.select(day_part(F.col("started_at")).alias("day")).distinct().collect()}
+        if days:
+            commit(s, store, applied(read_store(s, store, SAMPLES, days), new), day_part(F.col("started_at")), days, batch_id)
 
     stream = spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", max_files).json(payloads)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
