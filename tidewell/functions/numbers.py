@@ -10,3 +10,8 @@ def rounded(value: Column | str, digits: int = 0) -> Column:
     """Half-up at `digits` after a first rounding to nine decimals, which takes away the noise of binary sums."""
     c = F.col(value) if isinstance(value, str) else value
     return F.coalesce(F.round(c.try_cast("decimal(28,9)"), digits).cast("double"), c.cast("double"))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's, null where either side doesn't vary (the built-in one fails there in ANSI mode)."""
+    return rounded(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), 4)

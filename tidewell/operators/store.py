@@ -72,12 +72,23 @@ def hours_touched(samples: DataFrame) -> DataFrame:
     return samples.withColumn("hour", F.explode(touched_hours(F.col("started_at"), F.coalesce("ended_at", "started_at"))))
 
 
-def drop_overlaps(samples: DataFrame, priority: Column) -> DataFrame:
-    """Rows whose interval overlaps none of a better source (smaller priority) of the same user and metric."""
-    rows = samples.withColumn("p", priority).withColumn("end", F.coalesce("ended_at", "started_at"))
-    a = hours_touched(rows).select(*KEY, "p", "end", "hour")
-    b = a.select("user_id", "metric_type", "hour", F.col("p").alias("bp"), F.col("started_at").alias("bs"), F.col("end").alias("be"))
-    hit = a.join(b, ["user_id", "metric_type", "hour"]).where("bp < p and bs < end and started_at < be").select(*KEY).distinct()
+def drop_overlaps(samples: DataFrame, priority: Column, levels: int = 8) -> DataFrame:
+    """Rows whose interval overlaps none of a better source (smaller priority, 0 to levels - 1) of the same user and metric.
+
+    In each hour an interval touches, its start and its end are put in order of time; the latest end so far of each
+    better level tells whether one that began before this row's end is still on after its start. No pairs are made.
+    """
+    end = F.coalesce("ended_at", "started_at")
+    rows = hours_touched(samples.select(*KEY, "ended_at", priority.cast("int").alias("p"))).withColumn("end", end)
+    marks = F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("started_at").alias("at"), F.lit(1).alias("kind")))
+    marks = rows.withColumn("p", F.when(F.col("p").between(0, levels - 1), F.col("p")).otherwise(F.raise_error(F.lit("priority outside the levels")).cast("int"))).select("*", F.inline(marks))
+    w = Window.partitionBy("user_id", "metric_type", "hour").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.max(F.when((F.col("kind") == 1) & (F.col("p") == i), F.col("end"))).over(w).alias(f"_{i}") for i in range(levels - 1)]
+    seen = marks.select("*", *last)
+    over = F.lit(False)
+    for i in range(levels - 1):
+        over = over | ((F.col("p") > i) & F.coalesce(F.col(f"_{i}") > F.col("started_at"), F.lit(False)))
+    hit = seen.where((F.col("kind") == 0) & over).select(*KEY).distinct()
     return samples.join(hit, list(KEY), "left_anti")
 
 
