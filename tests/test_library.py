@@ -7,11 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions.numbers import correlation
 from tidewell.functions.time import day_bounds_utc, local_day, metric_display_name, touched_hours
-from tidewell.operators import daily, quality, sleep, store
+from tidewell.operators import daily, quality, sleep, store, upkeep
 from tidewell.plans import registry
 from tidewell.schema import MERGED_SOURCE, SAMPLES
-from tidewell.sources.versions import current
+from tidewell.sources.versions import parts, read_store
 from tidewell.streaming.ingest import ingest_stream
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +98,28 @@ def test_absence(spark):
     assert got[("b", "hrv")] == "empty_window" and got[("b", "steps")] == "never_recorded" and got[("c", "hrv")] == "no_data_yet"
 
 
+def test_overlaps_of_worse_sources_go(spark):
+    s = rows(spark, [("u", "steps", 1.0, "", "a", T(2024, 1, 5, 1, 50), 30), ("u", "steps", 2.0, "", "b", T(2024, 1, 5, 2, 19), 5), ("u", "steps", 3.0, "", "b", T(2024, 1, 5, 2, 20), 5), ("u", "steps", 4.0, "", "c", T(2024, 1, 5, 2, 23), 0), ("v", "steps", 5.0, "", "c", T(2024, 1, 5, 2), 5), ("u", "steps", 6.0, "", "c", T(2024, 1, 5, 1, 45), 5)])
+    rank = F.when(F.col("source_device") == "a", 0).when(F.col("source_device") == "b", 1).otherwise(2)
+    assert sorted(r.value for r in store.drop_overlaps(s, rank).collect()) == [1.0, 3.0, 5.0, 6.0]
+    assert store.drop_overlaps(s.limit(0), rank).count() == 0
+    with pytest.raises(Exception, match="priority"):
+        store.drop_overlaps(s, rank, levels=2).collect()
+
+
+def test_second_run_changes_nothing(spark):
+    new = daily.daily_points(merged_day(spark, range(3))).withColumnRenamed("date", "summary_date")
+    assert upkeep.changed_summaries(new.limit(0), new).count() == 1 and upkeep.changed_summaries(new, new).count() == 0
+    both = merged_day(spark, [11]).unionByName(rows(spark, [("u", "steps", 3.0, "count", "phone", T(2024, 1, 5, 11, 40), 5), ("u", "steps", 4.0, "count", "phone", T(2024, 1, 5, 12, 40), 5)]))
+    fixed = upkeep.repair_hours(both)
+    assert sorted(r.value for r in fixed.collect()) == [4.0, 100.0] and store.double_counted(fixed).count() == 0
+
+
+def test_correlation_of_constants_is_null(spark):
+    d = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
+    assert d.agg(correlation("a", "b")).first()[0] is None and d.agg(correlation("b", "b")).first()[0] == 1.0
+
+
 def test_users_do_not_mix(spark):
     s = registry.samples_of(spark, SF)
     some = s.where("user_id = 1")
@@ -113,7 +136,14 @@ def test_stream_drains_and_resent_rows_do_not_repeat(spark, tmp_path):
     ingest_stream(*args).awaitTermination()
     (tmp_path / "in/b.json").write_text(json.dumps({"samples": [one | {"value": 3.0}]}))
     ingest_stream(*args).awaitTermination()
-    assert [r.value for r in spark.read.parquet(f"{current(spark, str(tmp_path / 'store'))}/samples").collect()] == [3.0]
+    at = str(tmp_path / "store")
+    assert [r.value for r in read_store(spark, at, SAMPLES).collect()] == [3.0]
+    before = parts(spark, at)
+    (tmp_path / "in/c.json").write_text(json.dumps({"samples": [one | {"value": 4.0, "started_at": "2024-01-07T01:00:00Z"}]}))
+    ingest_stream(*args).awaitTermination()
+    after = parts(spark, at)
+    assert set(after) == {"2024-01-05", "2024-01-07"} and after["2024-01-05"] == before["2024-01-05"]
+    assert [r.value for r in read_store(spark, at, SAMPLES, {"2024-01-07"}).collect()] == [4.0]
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))

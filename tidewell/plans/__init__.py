@@ -1 +1,3 @@
-"""Part of the sample analytics library."""
+"""Registered queries; importing this package registers all of them."""
+
+from . import analyses, registry  # noqa: F401
