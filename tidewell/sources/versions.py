@@ -13,8 +13,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Files that a part is written to at most, so that one large part is not one task.
-SPREAD = 16
 LOG = "version long, part string, path string"
 
 
@@ -39,8 +37,8 @@ def read_store(spark: SparkSession, store: str, schema: str, only: set[str] | No
 def commit(spark: SparkSession, store: str, rows: DataFrame, part: Column, touched: set[str], version: int) -> None:
     """Puts `rows` in place of the touched parts. The same version twice is harmless."""
     at = f"{store}/data/{version}-{uuid.uuid4().hex}"
-    keyed = rows.withColumn("_part", part)
-    keyed.repartition("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))).write.partitionBy("_part").parquet(at)
+    # Rebalanced by part: small parts share a task and have one file, a large one is split by size.
+    rows.withColumn("_part", part).hint("rebalance", "_part").write.partitionBy("_part").parquet(at)
     there = {r["_part"] for r in spark.read.schema("_part string").parquet(at).distinct().collect()} if touched else set()
     log = [(version, p, f"{at}/_part={p}" if p in there else None) for p in sorted(touched)]
     spark.createDataFrame(log, LOG).coalesce(1).write.mode("append").json(f"{store}/log")
