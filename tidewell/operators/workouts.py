@@ -15,7 +15,7 @@ def workouts(samples: DataFrame) -> DataFrame:
     p = F.from_json("metadata", _PAYLOAD)
     return samples.select(
         "user_id", "started_at", F.coalesce(p["workout_type"], F.lit("unknown")).alias("workout_type"), F.coalesce(p["duration_seconds"], "value").alias("duration_seconds"),
-        p["total_distance_meters"].alias("distance_meters"), p["total_energy_burned_cal"].alias("energy_cal"),
+        p["total_distance_meters"].alias("distance_meters"), p["total_energy_burned_cal"].alias("energy_cal"), "source_device",
     )
 
 

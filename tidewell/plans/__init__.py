@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from . import analyses, registry  # noqa: F401
+from . import analyses, registry, reports  # noqa: F401
