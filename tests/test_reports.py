@@ -61,3 +61,15 @@ def test_workouts_in_minutes_and_kilometres(spark):
     assert [(r.rank, r.workout_type, r.duration_minutes, r.distance_km) for r in listed.orderBy("rank").collect()] == [(1, "unknown", 0.0, None), (2, "unknown", 10.0, None), (3, "Run", 30.5, 5.0)]
     t = reports.workout_totals(listed).first()
     assert (t.total_workouts, t.total_hours, t.by_type) == (3, 0.7, {"Run": 1, "unknown": 2})
+
+
+def test_latest_values_skip_nulls_and_old_weight_needs_two_rows(spark):
+    m = {"steps": "steps", "energy": "energy", "hrv": "hrv", "rhr": "rhr", "sleep": "sleep", "vo2": "vo2", "weight": "weight"}
+    at = F.lit("2024-01-31").cast("timestamp")
+    s = rows(spark, [("u", "hrv", 40.0, "ms", T(2024, 1, 29), None), ("u", "hrv", None, "ms", T(2024, 1, 30), None), ("u", "weight", 80.0, "kg", T(2024, 1, 10), None), ("u", "weight", 79.0, "kg", T(2024, 1, 20), None), ("u", "vo2", 50.0, "", T(2023, 6, 1), None), ("u", "vo2", 51.0, "", T(2022, 6, 1), None), ("v", "weight", 70.0, "kg", T(2024, 1, 20), None)])
+    r = reports.health_summary(s, at, m).first()
+    assert (r.user_id, r.hrv_latest, r.hrv_n, r.sleep_records) == ("u", 40.0, 1, 0)
+    got = {r.user_id: tuple(r)[1:] for r in reports.fitness_markers(s, at, m).collect()}
+    assert got == {"u": (50.0, 79.0, 80.0), "v": (None, 70.0, None)}
+    b = {r.user_id: r for r in reports.coaching_brief(s, workouts.workouts(s.limit(0)), at, m).collect()}
+    assert (b["u"].status, b["v"].status, b["u"].sleep_flag, b["u"].newest7_hrv, b["u"].sessions_30d) == ("fresh", "stale", "no data", 40.0, None)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..functions.time import day_bounds_utc
-from ..schema import MAX_DAYS, MAX_MONTHS
+from ..functions.time import day_bounds_utc, local_day, top_k_per
+from ..schema import ASLEEP, MAX_DAYS, MAX_MONTHS
 from ..sources.samples import scan_samples
 from .daily import daily_points, weighted_mean
+from .quality import freshness
+from .sleep import sleep_nights
 
 
 def trend_start(as_of: Column, months: int) -> Column:
@@ -99,3 +101,68 @@ def workout_totals(listed: DataFrame) -> DataFrame:
     return kinds.groupBy("user_id").agg(
         F.sum("n").alias("total_workouts"), rounded(F.sum("minutes") / 60, 1).alias("total_hours"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("workout_type", "n")))).alias("by_type")
     )
+
+
+def _of(metric: str, value: str = "value") -> Column:
+    return F.when(F.col("metric_type") == metric, F.col(value))
+
+
+def health_summary(samples: DataFrame, as_of: Column, metrics: dict[str, str], tz="UTC", days: int = 7, tiebreak: str = "source_device") -> DataFrame:
+    """The last `days` times 24 hours in one row per user. metrics names the metric types of steps, hrv, rhr and sleep."""
+    s = scan_samples(samples, since=as_of - F.expr(f"INTERVAL {int(days) * 24} HOURS"))
+    is_ = lambda m: F.col("metric_type") == metrics[m]
+    of = lambda m: _of(metrics[m])
+    return s.groupBy("user_id").agg(
+        rounded(F.sum(of("steps")), 1).alias("steps_total"), F.count_distinct(F.when(is_("steps"), local_day(F.col("started_at"), tz))).alias("steps_days"), rounded(F.avg(of("hrv")), 1).alias("hrv_avg"),
+        rounded(F.max_by("value", F.when(is_("hrv") & F.col("value").isNotNull(), F.struct("started_at", tiebreak))), 2).alias("hrv_latest"), F.count(of("hrv")).alias("hrv_n"), rounded(F.avg(of("rhr")), 1).alias("rhr_avg"),
+        F.count_if(is_("sleep")).alias("sleep_records"), F.count_if(is_("sleep") & F.col("value").isin(*ASLEEP)).alias("stage_records"),
+    )
+
+
+def daily_snapshot(samples: DataFrame, day: Column, metrics: dict[str, str], tz="UTC", tiebreak: str = "source_device") -> DataFrame:
+    """Highlights of one local day per user: totals of steps and energy, the first value of hrv, sleep records, metrics seen."""
+    start, end = day_bounds_utc(day, tz)
+    seen = F.when((F.col("metric_type") == metrics["hrv"]) & F.col("value").isNotNull(), F.struct("started_at", tiebreak))
+    return scan_samples(samples, since=start, until=end).groupBy("user_id").agg(
+        rounded(F.sum(_of(metrics["steps"])), 0).alias("steps"), rounded(F.sum(_of(metrics["energy"])), 0).alias("energy"), rounded(F.min_by(_of(metrics["hrv"]), seen), 2).alias("first_hrv"),
+        F.count(_of(metrics["sleep"])).alias("sleep_records"), F.count_distinct("metric_type").alias("metrics"),
+    )
+
+
+def coaching_brief(samples: DataFrame, sessions: DataFrame, as_of: Column, metrics: dict[str, str], tz="UTC", tiebreak: str = "source_device") -> DataFrame:
+    """Freshness, sleep of the newest seven nights, newest seven hrv samples against the others of 14 days, and training load.
+
+    sessions: the workouts of the last 30 days. Every user with any sample has a row.
+    """
+    fresh = freshness(samples, as_of).select("user_id", "status")
+    nights = top_k_per(sleep_nights(scan_samples(samples, metrics["sleep"]), tz), ["user_id"], [F.col("night").desc()], 7).groupBy("user_id").agg(rounded(F.avg(F.col("total_minutes") / 60), 1).alias("last7_sleep_hours"))
+    w = Window.partitionBy("user_id").orderBy(F.col("started_at").desc(), tiebreak)
+    hrv = scan_samples(samples, metrics["hrv"], since=as_of - F.expr("INTERVAL 14 DAYS")).withColumn("rn", F.row_number().over(w)).groupBy("user_id").agg(
+        rounded(F.avg(F.when(F.col("rn") <= 7, F.col("value"))), 2).alias("newest7_hrv"), rounded(F.avg(F.when(F.col("rn") > 7, F.col("value"))), 2).alias("earlier_hrv")
+    )
+    load = sessions.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions_30d"))
+    h, d = F.col("last7_sleep_hours"), F.col("newest7_hrv") - F.col("earlier_hrv")
+    return fresh.join(nights, "user_id", "left").join(hrv, "user_id", "left").join(load, "user_id", "left").select(
+        "user_id", "status", h, F.when(h.isNull(), "no data").when(h >= 7.5, "good").when(h >= 6.5, "borderline").otherwise("poor").alias("sleep_flag"), "newest7_hrv", "earlier_hrv",
+        F.when(d > 2, "up").when(d < -2, "down").when(F.col("earlier_hrv").isNotNull(), "flat").alias("hrv_trend"), "sessions_30d", rounded(F.col("sessions_30d") / 4.3, 1).alias("weekly_sessions"),
+    )
+
+
+def fitness_markers(samples: DataFrame, as_of: Column, metrics: dict[str, str]) -> DataFrame:
+    """Per user: newest vo2 of 365 days; newest and oldest weight of 30 days, the latter null with fewer than two rows."""
+    s = scan_samples(samples, since=as_of - F.expr("INTERVAL 365 DAYS")).where(F.col("metric_type").isin(metrics["vo2"], metrics["weight"]) & F.col("value").isNotNull())
+    at = lambda m, days: F.when((F.col("metric_type") == metrics[m]) & (F.col("started_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")), F.struct("started_at", "value"))
+    v, w = at("vo2", 365), at("weight", 30)
+    return s.groupBy("user_id").agg(
+        rounded(F.max_by("value", v), 2).alias("vo2_latest"), rounded(F.max_by("value", w), 2).alias("weight_latest"), F.when(F.count(w) > 1, rounded(F.min_by("value", w), 2)).alias("weight_30d_ago")
+    )
+
+
+def recovery_score(points: DataFrame, nights: DataFrame, metric: str) -> DataFrame:
+    """Newest value of a level metric among the user's own quartiles (10 to 40) plus the newest night's hours (10 to 30)."""
+    p = F.percentile("day_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")
+    base = points.where(F.col("metric_type") == metric).groupBy("user_id").agg(F.max_by("day_value", "date").alias("v"), p)
+    last = nights.groupBy("user_id").agg((F.max_by("total_minutes", "night") / 60).alias("hours"))
+    h, v = F.coalesce("hours", F.lit(0.0)), F.col("v")
+    score = F.when(v >= F.col("p")[2], 40).when(v >= F.col("p")[1], 30).when(v >= F.col("p")[0], 20).otherwise(10) + F.when(h >= 7.5, 30).when(h >= 6.5, 20).otherwise(10)
+    return base.join(last, "user_id", "left").select("user_id", score.alias("score"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..functions.time import top_k_per, touched_hours
-from ..operators import daily, quality, sleep, store, workouts
+from ..operators import daily, quality, reports, sleep, store, workouts
 from ..schema import MERGED_SOURCE
 from ..sources.samples import normalise_units, scan_samples
 from ..sources.versions import scratch
@@ -19,6 +19,8 @@ from ..sources.versions import scratch
 TZ = "America/New_York"
 AS_OF, CUTOFF = "2024-01-31 00:00:00", "2024-01-21"
 CUMULATIVE = ("steps", "active_energy")
+#: Roles of the reports; the events have no vo2 and weight, so two other level metrics stand in.
+METRICS = {"steps": "steps", "energy": "active_energy", "hrv": "hrv", "rhr": "resting_hr", "sleep": "sleep", "vo2": "hrv", "weight": "resting_hr"}
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -266,29 +268,14 @@ def preceding_events(spark, sf_dir):
 @query("""SELECT user_id, round(sum(value) FILTER (metric_type = 'steps'), 0) AS steps, round(sum(value) FILTER (metric_type = 'active_energy'), 0) AS energy, round(arg_min(value, (started_at, event_id)) FILTER (metric_type = 'hrv'), 2) AS first_hrv,
 count(*) FILTER (metric_type = 'sleep') AS sleep_records, count(DISTINCT metric_type) AS metrics FROM samples WHERE started_at >= TIMESTAMP '2024-01-15 05:00:00' AND started_at < TIMESTAMP '2024-01-16 05:00:00' GROUP BY user_id""")
 def daily_snapshot(spark, sf_dir):
-    from ..functions.time import day_bounds_utc
-
-    start, end = day_bounds_utc(F.lit("2024-01-15").cast("date"), TZ)
-    s = scan_samples(samples_of(spark, sf_dir), since=start, until=end)
-    of = lambda m, c="value": F.when(F.col("metric_type") == m, F.col(c))
-    return s.groupBy("user_id").agg(
-        rounded(F.sum(of("steps")), 0).alias("steps"), rounded(F.sum(of("active_energy")), 0).alias("energy"),
-        rounded(F.min_by(of("hrv"), F.when(F.col("metric_type") == "hrv", F.struct("started_at", "event_id"))), 2).alias("first_hrv"), F.count(of("sleep")).alias("sleep_records"), F.count_distinct("metric_type").alias("metrics"),
-    )
+    return reports.daily_snapshot(samples_of(spark, sf_dir), F.lit("2024-01-15").cast("date"), METRICS, TZ, "event_id")
 
 
 @query(f"""SELECT user_id, round(sum(value) FILTER (metric_type = 'steps'), 1) AS steps_total, count(DISTINCT {_LOCAL}::DATE) FILTER (metric_type = 'steps') AS steps_days, round(avg(value) FILTER (metric_type = 'hrv'), 1) AS hrv_avg,
 round(arg_max(value, (started_at, event_id)) FILTER (metric_type = 'hrv'), 2) AS hrv_latest, count(*) FILTER (metric_type = 'hrv') AS hrv_n, round(avg(value) FILTER (metric_type = 'resting_hr'), 1) AS rhr_avg,
 count(*) FILTER (metric_type = 'sleep') AS sleep_records, count(*) FILTER (metric_type = 'sleep' AND value IN (3, 4, 5)) AS stage_records FROM samples WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 168 HOUR GROUP BY user_id""")
 def health_summary(spark, sf_dir):
-    s = scan_samples(samples_of(spark, sf_dir), since=F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 168 HOURS"))
-    is_ = lambda m: F.col("metric_type") == m
-    of = lambda m: F.when(is_(m), F.col("value"))
-    return s.groupBy("user_id").agg(
-        rounded(F.sum(of("steps")), 1).alias("steps_total"), F.count_distinct(F.when(is_("steps"), F.to_date(F.from_utc_timestamp("started_at", TZ)))).alias("steps_days"), rounded(F.avg(of("hrv")), 1).alias("hrv_avg"),
-        rounded(F.max_by("value", F.when(is_("hrv"), F.struct("started_at", "event_id"))), 2).alias("hrv_latest"), F.count(of("hrv")).alias("hrv_n"), rounded(F.avg(of("resting_hr")), 1).alias("rhr_avg"),
-        F.count_if(is_("sleep")).alias("sleep_records"), F.count_if(is_("sleep") & F.col("value").isin(3.0, 4.0, 5.0)).alias("stage_records"),
-    )
+    return reports.health_summary(samples_of(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), METRICS, TZ, tiebreak="event_id")
 
 
 @query(f"""SELECT u.user_id, f.status, s.hours AS last7_sleep_hours, CASE WHEN s.hours IS NULL THEN 'no data' WHEN s.hours >= 7.5 THEN 'good' WHEN s.hours >= 6.5 THEN 'borderline' ELSE 'poor' END AS sleep_flag, h.recent AS newest7_hrv, h.rest AS earlier_hrv,
@@ -299,21 +286,7 @@ LEFT JOIN (SELECT user_id, round(avg(total_minutes / 60), 1) AS hours FROM (SELE
 LEFT JOIN (SELECT user_id, round(avg(value) FILTER (rn <= 7), 2) AS recent, round(avg(value) FILTER (rn > 7), 2) AS rest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, event_id) AS rn FROM samples WHERE metric_type = 'hrv' AND started_at >= TIMESTAMP '2024-01-17') GROUP BY user_id) h USING (user_id)
 LEFT JOIN (SELECT user_id, count(*) AS sessions FROM trips GROUP BY user_id) t USING (user_id)""")
 def coaching_brief(spark, sf_dir):
-    from pyspark.sql import Window
-
-    s = samples_of(spark, sf_dir)
-    fresh = quality.freshness(s, F.lit(AS_OF).cast("timestamp")).select("user_id", "status")
-    nights = top_k_per(sleep.sleep_nights(_sleep(spark, sf_dir), TZ), ["user_id"], [F.col("night").desc()], 7).groupBy("user_id").agg(rounded(F.avg(F.col("total_minutes") / 60), 1).alias("last7_sleep_hours"))
-    w = Window.partitionBy("user_id").orderBy(F.col("started_at").desc(), "event_id")
-    hrv = scan_samples(s, "hrv", since=F.lit("2024-01-17").cast("timestamp")).withColumn("rn", F.row_number().over(w)).groupBy("user_id").agg(
-        rounded(F.avg(F.when(F.col("rn") <= 7, F.col("value"))), 2).alias("newest7_hrv"), rounded(F.avg(F.when(F.col("rn") > 7, F.col("value"))), 2).alias("earlier_hrv")
-    )
-    trips = _trips(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions_30d"))
-    h, d = F.col("last7_sleep_hours"), F.col("newest7_hrv") - F.col("earlier_hrv")
-    return fresh.join(nights, "user_id", "left").join(hrv, "user_id", "left").join(trips, "user_id", "left").select(
-        "user_id", "status", h, F.when(h.isNull(), "no data").when(h >= 7.5, "good").when(h >= 6.5, "borderline").otherwise("poor").alias("sleep_flag"), "newest7_hrv", "earlier_hrv",
-        F.when(d > 2, "up").when(d < -2, "down").when(F.col("earlier_hrv").isNotNull(), "flat").alias("hrv_trend"), "sessions_30d", rounded(F.col("sessions_30d") / 4.3, 1).alias("weekly_sessions"),
-    )
+    return reports.coaching_brief(samples_of(spark, sf_dir), _trips(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), METRICS, TZ, "event_id")
 
 
 @query(f"SELECT user_id, round(epoch(TIMESTAMP '{AS_OF}' - max(started_at)) / 3600, 1) AS age_hours, CASE WHEN epoch(TIMESTAMP '{AS_OF}' - max(started_at)) / 3600 <= 48 THEN 'fresh' ELSE 'stale' END AS status FROM samples GROUP BY user_id")
@@ -463,12 +436,7 @@ def below_average_days(spark, sf_dir):
 (SELECT user_id, arg_max(day_value, date) AS v, quantile_cont(day_value, 0.25) AS p25, quantile_cont(day_value, 0.5) AS p50, quantile_cont(day_value, 0.75) AS p75 FROM series WHERE metric_type = 'hrv' GROUP BY user_id)
 LEFT JOIN (SELECT user_id, arg_max(total_minutes, night) / 60 AS hours FROM nights GROUP BY user_id) USING (user_id)""")
 def recovery_score(spark, sf_dir):
-    p = F.percentile("day_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")
-    base = _series(spark, sf_dir).where("metric_type = 'hrv'").groupBy("user_id").agg(F.max_by("day_value", "date").alias("v"), p)
-    last = sleep.sleep_nights(_sleep(spark, sf_dir), TZ).groupBy("user_id").agg((F.max_by("total_minutes", "night") / 60).alias("hours"))
-    h, v = F.coalesce("hours", F.lit(0.0)), F.col("v")
-    points = F.when(v >= F.col("p")[2], 40).when(v >= F.col("p")[1], 30).when(v >= F.col("p")[0], 20).otherwise(10) + F.when(h >= 7.5, 30).when(h >= 6.5, 20).otherwise(10)
-    return base.join(last, "user_id", "left").select("user_id", points.alias("score"))
+    return reports.recovery_score(_series(spark, sf_dir), sleep.sleep_nights(_sleep(spark, sf_dir), TZ), "hrv")
 
 
 @query(f"""SELECT user_id, round(avg(day_value) FILTER (metric_type = 'hrv'), 2) AS hrv_avg, round(min(day_value) FILTER (metric_type = 'hrv'), 2) AS hrv_min, round(max(day_value) FILTER (metric_type = 'hrv'), 2) AS hrv_max,

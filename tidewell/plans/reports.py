@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rounded
 from ..operators import daily, reports, workouts
 from ..sources.samples import scan_samples
-from .registry import AS_OF, CUMULATIVE, TZ, _series, _tiered, query, samples_of, summaries_of
+from .registry import AS_OF, CUMULATIVE, METRICS, TZ, _series, _tiered, query, samples_of, summaries_of
 
 _MEAN = "CASE WHEN metric_type IN ('steps', 'active_energy') THEN round(avg(sum_value), 1) ELSE round(sum(sum_value) / nullif(sum(sample_count), 0), 2) END AS avg"
 _TIERS = "count(*) FILTER (tier = 'summary') AS summary_points, count(*) FILTER (tier = 'raw') AS raw_points"
@@ -92,3 +92,10 @@ def workout_totals(spark, sf_dir):
     out = reports.workout_totals(_listed(spark, sf_dir))
     told = F.transform(F.map_entries("by_type"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
     return out.withColumn("by_type", F.array_join(told, ","))
+
+
+@query(f"""SELECT user_id, round(arg_max(value, started_at) FILTER (metric_type = 'hrv'), 2) AS vo2_latest, round(arg_max(value, started_at) FILTER (recent), 2) AS weight_latest,
+CASE WHEN count(*) FILTER (recent) > 1 THEN round(arg_min(value, started_at) FILTER (recent), 2) END AS weight_30d_ago
+FROM (SELECT *, metric_type = 'resting_hr' AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS recent FROM samples WHERE metric_type IN ('hrv', 'resting_hr') AND value IS NOT NULL AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) GROUP BY user_id""")
+def fitness_markers(spark, sf_dir):
+    return reports.fitness_markers(samples_of(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), METRICS)
