@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import MERGED_METRICS, SKIPPED_PREFIXES, SLEEP_METRIC, STAGE_VALUES
 from ..schema import PAYLOAD, SUMMARY_COLUMNS
 
 
@@ -19,16 +20,33 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return from_payloads(spark.read.schema(PAYLOAD).json(path))
 
 
-def read_export_xml(spark: SparkSession, path: str, skip: tuple[str, ...] = (), refuse: tuple[str, ...] = ()) -> DataFrame:
+def stage_code(name: Column) -> Column:
+    """The code of a sleep stage's name, null for other texts."""
+    at = F.array_position(F.array(*[F.lit(v) for v in STAGE_VALUES]), name)
+    return F.when(at > 0, (at - 1).cast("double"))
+
+
+def with_stage_names(samples: DataFrame, metric: str = SLEEP_METRIC) -> DataFrame:
+    """Sleep samples get sleep_stage in their JSON metadata, unless it is there; other fields stay as they are written."""
+    unknown, m = F.lit(STAGE_VALUES[0].removesuffix("InBed") + "Unknown"), F.col("metadata")
+    name = F.coalesce(F.get(F.array(*[F.lit(v) for v in STAGE_VALUES]), F.col("value").try_cast("int")), unknown)
+    field = F.concat(F.lit('"sleep_stage":"'), name, F.lit('"'))
+    own = F.when(F.trim(m).rlike(r"^\{\s*[^}\s]"), F.concat(F.regexp_replace(F.trim(m), r"\s*\}$", ""), F.lit(","), field, F.lit("}"))).otherwise(F.concat(F.lit("{"), field, F.lit("}")))
+    lacks = (F.col("metric_type") == metric) & F.get_json_object("metadata", "$.sleep_stage").isNull()
+    return samples.withColumn("metadata", F.when(lacks, own).otherwise(m))
+
+
+def read_export_xml(spark: SparkSession, path: str, skip: tuple[str, ...] = SKIPPED_PREFIXES, refuse: tuple[str, ...] = MERGED_METRICS, stages: bool = True) -> DataFrame:
     """Record elements of an export. reason tells why a row isn't to be taken: skipped prefix, refused type, bad start.
 
-    A value that isn't a finite number becomes null.
+    Names of sleep stages become their codes (with stages); any other value that isn't a finite number becomes null.
     """
     fields = "_type string, _value string, _unit string, _sourceName string, _startDate string, _endDate string"
     raw = spark.read.format("xml").option("rowTag", "Record").schema(fields).load(path)
     at = lambda c: F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd HH:mm:ss Z"))
     number = F.expr("try_cast(_value as double)")
     finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    finite = F.coalesce(finite, stage_code(F.col("_value"))) if stages else finite
     kind = F.col("_type")
     prefixed: Column = F.lit(False)
     for p in skip:
