@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analyses, sleep, store, upkeep
-from ..sources.samples import scan_samples
+from ..sources.samples import scan_samples, with_stage_names
 from .registry import _GO, _LOCAL, _RUNS, AS_OF, CUTOFF, TZ, _points, _row, _ROW, _series, _sleep, _store, _trips, query, samples_of, summaries_of
 
 
@@ -123,3 +123,9 @@ def rows_left_raw(spark, sf_dir):
     cutoff = day_bounds_utc(F.lit(CUTOFF).cast("date"), TZ)[0]
     left = scan_samples(samples_of(spark, sf_dir)).where(~store.to_compact(cutoff, _as_of()))
     return left.groupBy("user_id", "metric_type").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(local_day(F.col("started_at"), TZ)).alias("days"))
+
+
+@query("""SELECT event_id, user_id, (metadata->>'k')::DOUBLE AS k, 'HKCategoryValueSleepAnalysis' || CASE value WHEN 0 THEN 'InBed' WHEN 1 THEN 'AsleepUnspecified' WHEN 2 THEN 'Awake' WHEN 3 THEN 'AsleepCore' WHEN 4 THEN 'AsleepDeep' ELSE 'AsleepREM' END AS sleep_stage FROM samples WHERE metric_type = 'sleep'""")
+def sleep_stage_names(spark, sf_dir):
+    m = F.from_json("metadata", "k double, sleep_stage string")
+    return with_stage_names(_sleep(spark, sf_dir), "sleep").select("event_id", "user_id", m["k"].alias("k"), m["sleep_stage"].alias("sleep_stage"))
