@@ -73,3 +73,12 @@ def test_latest_values_skip_nulls_and_old_weight_needs_two_rows(spark):
     assert got == {"u": (50.0, 79.0, 80.0), "v": (None, 70.0, None)}
     b = {r.user_id: r for r in reports.coaching_brief(s, workouts.workouts(s.limit(0)), at, m).collect()}
     assert (b["u"].status, b["v"].status, b["u"].sleep_flag, b["u"].newest7_hrv, b["u"].sessions_30d) == ("fresh", "stale", "no data", 40.0, None)
+
+
+def test_recovery_score_has_all_three_parts_of_90_days(spark):
+    m = {"hrv": "hrv", "rhr": "rhr"}
+    data = [(u, k, v, unit, T(2024, 1, d, 1), None) for u in ("u", "v") for k, unit, values in (("hrv", "ms", (40.0, 50.0, 60.0, 70.0, 80.0)), ("rhr", "bpm", (60.0, 58.0, 56.0, 54.0, 52.0))) for d, v in enumerate(values, 1) if (u, k) != ("v", "rhr")]
+    data += [("u", "hrv", 500.0, "ms", T(2023, 9, 1), None), ("u", "hrv", 900.0, "s", T(2024, 1, 4), None)]
+    nights = spark.createDataFrame([("u", datetime.date(2024, 1, 4), 480.0), ("u", datetime.date(2024, 1, 5), 330.0), ("v", datetime.date(2024, 1, 5), 360.0), ("w", datetime.date(2024, 1, 5), 400.0)], "user_id string, night date, total_minutes double")
+    got = {r.user_id: tuple(r)[1:] for r in reports.recovery_score(tiered(spark, data), nights, F.lit("2024-01-06").cast("timestamp"), m).collect()}
+    assert got == {"u": (40, 30, 5, 75), "v": (40, None, 10, None), "w": (None, None, 20, None)}

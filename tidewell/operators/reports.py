@@ -9,7 +9,7 @@ from ..functions.numbers import rounded
 from ..functions.time import day_bounds_utc, local_day, top_k_per
 from ..schema import ASLEEP, MAX_DAYS, MAX_MONTHS
 from ..sources.samples import scan_samples
-from .daily import daily_points, weighted_mean
+from .daily import daily_points, single_unit, weighted_mean
 from .quality import freshness
 from .sleep import sleep_nights
 
@@ -158,8 +158,28 @@ def fitness_markers(samples: DataFrame, as_of: Column, metrics: dict[str, str])
     )
 
 
-def recovery_score(points: DataFrame, nights: DataFrame, metric: str) -> DataFrame:
-    """Newest value of a level metric among the user's own quartiles (10 to 40) plus the newest night's hours (10 to 30)."""
+def recovery_score(points: DataFrame, nights: DataFrame, as_of: Column, metrics: dict[str, str], tz="UTC", days: int = 90) -> DataFrame:
+    """Score of 0 to 100 per user: hrv (40 above the user's own p75, then 30, 20, 10), rhr (30 up to p25, then 20, 10, 5), sleep (30 from 7.5 hours, 20 from 6.5, 10 from 6, else 5).
+
+    points: daily points of both tiers, of any unit. Quartiles and the newest day and night are of the last `days` local
+    days, of the window's majority unit. A part without data is null, and so is the score: fewer parts don't compare with three.
+    """
+    day = local_day(as_of, tz)
+    inside = lambda c: F.col(c).between(F.date_sub(day, days), day)
+    own = single_unit(points.where(inside("date") & F.col("metric_type").isin(metrics["hrv"], metrics["rhr"])))
+    q = own.groupBy("user_id", "metric_type").agg(F.max_by("avg_value", "date").alias("v"), F.percentile("avg_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
+    v, (p25, p50, p75) = F.col("v"), (F.col("p")[i] for i in range(3))
+    high = F.when(v > p75, 40).when(v >= p50, 30).when(v >= p25, 20).otherwise(10)
+    low = F.when(v <= p25, 30).when(v <= p50, 20).when(v <= p75, 10).otherwise(5)
+    part = lambda m, band: F.max(F.when(F.col("metric_type") == metrics[m], band))
+    levels = q.groupBy("user_id").agg(part("hrv", high).alias("hrv_points"), part("rhr", low).alias("rhr_points"))
+    h = F.max_by("total_minutes", "night") / 60
+    last = nights.where(inside("night")).groupBy("user_id").agg(F.when(h >= 7.5, 30).when(h >= 6.5, 20).when(h >= 6, 10).otherwise(5).alias("sleep_points"))
+    return levels.join(last, "user_id", "full").withColumn("score", F.col("hrv_points") + F.col("rhr_points") + F.col("sleep_points"))
+
+
+def level_and_sleep_score(points: DataFrame, nights: DataFrame, metric: str) -> DataFrame:
+    """Two of the three parts of recovery_score, over all points: newest value of one level metric among the user's own quartiles (10 to 40) plus the newest night's hours (10 to 30)."""
     p = F.percentile("day_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")
     base = points.where(F.col("metric_type") == metric).groupBy("user_id").agg(F.max_by("day_value", "date").alias("v"), p)
     last = nights.groupBy("user_id").agg((F.max_by("total_minutes", "night") / 60).alias("hours"))

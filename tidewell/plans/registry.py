@@ -436,7 +436,8 @@ def below_average_days(spark, sf_dir):
 (SELECT user_id, arg_max(day_value, date) AS v, quantile_cont(day_value, 0.25) AS p25, quantile_cont(day_value, 0.5) AS p50, quantile_cont(day_value, 0.75) AS p75 FROM series WHERE metric_type = 'hrv' GROUP BY user_id)
 LEFT JOIN (SELECT user_id, arg_max(total_minutes, night) / 60 AS hours FROM nights GROUP BY user_id) USING (user_id)""")
 def recovery_score(spark, sf_dir):
-    return reports.recovery_score(_series(spark, sf_dir), sleep.sleep_nights(_sleep(spark, sf_dir), TZ), "hrv")
+    """hrv and sleep only, as its SQL; recovery_score_full has all three parts."""
+    return reports.level_and_sleep_score(_series(spark, sf_dir), sleep.sleep_nights(_sleep(spark, sf_dir), TZ), "hrv")
 
 
 @query(f"""SELECT user_id, round(avg(day_value) FILTER (metric_type = 'hrv'), 2) AS hrv_avg, round(min(day_value) FILTER (metric_type = 'hrv'), 2) AS hrv_min, round(max(day_value) FILTER (metric_type = 'hrv'), 2) AS hrv_max,

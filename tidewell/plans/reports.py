@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..operators import daily, reports, workouts
+from ..operators import daily, reports, sleep, workouts
 from ..sources.samples import scan_samples
-from .registry import AS_OF, CUMULATIVE, METRICS, TZ, _series, _tiered, query, samples_of, summaries_of
+from .registry import AS_OF, CUMULATIVE, METRICS, TZ, _series, _sleep, _tiered, query, samples_of, summaries_of
 
 _MEAN = "CASE WHEN metric_type IN ('steps', 'active_energy') THEN round(avg(sum_value), 1) ELSE round(sum(sum_value) / nullif(sum(sample_count), 0), 2) END AS avg"
 _TIERS = "count(*) FILTER (tier = 'summary') AS summary_points, count(*) FILTER (tier = 'raw') AS raw_points"
@@ -99,3 +99,15 @@ CASE WHEN count(*) FILTER (recent) > 1 THEN round(arg_min(value, started_at) FIL
 FROM (SELECT *, metric_type = 'resting_hr' AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS recent FROM samples WHERE metric_type IN ('hrv', 'resting_hr') AND value IS NOT NULL AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) GROUP BY user_id""")
 def fitness_markers(spark, sf_dir):
     return reports.fitness_markers(samples_of(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), METRICS)
+
+
+@query("""SELECT user_id, hrv_points, rhr_points, sleep_points, hrv_points + rhr_points + sleep_points AS score FROM
+(SELECT user_id, max(CASE WHEN metric_type = 'hrv' THEN CASE WHEN v > p75 THEN 40 WHEN v >= p50 THEN 30 WHEN v >= p25 THEN 20 ELSE 10 END END) AS hrv_points,
+  max(CASE WHEN metric_type = 'resting_hr' THEN CASE WHEN v <= p25 THEN 30 WHEN v <= p50 THEN 20 WHEN v <= p75 THEN 10 ELSE 5 END END) AS rhr_points FROM
+  (SELECT user_id, metric_type, arg_max(avg_value, date) AS v, quantile_cont(avg_value, 0.25) AS p25, quantile_cont(avg_value, 0.5) AS p50, quantile_cont(avg_value, 0.75) AS p75 FROM
+    (SELECT *, first_value(unit) OVER (PARTITION BY user_id, metric_type ORDER BY n DESC, unit) AS best FROM (SELECT *, count(*) OVER (PARTITION BY user_id, metric_type, unit) AS n FROM tiered
+      WHERE metric_type IN ('hrv', 'resting_hr') AND date BETWEEN DATE '2024-01-30' - 90 AND DATE '2024-01-30')) WHERE unit = best GROUP BY user_id, metric_type) GROUP BY user_id)
+FULL JOIN (SELECT user_id, CASE WHEN hours >= 7.5 THEN 30 WHEN hours >= 6.5 THEN 20 WHEN hours >= 6 THEN 10 ELSE 5 END AS sleep_points FROM
+  (SELECT user_id, arg_max(total_minutes, night) / 60 AS hours FROM nights WHERE night BETWEEN DATE '2024-01-30' - 90 AND DATE '2024-01-30' GROUP BY user_id)) USING (user_id)""")
+def recovery_score_full(spark, sf_dir):
+    return reports.recovery_score(_tiered(spark, sf_dir), sleep.sleep_nights(_sleep(spark, sf_dir), TZ), F.lit(AS_OF).cast("timestamp"), METRICS, TZ)
