@@ -82,3 +82,32 @@ def test_recovery_score_has_all_three_parts_of_90_days(spark):
     nights = spark.createDataFrame([("u", datetime.date(2024, 1, 4), 480.0), ("u", datetime.date(2024, 1, 5), 330.0), ("v", datetime.date(2024, 1, 5), 360.0), ("w", datetime.date(2024, 1, 5), 400.0)], "user_id string, night date, total_minutes double")
     got = {r.user_id: tuple(r)[1:] for r in reports.recovery_score(tiered(spark, data), nights, F.lit("2024-01-06").cast("timestamp"), m).collect()}
     assert got == {"u": (40, 30, 5, 75), "v": (40, None, 10, None), "w": (None, None, 20, None)}
+
+
+def _catalog(spark):
+    return spark.createDataFrame([("steps", True, False, False), ("hrv", True, True, True)], "metric_type string, always_expected boolean, wearable boolean, evidence boolean")
+
+
+def test_whole_summary_keeps_units_apart_and_takes_compacted_days(spark):
+    m = {"steps": "steps", "energy": "energy", "hrv": "hrv", "rhr": "rhr", "sleep": "sleep", "vo2": "vo2", "weight": "weight"}
+    at, users = F.lit("2024-01-31").cast("timestamp"), spark.createDataFrame([("u",), ("v",), ("x",)], "user_id string")
+    s = rows(spark, [("u", "steps", 100.0, "count", T(2024, 1, 28, 1), None), ("u", "steps", 300.0, "count", T(2024, 1, 29, 1), None), ("u", "steps", 5.0, "kg", T(2024, 1, 29, 2), None), ("u", "rhr", 55.0, "bpm", T(2024, 1, 28), None), ("u", "rhr", 58.0, "bpm", T(2024, 1, 29), None), ("v", "hrv", 40.0, "ms", T(2024, 1, 29), None), ("u", "workout", 60.0, "s", T(2024, 1, 29), '{"workout_type": "Run"}'), ("u", "workout", 60.0, "s", T(2023, 12, 1), '{"workout_type": "Swim"}')])
+    old = daily.daily_points(rows(spark, [("u", "steps", 500.0, "count", T(2023, 12, 5), None), ("u", "rhr", 70.0, "bpm", T(2023, 12, 5), None), ("u", "steps", 9.0, "count", T(2022, 1, 1), None)])).withColumnRenamed("date", "summary_date")
+    trips = workouts.workouts(s.where("metric_type = 'workout'"))
+    got = {d: {r.user_id: r for r in reports.whole_summary(s, old, trips, users, _catalog(spark), at, m, days=d).collect()} for d in (7, 90)}
+    u, v, x = (got[7][k] for k in "uvx")
+    assert (u.steps_total, u.steps_daily_avg, u.steps_days, u.steps_unit, u.steps_other_unit_days, u.rhr_avg, u.rhr_latest, u.workouts, u.workout_types, u.steps_absence) == (400.0, 200.0, 2, "count", 1, 56.5, 58.0, 1, ["Run"], None)
+    assert (v.steps_total, v.steps_absence, v.hrv_latest, x.steps_absence, x.hrv_n) == (None, "never_recorded", 40.0, "no_data_yet", 0)
+    u = got[90]["u"]
+    assert (u.steps_total, u.steps_days, u.rhr_avg, u.rhr_latest, u.summary_points, u.raw_points, u.workouts, u.workout_types) == (900.0, 3, 61.0, 58.0, 2, 4, 2, ["Run", "Swim"])
+
+
+def test_whole_snapshot_has_a_row_for_compacted_days_and_all_values(spark):
+    m = {"steps": "steps", "energy": "energy", "hrv": "hrv", "rhr": "rhr", "sleep": "sleep", "weight": "weight"}
+    s = rows(spark, [("u", "rhr", 60.0, "bpm", T(2024, 1, 5, 1), None), ("u", "rhr", 50.0, "bpm", T(2024, 1, 5, 9), None), ("u", "steps", 7.0, "count", T(2024, 1, 5, 1), None), ("u", "steps", 8.0, "count", T(2024, 1, 5, 2), None), ("u", "steps", 900.0, "kg", T(2024, 1, 5, 3), None), ("u", "sleep", 3.0, "", T(2024, 1, 5, 3), None), ("u", "workout", 90.0, "s", T(2024, 1, 5, 5), '{"workout_type": "Run"}')])
+    old = daily.daily_points(rows(spark, [("w", "steps", 4.0, "count", T(2024, 1, 5, 1), None), ("w", "rhr", 61.0, "bpm", T(2024, 1, 5, 1), None), ("u", "weight", 80.0, "kg", T(2024, 1, 5), None)])).withColumnRenamed("date", "summary_date")
+    got = {r.user_id: r for r in reports.whole_snapshot(s, old, workouts.workouts(s.where("metric_type = 'workout'")), F.lit("2024-01-05").cast("date"), m, ("steps",), max_rows=6).collect()}
+    u, w = got["u"], got["w"]
+    assert (u.steps, u.rhr, u.weight, u.highlights_tier, u.total_records, u.truncated, len(u.all_values), u.sleep_records) == (15.0, 60.0, 80.0, "summary", 7, True, 6, 1)
+    assert [(x.workout_type, x.duration_minutes) for x in u.workouts] == [("Run", 1.5)] and u.metrics_present == ["rhr", "sleep", "steps", "weight", "workout"]
+    assert (w.steps, w.rhr, w.total_records, w.metrics_present, w.all_values, w.workouts) == (4.0, 61.0, 0, ["rhr", "steps"], [], [])

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..functions.time import day_bounds_utc, local_day, top_k_per
-from ..schema import ASLEEP, MAX_DAYS, MAX_MONTHS
+from ..schema import ASLEEP, MAX_DAYS, MAX_MONTHS, RAW_DAYS
 from ..sources.samples import scan_samples
-from .daily import daily_points, single_unit, weighted_mean
-from .quality import freshness
+from .daily import daily_points, single_unit, tier_status, tiered_daily, unit_votes, weighted_mean
+from .quality import absence, freshness
 from .sleep import sleep_nights
 
 
@@ -129,6 +129,85 @@ def daily_snapshot(samples: DataFrame, day: Column, metrics: dict[str, str], tz=
     )
 
 
+def whole_summary(samples: DataFrame, summaries: DataFrame, sessions: DataFrame, users: DataFrame, catalog: DataFrame, as_of: Column, metrics: dict[str, str], tz="UTC", days: int = 7, tiebreak: str = "source_device") -> DataFrame:
+    """Health summary of the last `days` days, one row for each of `users`: steps, hrv, rhr, sleep, workouts, tiers, absence of steps.
+
+    Up to RAW_DAYS days the raw samples of `days` times 24 hours count; beyond, daily points of both tiers from the local
+    day `days` ago on. Steps have one unit, that of most days of the window; days of others are only counted. hrv and rhr
+    are means of samples, latest a sample's value (raw) or a day's mean (tiers). Sleep and workouts are never compacted.
+    """
+    since, is_long = as_of - F.expr(f"INTERVAL {int(days) * 24} HOURS"), days > RAW_DAYS
+    raw = scan_samples(samples, since=since, until=as_of + F.expr("INTERVAL 1 MICROSECOND"))
+    levels = ("hrv", "rhr")
+    wanted = F.col("metric_type").isin(*[metrics[m] for m in ("steps", *levels)])
+    if is_long:
+        today = local_day(as_of, tz)
+        start = F.date_sub(today, days)
+        points = tiered_daily(scan_samples(samples, since=day_bounds_utc(start, tz)[0], until=day_bounds_utc(today, tz)[1]).where(wanted), summaries.where(wanted & F.col("summary_date").between(start, today)), tz)
+    else:
+        points = daily_points(raw.where(wanted), tz).withColumn("tier", F.lit("raw"))
+    votes = unit_votes(points).where(F.col("metric_type") == metrics["steps"]).select("user_id", "unit", "other_points")
+    points = single_unit(points)
+    steps = points.where(F.col("metric_type") == metrics["steps"]).groupBy("user_id").agg(
+        rounded(F.sum("sum_value"), 0).alias("steps_total"), rounded(F.avg("sum_value"), 1).alias("steps_daily_avg"), F.count(F.lit(1)).alias("steps_days")
+    ).join(votes.select("user_id", F.col("unit").alias("steps_unit"), F.col("other_points").alias("steps_other_unit_days")), "user_id")
+    if is_long:
+        of = lambda m, c: _of(metrics[m], c)
+        mean = lambda m: rounded(F.sum(of(m, "sum_value")) / F.nullif(F.sum(of(m, "sample_count")), F.lit(0)), 2)
+        last = lambda m: rounded(F.max_by(of(m, "avg_value"), F.when(F.col("metric_type") == metrics[m], F.col("date"))), 2)
+        level = points.groupBy("user_id").agg(
+            *[x for m in levels for x in (mean(m).alias(f"{m}_avg"), last(m).alias(f"{m}_latest"), F.coalesce(F.sum(of(m, "sample_count")), F.lit(0)).cast("long").alias(f"{m}_n"))],
+            F.count_if(F.col("tier") == "summary").alias("summary_points"), F.count_if(F.col("tier") == "raw").alias("raw_points"),
+        )
+    else:
+        at = lambda m: F.when((F.col("metric_type") == metrics[m]) & F.col("value").isNotNull(), F.struct("started_at", tiebreak))
+        level = raw.where(wanted).groupBy("user_id").agg(
+            *[x for m in levels for x in (rounded(F.avg(_of(metrics[m])), 1).alias(f"{m}_avg"), rounded(F.max_by("value", at(m)), 2).alias(f"{m}_latest"), F.count(_of(metrics[m])).alias(f"{m}_n"))]
+        ).join(tier_status(points).groupBy("user_id").agg(F.sum("summary_points").alias("summary_points"), F.sum("raw_points").alias("raw_points")), "user_id", "left")
+    slept = raw.where(F.col("metric_type") == metrics["sleep"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("sleep_records"), F.count_if(F.col("value").isin(*ASLEEP)).alias("stage_records"))
+    trained = sessions.where((F.col("started_at") >= since) & (F.col("started_at") <= as_of)).groupBy("user_id").agg(F.count(F.lit(1)).alias("workouts"), F.sort_array(F.collect_set("workout_type")).alias("workout_types"))
+    ever = samples.select("user_id", "metric_type").unionByName(summaries.select("user_id", "metric_type"))
+    ids = users.select("user_id").distinct()
+    seen = points.where(F.col("metric_type") == metrics["steps"])
+    why = absence(ids, catalog, seen, ever).where(F.col("metric_type") == metrics["steps"]).select("user_id", F.col("reason").alias("steps_absence"))
+    out = ids
+    for part in (steps, level, slept, trained, why):
+        out = out.join(part, "user_id", "left")
+    counts = ("steps_days", "steps_other_unit_days", *(f"{m}_n" for m in levels), "sleep_records", "stage_records", "workouts", "summary_points", "raw_points")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts} | {"workout_types": F.coalesce("workout_types", F.array().cast("array<string>"))})
+
+
+def whole_snapshot(samples: DataFrame, summaries: DataFrame, sessions: DataFrame, day: Column, metrics: dict[str, str], cumulative: tuple[str, ...], tz="UTC", max_rows: int = 1000, tiebreak: str = "source_device") -> DataFrame:
+    """Everything of one local day, a row for each user with samples or summaries: highlights, their tier, metrics present, sleep, workouts, values.
+
+    Highlights (metrics but sleep and vo2): a day's total of cumulative metrics, else its first value; in the unit of most
+    samples (ties: first by name), from summaries (total or mean) for a metric without raw values. all_values: the first
+    max_rows samples by metric and time; truncated tells that there were more, total_records how many.
+    """
+    start, end = day_bounds_utc(day, tz)
+    raw, roles = scan_samples(samples, since=start, until=end), {r: m for r, m in metrics.items() if r not in ("sleep", "vo2")}
+    points = day_points(samples, summaries, day, tz).where(F.col("metric_type").isin(*roles.values()))
+    best = points.groupBy("user_id", "metric_type").agg(F.min_by(F.struct("unit", "sum_value", "avg_value", "tier"), F.struct(-F.col("sample_count"), F.col("unit"))).alias("s")).select("user_id", "metric_type", "s.*")
+    seen = F.when(F.col("value").isNotNull(), F.struct("started_at", tiebreak))
+    first = raw.groupBy("user_id", "metric_type", F.coalesce("unit", F.lit("")).alias("unit")).agg(F.min_by("value", seen).alias("first"))
+    told = best.join(first, ["user_id", "metric_type", "unit"], "left").withColumn(
+        "v", F.when(F.col("tier") == "summary", rounded(F.when(F.col("metric_type").isin(*cumulative), F.col("sum_value")).otherwise(F.col("avg_value")), 1)).when(F.col("metric_type").isin(*cumulative), rounded("sum_value", 0)).otherwise(rounded("first", 2))
+    )
+    high = told.groupBy("user_id").agg(*[F.max(_of(m, "v")).alias(r) for r, m in roles.items()], F.when(F.bool_or(F.col("tier") == "summary"), "summary").otherwise("raw").alias("highlights_tier"))
+    here = raw.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_records"), F.count_if(F.col("metric_type") == metrics["sleep"]).alias("sleep_records"), F.sort_array(F.collect_set("metric_type")).alias("present"))
+    value = F.struct("metric_type", "started_at", F.col(tiebreak).alias("nth"), "value", "unit")
+    listed = day_rows(samples, day, tz, max_rows, tiebreak).groupBy("user_id").agg(F.bool_or("truncated").alias("truncated"), F.sort_array(F.collect_list(value)).alias("all_values"))
+    trip = F.struct("started_at", "workout_type", rounded(F.coalesce("duration_seconds", F.lit(0.0)) / 60, 1).alias("duration_minutes"), F.col("energy_cal").alias("calories"))
+    trips = sessions.where((F.col("started_at") >= start) & (F.col("started_at") < end)).groupBy("user_id").agg(F.sort_array(F.collect_list(trip)).alias("workouts"))
+    old = summaries.where(F.col("summary_date") == day).groupBy("user_id").agg(F.sort_array(F.collect_set("metric_type")).alias("summarised"))
+    out = here.join(old, "user_id", "full").join(high, "user_id", "left").join(listed, "user_id", "left").join(trips, "user_id", "left")
+    none = lambda c: F.coalesce(c, F.array())
+    return out.select(
+        "user_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total_records", "sleep_records")], F.coalesce("truncated", F.lit(False)).alias("truncated"),
+        F.array_sort(F.array_union(none("present"), none("summarised"))).alias("metrics_present"), *roles, "highlights_tier", none("workouts").alias("workouts"), none("all_values").alias("all_values"),
+    )
+
+
 def coaching_brief(samples: DataFrame, sessions: DataFrame, as_of: Column, metrics: dict[str, str], tz="UTC", tiebreak: str = "source_device") -> DataFrame:
     """Freshness, sleep of the newest seven nights, newest seven hrv samples against the others of 14 days, and training load.
 

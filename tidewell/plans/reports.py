@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
+from ..functions.time import local_day
 from ..operators import daily, reports, sleep, workouts
 from ..sources.samples import scan_samples
-from .registry import AS_OF, CUMULATIVE, METRICS, TZ, _series, _sleep, _tiered, query, samples_of, summaries_of
+from .registry import _LOCAL, AS_OF, CATALOG, CUMULATIVE, METRICS, TZ, _series, _sleep, _table, _tiered, _trips, query, samples_of, summaries_of
 
 _MEAN = "CASE WHEN metric_type IN ('steps', 'active_energy') THEN round(avg(sum_value), 1) ELSE round(sum(sum_value) / nullif(sum(sample_count), 0), 2) END AS avg"
 _TIERS = "count(*) FILTER (tier = 'summary') AS summary_points, count(*) FILTER (tier = 'raw') AS raw_points"
@@ -111,3 +112,74 @@ FULL JOIN (SELECT user_id, CASE WHEN hours >= 7.5 THEN 30 WHEN hours >= 6.5 THEN
   (SELECT user_id, arg_max(total_minutes, night) / 60 AS hours FROM nights WHERE night BETWEEN DATE '2024-01-30' - 90 AND DATE '2024-01-30' GROUP BY user_id)) USING (user_id)""")
 def recovery_score_full(spark, sf_dir):
     return reports.recovery_score(_tiered(spark, sf_dir), sleep.sleep_nights(_sleep(spark, sf_dir), TZ), F.lit(AS_OF).cast("timestamp"), METRICS, TZ)
+
+
+def _left(spark, sf_dir):
+    """What compaction left raw: for users of odd number, summaries stand in for the steps, hrv and resting_hr of their days."""
+    gone = summaries_of(spark, sf_dir).where("user_id % 2 = 1 and metric_type in ('steps', 'hrv', 'resting_hr')").select("user_id", "metric_type", "summary_date").distinct()
+    s = samples_of(spark, sf_dir).withColumn("summary_date", local_day(F.col("started_at"), TZ))
+    return s.join(gone, ["user_id", "metric_type", "summary_date"], "left_anti").drop("summary_date")
+
+
+_LEFT = f""", left_raw AS (SELECT * FROM samples s WHERE NOT (user_id % 2 = 1 AND metric_type IN ('steps', 'hrv', 'resting_hr') AND EXISTS (SELECT 1 FROM summaries d WHERE d.user_id = s.user_id AND d.metric_type = s.metric_type AND d.date = {_LOCAL}::DATE)))"""
+
+
+def _whole(hours: int, points: str, levels: str) -> str:
+    """SQL of whole_summary over the last `hours`; points and levels differ with the window's length."""
+    return _LEFT + f""", recent AS (SELECT * FROM left_raw WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOUR AND started_at <= TIMESTAMP '{AS_OF}'),
+pts AS (SELECT *, count(*) OVER (PARTITION BY user_id, metric_type, unit) AS n, count(*) OVER (PARTITION BY user_id, metric_type) AS total FROM ({points}) WHERE metric_type IN ('steps', 'hrv', 'resting_hr')),
+own AS (SELECT * FROM (SELECT *, first_value(unit) OVER (PARTITION BY user_id, metric_type ORDER BY n DESC, unit) AS best FROM pts) WHERE unit = best),
+st AS (SELECT user_id, round(sum(sum_value), 0) AS steps_total, round(avg(sum_value), 1) AS steps_daily_avg, count(*) AS steps_days, any_value(unit) AS steps_unit, any_value(total) - any_value(n) AS other FROM own WHERE metric_type = 'steps' GROUP BY user_id),
+tiers AS (SELECT user_id, count(*) FILTER (tier = 'summary') AS summary_points, count(*) FILTER (tier = 'raw') AS raw_points FROM own GROUP BY user_id),
+lv AS ({levels}),
+sl AS (SELECT user_id, count(*) AS sleep_records, count(*) FILTER (value IN (3, 4, 5)) AS stage_records FROM recent WHERE metric_type = 'sleep' GROUP BY user_id),
+wo AS (SELECT user_id, count(*) AS workouts, string_agg(DISTINCT workout_type, ',' ORDER BY workout_type) AS workout_types FROM trips WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOUR AND started_at <= TIMESTAMP '{AS_OF}' GROUP BY user_id),
+ever AS (SELECT user_id, bool_or(metric_type = 'steps') AS steps FROM (SELECT user_id, metric_type FROM left_raw UNION ALL SELECT user_id, metric_type FROM summaries) GROUP BY user_id)
+SELECT c_custkey AS user_id, steps_total, steps_daily_avg, coalesce(steps_days, 0) AS steps_days, steps_unit, coalesce(other, 0)::BIGINT AS steps_other_unit_days, hrv_avg, hrv_latest, coalesce(hrv_n, 0)::BIGINT AS hrv_n, rhr_avg, rhr_latest, coalesce(rhr_n, 0)::BIGINT AS rhr_n,
+coalesce(summary_points, 0) AS summary_points, coalesce(raw_points, 0) AS raw_points, coalesce(sleep_records, 0) AS sleep_records, coalesce(stage_records, 0) AS stage_records, coalesce(workouts, 0) AS workouts, coalesce(workout_types, '') AS workout_types,
+CASE WHEN steps_days IS NOT NULL THEN NULL WHEN e.steps THEN 'empty_window' WHEN e.user_id IS NULL THEN 'no_data_yet' ELSE 'never_recorded' END AS steps_absence
+FROM customer u LEFT JOIN st ON st.user_id = c_custkey LEFT JOIN tiers t ON t.user_id = c_custkey LEFT JOIN lv ON lv.user_id = c_custkey LEFT JOIN sl ON sl.user_id = c_custkey LEFT JOIN wo ON wo.user_id = c_custkey LEFT JOIN ever e ON e.user_id = c_custkey"""
+
+
+def _whole_summary(spark, sf_dir, days):
+    users = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    catalog = spark.createDataFrame(CATALOG, "metric_type string, always_expected boolean, wearable boolean, evidence boolean")
+    out = reports.whole_summary(_left(spark, sf_dir), summaries_of(spark, sf_dir), _trips(spark, sf_dir), users, catalog, F.lit(AS_OF).cast("timestamp"), METRICS, TZ, days, "event_id")
+    return out.withColumn("workout_types", F.array_join("workout_types", ","))
+
+
+@query(_whole(168, f"""SELECT user_id, metric_type, {_LOCAL}::DATE AS date, unit, round(sum(value), 4) AS sum_value, 'raw' AS tier FROM recent WHERE value IS NOT NULL GROUP BY ALL""", """SELECT user_id, round(avg(value) FILTER (metric_type = 'hrv'), 1) AS hrv_avg,
+round(arg_max(value, (started_at, event_id)) FILTER (metric_type = 'hrv' AND value IS NOT NULL), 2) AS hrv_latest, count(value) FILTER (metric_type = 'hrv') AS hrv_n, round(avg(value) FILTER (metric_type = 'resting_hr'), 1) AS rhr_avg,
+round(arg_max(value, (started_at, event_id)) FILTER (metric_type = 'resting_hr' AND value IS NOT NULL), 2) AS rhr_latest, count(value) FILTER (metric_type = 'resting_hr') AS rhr_n FROM recent GROUP BY user_id"""))
+def health_summary_full(spark, sf_dir):
+    return _whole_summary(spark, sf_dir, 7)
+
+
+def _level(m: str, c: str) -> str:
+    return f"""round(sum(sum_value) FILTER (metric_type = '{m}') / nullif(sum(sample_count) FILTER (metric_type = '{m}'), 0), 2) AS {c}_avg, round(arg_max(avg_value, date) FILTER (metric_type = '{m}'), 2) AS {c}_latest, sum(sample_count) FILTER (metric_type = '{m}') AS {c}_n"""
+
+
+@query(_whole(90 * 24, "SELECT * FROM tiered WHERE date BETWEEN DATE '2024-01-30' - 90 AND DATE '2024-01-30'", f"SELECT user_id, {_level('hrv', 'hrv')}, {_level('resting_hr', 'rhr')} FROM own GROUP BY user_id"))
+def health_summary_long(spark, sf_dir):
+    return _whole_summary(spark, sf_dir, 90)
+
+
+_HIGH = ", ".join(f"max(v) FILTER (metric_type = '{m}') AS {r}" for r, m in METRICS.items() if r not in ("sleep", "vo2"))
+
+
+@query(_LEFT + f""", here AS (SELECT * FROM left_raw WHERE started_at >= TIMESTAMP '{_DAY} 05:00:00' AND started_at < TIMESTAMP '2024-01-17 05:00:00'),
+pts AS (SELECT user_id, metric_type, unit, sum(value) AS total, arg_min(value, (started_at, event_id)) FILTER (value IS NOT NULL) AS level, count(value) AS n, 'raw' AS tier FROM here WHERE value IS NOT NULL GROUP BY user_id, metric_type, unit UNION ALL
+  SELECT user_id, metric_type, unit, sum_value, avg_value, sample_count, 'summary' FROM summaries s WHERE date = DATE '{_DAY}' AND NOT EXISTS (SELECT 1 FROM here h WHERE h.user_id = s.user_id AND h.metric_type = s.metric_type AND h.value IS NOT NULL)),
+chosen AS (SELECT *, CASE WHEN tier = 'summary' THEN round(CASE WHEN metric_type IN ('steps', 'active_energy') THEN total ELSE level END, 1) WHEN metric_type IN ('steps', 'active_energy') THEN round(total, 0) ELSE round(level, 2) END AS v
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY n DESC, unit) AS rn FROM pts WHERE metric_type <> 'sleep') WHERE rn = 1),
+high AS (SELECT user_id, {_HIGH}, CASE WHEN bool_or(tier = 'summary') THEN 'summary' ELSE 'raw' END AS highlights_tier FROM chosen GROUP BY user_id),
+present AS (SELECT user_id, string_agg(DISTINCT metric_type, ',' ORDER BY metric_type) AS metrics_present FROM (SELECT user_id, metric_type FROM here UNION ALL SELECT user_id, metric_type FROM summaries WHERE date = DATE '{_DAY}') GROUP BY user_id),
+rec AS (SELECT user_id, count(*) AS total_records, count(*) FILTER (metric_type = 'sleep') AS sleep_records, string_agg(metric_type || ':' || event_id || ':' || unit || ':' || coalesce(floor(value)::BIGINT, -1), ',' ORDER BY metric_type, started_at, event_id) AS all_values FROM here GROUP BY user_id),
+wo AS (SELECT user_id, string_agg(workout_type || ':' || round(round(coalesce(duration_seconds, 0) / 60, 1) * 10, 0)::BIGINT, ',' ORDER BY started_at, workout_type) AS workouts FROM trips WHERE started_at >= TIMESTAMP '{_DAY} 05:00:00' AND started_at < TIMESTAMP '2024-01-17 05:00:00' GROUP BY user_id)
+SELECT user_id, coalesce(total_records, 0) AS total_records, coalesce(sleep_records, 0) AS sleep_records, false AS truncated, metrics_present, steps, energy, hrv, rhr, weight, highlights_tier, coalesce(workouts, '') AS workouts, coalesce(all_values, '') AS all_values
+FROM present LEFT JOIN rec USING (user_id) LEFT JOIN high USING (user_id) LEFT JOIN wo USING (user_id)""")
+def daily_snapshot_full(spark, sf_dir):
+    out = reports.whole_snapshot(_left(spark, sf_dir), summaries_of(spark, sf_dir), _trips(spark, sf_dir), _day(), METRICS, CUMULATIVE, TZ, tiebreak="event_id")
+    value = lambda x: F.concat_ws(":", x["metric_type"], x["nth"].cast("string"), x["unit"], F.coalesce(F.floor(x["value"]), F.lit(-1)).cast("string"))
+    trip = lambda x: F.concat_ws(":", x["workout_type"], F.round(x["duration_minutes"] * 10).cast("long").cast("string"))
+    return out.withColumns({"metrics_present": F.array_join("metrics_present", ","), "workouts": F.array_join(F.transform("workouts", trip), ","), "all_values": F.array_join(F.transform("all_values", value), ",")})
