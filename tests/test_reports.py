@@ -111,3 +111,18 @@ def test_whole_snapshot_has_a_row_for_compacted_days_and_all_values(spark):
     assert (u.steps, u.rhr, u.weight, u.highlights_tier, u.total_records, u.truncated, len(u.all_values), u.sleep_records) == (15.0, 60.0, 80.0, "summary", 7, True, 6, 1)
     assert [(x.workout_type, x.duration_minutes) for x in u.workouts] == [("Run", 1.5)] and u.metrics_present == ["rhr", "sleep", "steps", "weight", "workout"]
     assert (w.steps, w.rhr, w.total_records, w.metrics_present, w.all_values, w.workouts) == (4.0, 61.0, 0, ["rhr", "steps"], [], [])
+
+
+def test_brief_counts_30_days_of_workouts_and_finds_compacted_vo2(spark):
+    m = {"steps": "steps", "energy": "energy", "hrv": "hrv", "rhr": "rhr", "sleep": "sleep", "vo2": "vo2", "weight": "weight"}
+    at, run = F.lit("2024-01-31").cast("timestamp"), '{"workout_type": "Run", "duration_seconds": 5400}'
+    s = rows(spark, [("u", "workout", 1.0, "s", T(2024, 1, d), run) for d in (2, 20)] + [("u", "workout", 1.0, "s", T(2023, 10, 1), run)] + [("u", "hrv", 50.0 if d > 23 else 40.0, "ms", T(2024, 1, d), None) for d in range(19, 31)] + [("u", "rhr", 55.0, "bpm", T(2024, 1, 29), None), ("u", "steps", 100.0, "count", T(2024, 1, 29), None), ("u", "steps", 7.0, "kg", T(2024, 1, 29), None), ("u", "steps", 200.0, "count", T(2024, 1, 30), None)])
+    old = daily.daily_points(rows(spark, [("u", "vo2", 48.0, "", T(2023, 8, 1), None), ("z", "vo2", 44.0, "", T(2023, 8, 1), None), ("u", "vo2", 30.0, "", T(2022, 8, 1), None)])).withColumnRenamed("date", "summary_date")
+    trips = workouts.workouts(s.where("metric_type = 'workout'"))
+    assert [(r.sessions_30d, r.weekly_sessions) for r in reports.coaching_brief(s, trips, at, m).collect()] == [(2, 0.5)]
+    marks = {r.user_id: (r.vo2_latest, r.vo2_tier) for r in reports.fitness_markers(s, at, m, old).collect()}
+    assert marks["u"] == (48.0, "summary") and marks["z"] == (44.0, "summary")
+    b = {r.user_id: r for r in reports.whole_brief(s, old, trips, at, m).collect()}
+    u = b["u"]
+    assert (u.sessions_30d, u.hours_30d, u.by_type, u.hrv_latest, u.hrv_delta, u.hrv_trend, u.rhr_latest, u.rhr_avg, u.steps_daily_avg, u.energy_daily_avg, u.vo2_latest) == (2, 3.0, {"Run": 2}, 50.0, 10.0, "up", 55.0, 55.0, 150.0, None, 48.0)
+    assert (b["z"].status, b["z"].vo2_latest, b["z"].sleep_flag) == ("none", 44.0, "no data")

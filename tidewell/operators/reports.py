@@ -208,10 +208,14 @@ def whole_snapshot(samples: DataFrame, summaries: DataFrame, sessions: DataFrame
     )
 
 
+def _last_30_days(sessions: DataFrame, as_of: Column) -> DataFrame:
+    return sessions.where((F.col("started_at") >= as_of - F.expr("INTERVAL 30 DAYS")) & (F.col("started_at") <= as_of))
+
+
 def coaching_brief(samples: DataFrame, sessions: DataFrame, as_of: Column, metrics: dict[str, str], tz="UTC", tiebreak: str = "source_device") -> DataFrame:
     """Freshness, sleep of the newest seven nights, newest seven hrv samples against the others of 14 days, and training load.
 
-    sessions: the workouts of the last 30 days. Every user with any sample has a row.
+    sessions: workouts of any time; those of the last 30 days count. Every user with any sample has a row.
     """
     fresh = freshness(samples, as_of).select("user_id", "status")
     nights = top_k_per(sleep_nights(scan_samples(samples, metrics["sleep"]), tz), ["user_id"], [F.col("night").desc()], 7).groupBy("user_id").agg(rounded(F.avg(F.col("total_minutes") / 60), 1).alias("last7_sleep_hours"))
@@ -219,7 +223,7 @@ def coaching_brief(samples: DataFrame, sessions: DataFrame, as_of: Column, metri
     hrv = scan_samples(samples, metrics["hrv"], since=as_of - F.expr("INTERVAL 14 DAYS")).withColumn("rn", F.row_number().over(w)).groupBy("user_id").agg(
         rounded(F.avg(F.when(F.col("rn") <= 7, F.col("value"))), 2).alias("newest7_hrv"), rounded(F.avg(F.when(F.col("rn") > 7, F.col("value"))), 2).alias("earlier_hrv")
     )
-    load = sessions.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions_30d"))
+    load = _last_30_days(sessions, as_of).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions_30d"))
     h, d = F.col("last7_sleep_hours"), F.col("newest7_hrv") - F.col("earlier_hrv")
     return fresh.join(nights, "user_id", "left").join(hrv, "user_id", "left").join(load, "user_id", "left").select(
         "user_id", "status", h, F.when(h.isNull(), "no data").when(h >= 7.5, "good").when(h >= 6.5, "borderline").otherwise("poor").alias("sleep_flag"), "newest7_hrv", "earlier_hrv",
@@ -227,14 +231,49 @@ def coaching_brief(samples: DataFrame, sessions: DataFrame, as_of: Column, metri
     )
 
 
-def fitness_markers(samples: DataFrame, as_of: Column, metrics: dict[str, str]) -> DataFrame:
-    """Per user: newest vo2 of 365 days; newest and oldest weight of 30 days, the latter null with fewer than two rows."""
+def fitness_markers(samples: DataFrame, as_of: Column, metrics: dict[str, str], summaries: DataFrame | None = None, tz="UTC") -> DataFrame:
+    """Per user: newest vo2 of 365 days; newest and oldest weight of 30 days, the latter null with fewer than two rows.
+
+    With summaries, vo2 is the newest local day's mean over both tiers, in the unit of most days, and vo2_tier tells where it came from.
+    """
     s = scan_samples(samples, since=as_of - F.expr("INTERVAL 365 DAYS")).where(F.col("metric_type").isin(metrics["vo2"], metrics["weight"]) & F.col("value").isNotNull())
     at = lambda m, days: F.when((F.col("metric_type") == metrics[m]) & (F.col("started_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")), F.struct("started_at", "value"))
     v, w = at("vo2", 365), at("weight", 30)
-    return s.groupBy("user_id").agg(
+    out = s.groupBy("user_id").agg(
         rounded(F.max_by("value", v), 2).alias("vo2_latest"), rounded(F.max_by("value", w), 2).alias("weight_latest"), F.when(F.count(w) > 1, rounded(F.min_by("value", w), 2)).alias("weight_30d_ago")
     )
+    if summaries is None:
+        return out
+    today, kind = local_day(as_of, tz), F.col("metric_type") == metrics["vo2"]
+    start = F.date_sub(today, 365)
+    old = summaries.where(kind & F.col("summary_date").between(start, today))
+    points = single_unit(tiered_daily(scan_samples(samples, since=day_bounds_utc(start, tz)[0], until=day_bounds_utc(today, tz)[1]).where(kind), old, tz))
+    newest = points.groupBy("user_id").agg(F.max_by(F.struct("avg_value", "tier"), "date").alias("n"))
+    return newest.select("user_id", rounded("n.avg_value", 2).alias("vo2_latest"), F.col("n.tier").alias("vo2_tier")).join(out.drop("vo2_latest"), "user_id", "full")
+
+
+def whole_brief(samples: DataFrame, summaries: DataFrame, sessions: DataFrame, as_of: Column, metrics: dict[str, str], tz="UTC", tiebreak: str = "source_device") -> DataFrame:
+    """coaching_brief with the rest of the report: hrv and rhr of 14 days, hours and types of 30 days' workouts, 7 days' activity, fitness markers.
+
+    hrv_trend follows hrv_delta, which has one decimal. A user who has summaries of vo2 only has a row of status "none".
+    """
+    w = Window.partitionBy("user_id", "metric_type").orderBy(F.col("started_at").desc(), tiebreak)
+    two = scan_samples(samples, since=as_of - F.expr("INTERVAL 14 DAYS"), until=as_of + F.expr("INTERVAL 1 MICROSECOND")).where(F.col("metric_type").isin(metrics["hrv"], metrics["rhr"])).withColumn("rn", F.row_number().over(w))
+    at = lambda m: F.when((F.col("metric_type") == metrics[m]) & F.col("value").isNotNull(), F.struct("started_at", tiebreak))
+    hrv = _of(metrics["hrv"])
+    level = two.groupBy("user_id").agg(
+        rounded(F.max_by("value", at("hrv")), 2).alias("hrv_latest"), rounded(F.avg(F.when(F.col("rn") <= 7, hrv)) - F.avg(F.when(F.col("rn") > 7, hrv)), 1).alias("hrv_delta"),
+        rounded(F.max_by("value", at("rhr")), 2).alias("rhr_latest"), rounded(F.avg(_of(metrics["rhr"])), 1).alias("rhr_avg"),
+    )
+    kinds = _last_30_days(sessions, as_of).groupBy("user_id", "workout_type").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_seconds").alias("seconds"))
+    load = kinds.groupBy("user_id").agg(rounded(F.sum(F.coalesce("seconds", F.lit(0.0))) / 3600, 1).alias("hours_30d"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("workout_type", "n")))).alias("by_type"))
+    week = scan_samples(samples, since=as_of - F.expr("INTERVAL 7 DAYS"), until=as_of + F.expr("INTERVAL 1 MICROSECOND")).where(F.col("metric_type").isin(metrics["steps"], metrics["energy"]))
+    active = single_unit(daily_points(week, tz)).groupBy("user_id").agg(*[rounded(F.avg(_of(metrics[m], "sum_value")), 1).alias(f"{m}_daily_avg") for m in ("steps", "energy")])
+    out = coaching_brief(samples, sessions, as_of, metrics, tz, tiebreak).drop("hrv_trend").join(fitness_markers(samples, as_of, metrics, summaries, tz), "user_id", "full")
+    for part in (level, load, active):
+        out = out.join(part, "user_id", "left")
+    d = F.col("hrv_delta")
+    return out.withColumns({"status": F.coalesce("status", F.lit("none")), "sleep_flag": F.coalesce("sleep_flag", F.lit("no data")), "hrv_trend": F.when(d > 2, "up").when(d < -2, "down").when(d.isNotNull(), "flat")})
 
 
 def recovery_score(points: DataFrame, nights: DataFrame, as_of: Column, metrics: dict[str, str], tz="UTC", days: int = 90) -> DataFrame:

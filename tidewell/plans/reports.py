@@ -8,7 +8,7 @@ from ..functions.numbers import rounded
 from ..functions.time import local_day
 from ..operators import daily, reports, sleep, workouts
 from ..sources.samples import scan_samples
-from .registry import _LOCAL, AS_OF, CATALOG, CUMULATIVE, METRICS, TZ, _series, _sleep, _table, _tiered, _trips, query, samples_of, summaries_of
+from .registry import _LOCAL, AS_OF, ORACLES, CATALOG, CUMULATIVE, METRICS, TZ, _series, _sleep, _table, _tiered, _trips, query, samples_of, summaries_of
 
 _MEAN = "CASE WHEN metric_type IN ('steps', 'active_energy') THEN round(avg(sum_value), 1) ELSE round(sum(sum_value) / nullif(sum(sample_count), 0), 2) END AS avg"
 _TIERS = "count(*) FILTER (tier = 'summary') AS summary_points, count(*) FILTER (tier = 'raw') AS raw_points"
@@ -183,3 +183,31 @@ def daily_snapshot_full(spark, sf_dir):
     value = lambda x: F.concat_ws(":", x["metric_type"], x["nth"].cast("string"), x["unit"], F.coalesce(F.floor(x["value"]), F.lit(-1)).cast("string"))
     trip = lambda x: F.concat_ws(":", x["workout_type"], F.round(x["duration_minutes"] * 10).cast("long").cast("string"))
     return out.withColumns({"metrics_present": F.array_join("metrics_present", ","), "workouts": F.array_join(F.transform("workouts", trip), ","), "all_values": F.array_join(F.transform("all_values", value), ",")})
+
+
+_MARKS = f"""SELECT * FROM (SELECT user_id, round(arg_max(avg_value, date), 2) AS vo2_latest, arg_max(tier, date) AS vo2_tier FROM (SELECT * FROM (SELECT *, first_value(unit) OVER (PARTITION BY user_id ORDER BY n DESC, unit) AS best FROM
+  (SELECT *, count(*) OVER (PARTITION BY user_id, unit) AS n FROM tiered WHERE metric_type = 'hrv' AND date BETWEEN DATE '2024-01-30' - 365 AND DATE '2024-01-30')) WHERE unit = best) GROUP BY user_id)
+FULL JOIN (SELECT user_id, round(arg_max(value, started_at) FILTER (recent), 2) AS weight_latest, CASE WHEN count(*) FILTER (recent) > 1 THEN round(arg_min(value, started_at) FILTER (recent), 2) END AS weight_30d_ago
+  FROM (SELECT *, metric_type = 'resting_hr' AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS recent FROM %s WHERE metric_type IN ('hrv', 'resting_hr') AND value IS NOT NULL AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) GROUP BY user_id) USING (user_id)"""
+
+
+@query(_LEFT + _MARKS % "left_raw")
+def fitness_markers_tiered(spark, sf_dir):
+    return reports.fitness_markers(_left(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), METRICS, summaries_of(spark, sf_dir), TZ)
+
+
+@query(f"""SELECT user_id, coalesce(status, 'none') AS status, last7_sleep_hours, coalesce(sleep_flag, 'no data') AS sleep_flag, newest7_hrv, earlier_hrv, sessions_30d, weekly_sessions, vo2_latest, vo2_tier, weight_latest, weight_30d_ago, hrv_latest, hrv_delta, rhr_latest, rhr_avg,
+  hours_30d, by_type, steps_daily_avg, energy_daily_avg, CASE WHEN hrv_delta > 2 THEN 'up' WHEN hrv_delta < -2 THEN 'down' WHEN hrv_delta IS NOT NULL THEN 'flat' END AS hrv_trend
+FROM ({ORACLES['coaching_brief']}) b FULL JOIN ({_MARKS % 'samples'}) m USING (user_id)
+LEFT JOIN (SELECT user_id, round(arg_max(value, (started_at, event_id)) FILTER (metric_type = 'hrv' AND value IS NOT NULL), 2) AS hrv_latest, round(avg(value) FILTER (metric_type = 'hrv' AND rn <= 7) - avg(value) FILTER (metric_type = 'hrv' AND rn > 7), 1) AS hrv_delta,
+  round(arg_max(value, (started_at, event_id)) FILTER (metric_type = 'resting_hr' AND value IS NOT NULL), 2) AS rhr_latest, round(avg(value) FILTER (metric_type = 'resting_hr'), 1) AS rhr_avg
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY started_at DESC, event_id) AS rn FROM samples WHERE metric_type IN ('hrv', 'resting_hr') AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AND started_at <= TIMESTAMP '{AS_OF}') GROUP BY user_id) USING (user_id)
+LEFT JOIN (SELECT user_id, round(sum(coalesce(seconds, 0)) / 3600, 1) AS hours_30d, string_agg(workout_type || ':' || n, ',' ORDER BY workout_type) AS by_type FROM (SELECT user_id, workout_type, count(*) AS n, sum(duration_seconds) AS seconds FROM trips
+  WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND started_at <= TIMESTAMP '{AS_OF}' GROUP BY ALL) GROUP BY user_id) USING (user_id)
+LEFT JOIN (SELECT user_id, round(avg(total) FILTER (metric_type = 'steps'), 1) AS steps_daily_avg, round(avg(total) FILTER (metric_type = 'active_energy'), 1) AS energy_daily_avg FROM (SELECT *, first_value(unit) OVER (PARTITION BY user_id, metric_type ORDER BY n DESC, unit) AS best FROM
+  (SELECT *, count(*) OVER (PARTITION BY user_id, metric_type, unit) AS n FROM (SELECT user_id, metric_type, unit, {_LOCAL}::DATE AS date, round(sum(value), 4) AS total FROM samples
+    WHERE metric_type IN ('steps', 'active_energy') AND value IS NOT NULL AND started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND started_at <= TIMESTAMP '{AS_OF}' GROUP BY ALL))) WHERE unit = best GROUP BY user_id) USING (user_id)""")
+def coaching_brief_full(spark, sf_dir):
+    out = reports.whole_brief(samples_of(spark, sf_dir), summaries_of(spark, sf_dir), _trips(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), METRICS, TZ, "event_id")
+    told = F.transform(F.map_entries("by_type"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return out.withColumn("by_type", F.array_join(told, ","))
