@@ -221,6 +221,17 @@ def test_near_copies_equal_brute_force(spark):
     assert order_minhash.near_classes(docs(spark, []).limit(0)).count() == 0
 
 
+def test_repeated_ids_do_not_bring_near_copies_back(spark):
+    text, other = prose(70), prose(71)
+    near = " ".join([*text.split()[:-1], "changed"])
+    d = docs(spark, [(3, text), (5, near), (5, other), (8, other + " more"), (9, text), (9, near), (None, prose(72)), (None, prose(73)), (None, prose(73) + " x")])
+    left = order_minhash.drop_near_copies(d)
+    got = sorted((x.doc_id or 0, x.text) for x in left.collect())
+    assert got[2:] == [(3, text), (5, other)] and [i for i, _ in got[:2]] == [0, 0] and len(got) == 4
+    twice = order_minhash.near_classes(docs(spark, [(5, text), (5, near), (5, near), (6, near)])).collect()
+    assert sum(x.kept for x in twice) == 1 and {x.class_size for x in twice} == {4} and twice[0].asDict().keys() == {"doc_id", "class_id", "class_size", "kept"}
+
+
 def test_toxicity_on_unseen_documents(spark):
     texts = [(i, prose(i) + (" vile rotten" if i % 4 == 0 else "")) for i in range(400)]
     d = docs(spark, texts + [(1000, None), (1001, "")])

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .components import components
 from .shared import col, packed, slices, stored
@@ -227,8 +228,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     A class is a connected component of links (similarity or more); its smallest doc_id is kept. Texts without
     words are in one class only if they are equal; null counts as empty. Texts of fewer than five words match only
     if their words are equal. A null id is the smallest only of a class that has no other. Rows that repeat an id
-    and words count as members; one of them is kept. An empty table gives an empty result. Other columns are ignored.
+    count as members each; a class keeps one of its rows, of the smallest node. An empty table gives an empty result. Other columns are ignored.
     """
+    return noded_classes(docs, similarity, id_col, text_col).drop("node")
+
+
+def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_classes with the node of each row."""
     seen = stored(sketches(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches")
     nodes = seen.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.expr("bit_or(shiftleft(1L, salt))").alias("salts"))
     one = seen.select("node", "bands").dropDuplicates(["node"])
@@ -271,10 +277,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
     rooted = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"))
-    told = rooted.join(classes, "root").select("node", "class_id", "class_size", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(F.col("salts"), s) == 1)).alias("salt"))
-    repeats = Window.partitionBy("node", "salt", "doc_id").orderBy("class_id")
+    told = rooted.join(classes, "root").select("node", "root", "class_id", "class_size", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(F.col("salts"), s) == 1)).alias("salt"))
+    repeats = Window.partitionBy("root", "salt", "doc_id").orderBy("node")
     return seen.select("doc_id", "node", "salt").join(told, ["node", "salt"]).select(
-        "doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.row_number().over(repeats) == 1)).alias("kept")
+        "doc_id", "node", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.row_number().over(repeats) == 1)).alias("kept")
     )
 
 
@@ -285,8 +291,20 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
+@F.arrow_udf(LongType())
+def _nodes(texts: pa.Array) -> pa.Array:
+    return pa.array([digest(t, words(t)) for t in texts.to_pylist()], pa.int64())
+
+
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their columns as they were. Rows that repeat an id stay or go together."""
-    kept = near_classes(docs, similarity, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    base = docs.select(packed(docs), col(id_col).cast("long").alias("id"))
-    return base.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The documents that stay, one of each class, with their columns as they were.
+
+    Rows are found again by id and node, so an id may repeat with other texts; of rows of one id and node one stays.
+    """
+    at = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), "node"]
+    kept = noded_classes(docs, similarity, id_col, text_col).where("kept").select(*at)
+    base = docs.select(packed(docs), col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = base.select("row", F.xxhash64("text").alias("first"), "doc_id", _nodes("text").alias("node")).select("row", "first", *at)
+    own = base.join(kept, ["id", "no_id", "node"], "left_semi")
+    one = own.withColumn("rn", F.row_number().over(Window.partitionBy("id", "no_id", "node").orderBy("first"))).where("rn = 1")
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
