@@ -73,6 +73,14 @@ def test_long_chains(spark):
     assert chat_trees.formatted(empty, chat_trees.paths(empty)).count() == 0
 
 
+def test_loss_text_comes_from_the_mask(spark, monkeypatch):
+    good = {r.conv_id: r for r in queries.op6_chat_formatting(spark, SF).collect()}
+    assert good[-1].loss_chars == len("<|im_end|><|im_start|>assistant ok") and sum(r.loss_chars for r in good.values()) > good[-1].loss_chars
+    right = chat_trees.formatted
+    monkeypatch.setattr(chat_trees, "formatted", lambda *a: right(*a).withColumn("loss_spans", F.slice("loss_spans", 1, 0)))
+    assert {r.loss_chars for r in queries.op6_chat_formatting(spark, SF).collect()} == {0}
+
+
 def test_url_rules_and_scores(spark):
     urls = ["http://A.com/x", "https://www.example.com/en/1", "http://example.com/en/", "http://b.net/es/?q", "http://b.net/fr", "http://c.org/p/1", None, "nothing", "http://spam.org"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, row string")

@@ -76,17 +76,11 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     total = levels[-1].where("up is null")
     leaves = total.where("leaf")
     ranked = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "node"))).where(F.col("branch") <= branches)
-    ranked = ranked.join(leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n_leaves")), "tree").select("tree", F.col("node").alias("leaf"), "branch", "n_leaves")
-    # A tree of one leaf is one path: all its messages are on it.
-    lone = total.select("tree", "node", "depth").join(ranked.where("n_leaves = 1"), "tree").select("tree", "leaf", "node", "depth", "branch")
-    chosen = ranked.where("n_leaves > 1").select("tree", "leaf", F.col("leaf").alias("node"), "branch")
-    if not chosen.isEmpty():
-        for jump in reversed(levels[:-1]):
-            up = jump.where("up is not null").select("tree", "node", "up")
-            chosen = stored(chosen.unionByName(chosen.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), "branch")), "paths")
-        on = chosen.join(total.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "node", "depth", "branch")
-        lone = lone.unionByName(on)
-    return lone
+    chosen = ranked.select("tree", F.col("node").alias("leaf"), "node", "branch")
+    for jump in reversed(levels[:-1]):
+        up = jump.where("up is not null").select("tree", "node", "up")
+        chosen = stored(chosen.unionByName(chosen.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), "branch")), "paths")
+    return chosen.join(total.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "node", "depth", "branch")
 
 
 def formatted(messages: DataFrame, on_paths: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -41,9 +41,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     nodes = chat_trees.stored(chat_trees.chains(rows), "chains")
-    out = chat_trees.formatted(nodes, chat_trees.paths(nodes)).select("conv_id", "formatted")
+    out = chat_trees.formatted(nodes, chat_trees.paths(nodes)).select("conv_id", "formatted", "loss_spans")
     turns = out.withColumn("turns", chat_trees.read_back(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    cut = lambda s: F.substring(F.col("formatted"), (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int"))
+    loss = F.array_join(F.transform("loss_spans", lambda s: chat_trees.unescaped(cut(s))), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return turns.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
