@@ -126,3 +126,12 @@ def test_brief_counts_30_days_of_workouts_and_finds_compacted_vo2(spark):
     u = b["u"]
     assert (u.sessions_30d, u.hours_30d, u.by_type, u.hrv_latest, u.hrv_delta, u.hrv_trend, u.rhr_latest, u.rhr_avg, u.steps_daily_avg, u.energy_daily_avg, u.vo2_latest) == (2, 3.0, {"Run": 2}, 50.0, 10.0, "up", 55.0, 55.0, 150.0, None, 48.0)
     assert (b["z"].status, b["z"].vo2_latest, b["z"].sleep_flag) == ("none", 44.0, "no data")
+
+
+def test_store_and_batch_cover_the_whole_table(spark):
+    from tidewell import plans
+    from tidewell.plans import analyses
+
+    s = plans.registry.samples_of(spark, "/root/testdata/sf0.001")
+    assert s.where(f"not (({analyses._STORED}) or event_id % 3 = 0)").count() == 0
+    assert plans.registry.QUERIES["upsert_samples_all"](spark, "/root/testdata/sf0.001").count() == s.count()

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.time import local_day
 from ..operators import analyses, sleep, store, upkeep
+from ..schema import MERGED_SOURCE
 from ..sources.samples import scan_samples, with_stage_names
-from .registry import _GO, _LOCAL, _RUNS, AS_OF, CUTOFF, TZ, _points, _row, _ROW, _series, _sleep, _store, _trips, query, samples_of, summaries_of
+from .registry import _GO, _LOCAL, _RUNS, _SUMMED, AS_OF, CUTOFF, TZ, _merged, _points, _row, _ROW, _series, _sleep, _store, _summary, _trips, query, samples_of, summaries_of
+
+
+#: With event_id % 3 = 0 as the batch, each row is in the store, in the batch, or in both.
+_STORED = "event_id % 3 <> 0 or event_id % 2 = 0"
 
 
 def _as_of():
@@ -101,7 +107,7 @@ FROM samples WHERE event_id % 3 = 0 GROUP BY ALL""")
 def batch_log(spark, sf_dir):
     s = samples_of(spark, sf_dir)
     batch = s.where("event_id % 3 = 0").withColumn("metadata", F.when(F.col("user_id") % 7 == 0, F.repeat(F.lit("x"), 5000)).otherwise(F.col("metadata")))
-    return upkeep.batch_log(store.validate(batch), s.where("event_id % 2 = 0"))
+    return upkeep.batch_log(store.validate(batch), s.where(_STORED))
 
 
 @query(f"SELECT {_ROW} FROM samples s WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.user_id % 2 = 0 AND m.user_id = s.user_id AND m.metric_type = s.metric_type AND m.started_at = date_trunc('hour', s.started_at)) UNION ALL SELECT {_ROW} FROM merged WHERE user_id % 2 = 0")
@@ -112,7 +118,24 @@ def repair_hours(spark, sf_dir):
 @query(f"SELECT {_ROW} FROM samples WHERE event_id % 3 = 0 AND event_id % 2 = 1")
 def append_missing(spark, sf_dir):
     s = samples_of(spark, sf_dir)
-    return _row(store.missing_only(s.where("event_id % 2 = 0"), s.where("event_id % 3 = 0")))
+    return _row(store.missing_only(s.where(_STORED), s.where("event_id % 3 = 0")))
+
+
+@query(f"""SELECT {_ROW} FROM (SELECT * EXCLUDE (event_id) FROM samples WHERE event_id % 3 <> 0 UNION ALL SELECT * EXCLUDE (event_id) REPLACE (value + 1 AS value) FROM samples WHERE event_id % 3 = 0)""")
+def upsert_samples_all(spark, sf_dir):
+    """upsert_samples over the whole table: each row is in the store, in the batch, or in both."""
+    s = samples_of(spark, sf_dir)
+    batch = s.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1)
+    return _row(store.upserted(s.where(_STORED).drop("event_id"), batch.drop("event_id")))
+
+
+@query(f"""SELECT user_id, metric_type, summary_date, unit, {_SUMMED} FROM (SELECT *, bool_and(source_device = '{MERGED_SOURCE}') OVER (PARTITION BY user_id, metric_type, summary_date) AS clean FROM
+(SELECT *, {_LOCAL}::DATE AS summary_date FROM merged UNION ALL SELECT * FROM (SELECT * EXCLUDE (event_id), {_LOCAL}::DATE AS summary_date FROM samples) WHERE metric_type <> 'steps' OR user_id % 3 <> 0 OR day(summary_date) % 4 = 0)) WHERE clean GROUP BY user_id, metric_type, summary_date, unit""")
+def recompute_summaries_all(spark, sf_dir):
+    """recompute_summaries with all device rows but those that merging has replaced: every fourth day of merged users still has both."""
+    s = samples_of(spark, sf_dir).withColumn("day", local_day(F.col("started_at"), TZ))
+    device = s.where((F.col("metric_type") != "steps") | (F.col("user_id") % 3 != 0) | (F.dayofmonth("day") % 4 == 0)).drop("event_id", "day")
+    return _summary(store.recompute_summaries(_merged(spark, sf_dir).unionByName(device), TZ))
 
 
 @query(f"""SELECT user_id, metric_type, count(*) AS rows, count(DISTINCT {_LOCAL}::DATE) AS days FROM samples WHERE NOT ({_GO}) GROUP BY ALL""")
