@@ -256,3 +256,50 @@ def test_pipeline_without_data(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def slow_exact(rows):
+    """Of texts that are equal without blanks the longest stays, then the smallest id."""
+    groups = collections.defaultdict(list)
+    for i, t in rows.items():
+        groups["".join(c for c in t if c not in " \t\n\v\f\r")].append(i)
+    return {min(g, key=lambda i: (-len(rows[i]), i)) for g in groups.values()}
+
+
+def slow_near(rows):
+    """The smallest id of each document's component, links being found by comparing all pairs."""
+    found, top = {i: order_minhash.kmers(order_minhash.words(t)) for i, t in rows.items()}, {i: i for i in rows}
+    for i in rows:
+        for j in rows:
+            if j < i and top[i] != top[j] and order_minhash.distance(found[i], found[j]) <= 0.2 + 1e-12:
+                a, b = sorted((top[i], top[j]))
+                top = {k: a if v == b else v for k, v in top.items()}
+    return top
+
+
+def test_queries_and_pipeline_equal_brute_force_on_planted_documents(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = {i: prose(1000 + i) + (" vile rotten" if i % 4 == 0 else "") for i in range(240)}
+    rows |= {300 + i: rows[4 * i + 1] for i in range(10)} | {400 + i: rows[4 * i + 2] + " more words" for i in range(10)} | {500: "mail a@b.de from 1.2.3.4"}
+    spark.createDataFrame([(i, t, f"src{i % 3}") for i, t in rows.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    urls = ["http://a.com/x", "https://www.example.com/en/1", "nothing"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    own = sentencepiece_tok._loaded(sentencepiece_tok.load_model(queries.TOKENIZER))[2]
+    planted = {i for i in range(240) if i % 4 == 0}
+
+    scores = {r.doc_id: r for r in queries.op2_toxicity(spark, str(tmp_path)).collect()}
+    assert scores.keys() == rows.keys() and all(scores[i].is_toxic or scores[i].is_toxic_prose for i in planted)
+    pii = {r.doc_id: r for r in queries.op3_personal_data(spark, str(tmp_path)).collect()}
+    assert pii.keys() == rows.keys() and all((r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for _, k, _ in slow_base(rows[i])) for x in ("email", "ip", "card", "phone")) for i, r in pii.items())
+    assert {r.doc_id: list(r.ids) for r in queries.op4_sentencepiece(spark, str(tmp_path)).collect()} == {i: own.encode(t) for i, t in rows.items()}
+    assert {r.page_id: (r.host, r.path) for r in queries.op5_url_filter(spark, str(tmp_path)).collect()} == {0: ("a.com", "/x"), 1: ("www.example.com", "/en/1"), 2: ("", "")}
+    assert {r.doc_id: r.class_id for r in queries.op10_near_dedup(spark, str(tmp_path)).collect()} == slow_near(rows)
+
+    clean = {r.doc_id: r.text for r in pipeline.toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert not planted & clean.keys() and len(clean) > 0.95 * (len(rows) - len(planted))
+    left = {i: clean[i] for i in slow_exact(clean)}
+    left = {i: left[i] for i in set(slow_near(left).values())}
+    got = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i: (list(r.ids), r.source) for i, r in got.items()} == {i: (own.encode(t), f"src{i % 3}") for i, t in left.items()}
+    assert len({r.mix_pos for r in got.values()}) == len(got)
