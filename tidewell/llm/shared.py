@@ -20,9 +20,11 @@ def packed(df: DataFrame, name: str = "row") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without and gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,6 +41,25 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Shares that the rows of one key are dealt into, so that no key comes whole to one task.
+SALTS = 60
+
+
+def salted(*of: Column) -> Column:
+    """The share of a row, by a hash of what tells the rows of one key apart."""
+    return F.pmod(F.xxhash64(*of), F.lit(SALTS)).cast("int")
+
+
+def salts_seen(salt: Column) -> Column:
+    """An aggregate: the shares of a key that have rows, one bit each."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+
+
+def each_salt(seen: Column) -> Column:
+    """One row for each share in `seen`: what is known of a key goes to those of its shares that have rows, and to no others."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(seen, s) == 1))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
