@@ -5,7 +5,7 @@ yields an index row per record: file, offset, length, URL, digest. The index is
 is read; a lost or repeated task only leaves an archive that no index row names.
 
 Reading: the selected index rows are dealt out by stretches of files, sorted by offset, and neighbouring byte
-ranges are read as one. Payloads are checked against their digests.
+ranges are read as one; the number of reading tasks follows from the payloads' bytes. Payloads are checked against their digests.
 
 Of equal payloads only the one of the smallest id is stored; the others are revisit records that name it.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import col, new_path
+from .shared import col, each_salt, new_path, salted, salts_seen
 
-SALTS, LEAST, FILE_BYTES, STRETCH, GAP, RANGE = 60, 100, 256 << 20, 32 << 20, 64 << 10, 8 << 20
+LEAST, FILE_BYTES, STRETCH, TASK, GAP, RANGE = 100, 256 << 20, 2 << 20, 64 << 20, 64 << 10, 8 << 20
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _ID = "urn:tidewell:page:"
+#: Header with the URL as it was, for URLs with control characters, which WARC-Target-URI has percent-encoded.
+_EXACT = "X-Exact-URI"
 
 
 def _store(uri: str):
@@ -47,11 +50,11 @@ def decided(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_c
     """
     payload = F.encode(F.coalesce(col(html_col).cast("string"), F.lit("")), "UTF-8")
     base = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("salt", salted(F.col("page_id")))
     first = (
         base.where(F.col("payload_bytes") >= least).groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.expr("bit_or(shiftleft(1L, salt))").alias("salts")).where("n > 1 and first_id is not null")
-        .select("payload_digest", "first_id", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(F.col("salts"), s) == 1)).alias("salt"))
+        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"), salts_seen(F.col("salt")).alias("salts")).where("n > 1 and first_id is not null")
+        .select("payload_digest", "first_id", each_salt(F.col("salts")).alias("salt"))
     )
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return base.join(first, ["payload_digest", "salt"], "left").select(
@@ -71,6 +74,8 @@ def record(page_id, url, payload, size, digest, kind, refers_to, date: str) -> b
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_ID}{'null' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + len(body)}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header_safe(url)}")
+        if _header_safe(url) != url:
+            lines.append(f"{_EXACT}: {json.dumps(url)}")
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_ID}{refers_to}>"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + http + body + b"\r\n\r\n"
@@ -86,7 +91,8 @@ def parsed(raw: bytes) -> tuple:
     number = lambda x: None if x is None or x[1:-1] == f"{_ID}null" else int(x[1 + len(_ID) : -1])
     if kind == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != size):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest")
-    return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), size, digest, kind, number(fields.get("WARC-Refers-To")), body if kind == "response" else None
+    url = json.loads(fields[_EXACT]) if _EXACT in fields else fields.get("WARC-Target-URI")
+    return number(fields["WARC-Record-ID"]), url, size, digest, kind, number(fields.get("WARC-Refers-To")), body if kind == "response" else None
 
 
 def _writer(folder: str, date: str):
@@ -157,8 +163,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(selected: DataFrame) -> DataFrame:
     """The records of the selected index rows, read back from the archives: the columns of RECORDS; payload is null for revisits."""
+    spark = selected.sparkSession
     places = selected.select("file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    return places.repartition("file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(_reader, RECORDS)
+    # By the bytes to be read, not by those of the index: a number that is given is kept as it is.
+    payload = selected.agg(F.sum("payload_bytes")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-payload // TASK))
+    return places.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(_reader, RECORDS)
 
 
 def archived(pages: DataFrame, **names) -> DataFrame:
