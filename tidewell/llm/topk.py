@@ -1,10 +1,16 @@
 """Exact inner-product top-k by norm-bucketed retrieval.
 
-Vectors are grouped by length into buckets (equal ranges of log-length), and each bucket into blocks of bounded
-size. A first pass gives each query a floor for its k-th best score from the blocks of the longest vectors. Then
-a query visits only blocks whose longest vector could still reach its floor: within the block, length pruning
-cuts the vectors that are too short, and coordinate pruning bounds the cosine of the rest from their first
-coordinates (Cauchy-Schwarz on the remainder); what passes is verified by exact integer products.
+Vectors are grouped by length into buckets (ranges of log-length), and each bucket into blocks by a hash; queries are
+grouped too. A block meets a group in one task, so neither all queries nor all vectors of a bucket do.
+
+1. The block of the longest vectors gives each query a floor under its k-th best score.
+2. Queries of like floor / length form the groups; a group visits the blocks whose longest vector can reach the least
+   of its floors.
+3. In a block each query has a local cosine threshold, floor / (its length * longest vector). Above 1 it skips the
+   block. From TURN on it prunes by coordinates: any vector of that cosine has its coordinates, relative to its length,
+   inside known ranges, of which the narrowest of the query's FOCUS largest coordinates is looked up in a sorted list.
+   Below TURN those ranges are wide, and it prunes by length: vectors shorter than floor / its length are cut.
+4. What is left is verified by exact integer products.
 """
 
 from __future__ import annotations
@@ -12,14 +18,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import col, stored
+from .shared import col, partitions, stored
 
-BLOCK, QUERIES, HEAD, SPREAD = 8192, 2048, 16, 64
-_PAIR = "query_id long, vec_id long, score long"
+#: Fewest and most vectors of a block, most components of a block; queries of a group; shares of the plan; threshold of choice; coordinates looked at.
+LEAST, MOST, COMPONENTS, QUERIES, SPREAD, TURN, FOCUS = 512, 65536, 1 << 22, 4096, 64, 0.6, 4
+_SLACK = 1 + 1e-9
+_FOUND = "query_id long, vec_id long, score long"
+_KEY = ("dim", "bucket", "block", "band", "part")
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -31,111 +40,158 @@ def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vect
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")))).withColumn("dim", F.size("v"))
 
 
-def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
-    return np.stack(rows.to_numpy()).astype(np.int64) if dim and len(rows) else np.zeros((len(rows), dim), np.int64)
-
-
-def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer products: by BLAS where doubles hold every partial sum, else in 64-bit integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(1, q.shape[1])
-    if most < 2**53:
-        return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
-    if most < 2**63:
-        return q @ p.T
-    raise OverflowError("scores of these vectors don't fit in 64 bits")
-
-
-def best(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndarray, p: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k best of one block among scores of at least its floor; ties to the smaller id; never itself."""
-    qn, pn = np.sqrt((q.astype(np.float64) ** 2).sum(1)), np.sqrt((p.astype(np.float64) ** 2).sum(1))
-    order = np.lexsort((vid, -pn))
-    vid, p, pn = vid[order], p[order], pn[order]
-    slack = 1 + 1e-9
-    reach = floor.max(initial=-np.inf) if np.isinf(floor).any() else None
-    # Length pruning: behind this rank no vector is long enough for any of these queries.
-    need = np.where(floor > 0, floor / np.maximum(qn, 1e-300), -np.inf)
-    keep = int(np.searchsorted(-pn * slack, -need.min(initial=np.inf), side="right")) if reach is None and len(need) else len(pn)
-    vid, p, pn = vid[:keep], p[:keep], pn[:keep]
-    # Coordinate pruning: the first coordinates' exact product plus the most that the rest can add.
-    h = min(HEAD, q.shape[1])
-    if reach is None and len(vid) > 64 and h < q.shape[1]:
-        rest_q, rest_p = (np.sqrt(np.maximum((x[:, h:].astype(np.float64) ** 2).sum(1), 0)) for x in (q, p))
-        most = q[:, :h].astype(np.float64) @ p[:, :h].astype(np.float64).T + rest_q[:, None] * rest_p[None, :]
-        alive = (most * np.where(most > 0, slack, 1 / slack) + 1e-6 >= floor[:, None]).any(0)
-        vid, p = vid[alive], p[alive]
-    out = []
-    for lo in range(0, len(qid), 256):
-        s = products(q[lo : lo + 256], p)
-        for i in range(s.shape[0]):
-            row, ids = s[i], vid
-            ok = (ids != qid[lo + i]) & (row >= floor[lo + i])
-            row, ids = row[ok], ids[ok]
-            if len(row) > k:
-                kth = np.partition(row, len(row) - k)[len(row) - k]
-                top = row >= kth
-                row, ids = row[top], ids[top]
-                first = np.lexsort((ids, -row))[:k]
-                row, ids = row[first], ids[first]
-            out.append((np.full(len(row), qid[lo + i]), ids, row))
-    a, b, c = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+def _length(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v.astype(np.float64) ** 2).sum(1))
+
+
+class Block:
+    """Vectors of a block by falling length, with a sorted list of each coordinate that is asked for."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        length = _length(vectors)
+        order = np.lexsort((ids, -length))
+        self.ids, self.v, self.length = ids[order], vectors[order], length[order]
+        self.most = float(np.abs(self.v).max(initial=0))
+        self.fast = self.v.astype(np.float64) if self.most < 2**53 else None
+        self.longest = float(self.length[0])
+        self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def share(self, f: int) -> np.ndarray:
+        """Coordinate f of all vectors, relative to their length."""
+        return self.v[:, f] / np.maximum(self.length, 1e-300)
+
+    def listed(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        if f not in self.lists:
+            x = self.share(f)
+            order = np.argsort(x, kind="stable")
+            self.lists[f] = x[order], order
+        return self.lists[f]
+
+    def products(self, q: np.ndarray, at) -> np.ndarray:
+        """Exact integer products with the vectors at `at`: by BLAS where doubles hold every partial sum, else in 64-bit integers."""
+        most = float(np.abs(q).max(initial=0)) * self.most * max(1, q.shape[1])
+        if most < 2**53:
+            return (q.astype(np.float64) @ self.fast[at].T).astype(np.int64)
+        if most < 2**63:
+            return q @ self.v[at].T
+        raise OverflowError("scores of these vectors don't fit in 64 bits")
+
+    def near(self, unit: np.ndarray, threshold: float) -> np.ndarray:
+        """Places of all vectors whose cosine with a unit vector can reach the threshold, and of few others."""
+        focus = np.argsort(-np.abs(unit))[:FOCUS]
+        own, turn = np.arccos(np.clip(unit[focus], -1, 1)), np.arccos(min(1.0, threshold))
+        low = np.where(own + turn >= np.pi, -1.0, np.cos(np.minimum(own + turn, np.pi))) - 1e-7
+        high = np.where(own <= turn, 1.0, np.cos(np.maximum(own - turn, 0))) + 1e-7
+        ends = [np.searchsorted(self.listed(f)[0], (a, b), side="left") for f, a, b in zip(focus.tolist(), low, high)]
+        best = min(range(len(focus)), key=lambda i: ends[i][1] - ends[i][0])
+        at = self.listed(int(focus[best]))[1][ends[best][0] : ends[best][1]]
+        for i, f in enumerate(focus.tolist()):
+            if i != best and len(at):
+                x = self.v[at, f] / np.maximum(self.length[at], 1e-300)
+                at = at[(x >= low[i]) & (x <= high[i])]
+        return at
+
+    def answers(self, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's k best of the block among scores of at least its floor; ties to the smaller id; never its own id."""
+        length, out = _length(q), []
+        need = np.where(floor > 0, floor / np.maximum(length, 1e-300), -np.inf)
+        threshold = np.where(floor > 0, need / max(self.longest, 1e-300), -1.0)
+        alive = threshold <= _SLACK
+        for i in np.flatnonzero(alive & (threshold >= TURN)).tolist():
+            at = self.near(q[i] / length[i], threshold[i] / _SLACK)
+            at = at[self.length[at] * _SLACK >= need[i]]
+            out.append(self._top(qid[i], floor[i], k, self.ids[at], self.products(q[i : i + 1], at)[0]))
+        rest = np.flatnonzero(alive & (threshold < TURN))
+        rest = rest[np.argsort(need[rest], kind="stable")]
+        for lo in range(0, len(rest), 256):
+            some = rest[lo : lo + 256]
+            keep = int(np.searchsorted(-self.length * _SLACK, -need[some[0]], side="right"))
+            for i, row in zip(some.tolist(), self.products(q[some], slice(0, keep))):
+                out.append(self._top(qid[i], floor[i], k, self.ids[:keep], row))
+        return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(3))
+
+    @staticmethod
+    def _top(query: int, floor: float, k: int, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = (ids != query) & (row >= floor)
+        row, ids = row[ok], ids[ok]
+        if len(row) > k:
+            top = row >= np.partition(row, len(row) - k)[len(row) - k]
+            row, ids = row[top], ids[top]
+            first = np.lexsort((ids, -row))[:k]
+            row, ids = row[first], ids[first]
+        return np.full(len(row), query, np.int64), ids, row
 
 
 def _visit(k: int):
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by (dim, bucket, block, role): the block's vectors (role 0), then the queries that visit it."""
-        now, held, p, vid = None, [], None, None
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key and role: a block's vectors (role 0), then the queries of the group that visits it (1)."""
+        now, held, block = None, [], None
         for b in batches:
-            for key, rows in b.groupby(["dim", "bucket", "block"], sort=True):
+            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows]):
+                if lo == hi:
+                    continue
+                key, role, n = tuple(keys[:5, lo]), keys[5, lo], hi - lo
                 if key != now:
-                    now, held, p = key, [], None
-                own = rows[rows["role"] == 0]
-                if len(own):
-                    held.append((own["id"].to_numpy(np.int64), _matrix(own["v"], key[0])))
-                asked = rows[rows["role"] == 1]
-                if len(asked) and held:
-                    if p is None:
-                        vid, p = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-                    for lo in range(0, len(asked), QUERIES):
-                        part = asked.iloc[lo : lo + QUERIES]
-                        yield best(part["id"].to_numpy(np.int64), _matrix(part["v"], key[0]), part["floor"].to_numpy(np.float64), vid, p, k)
+                    now, held, block = key, [], None
+                ids, v = b.column(6).slice(lo, n).to_numpy(), b.column(7).slice(lo, n).flatten().to_numpy().reshape(n, int(key[0]))
+                if role == 0:
+                    held.append((ids, v))
+                elif held:
+                    block = block or Block(*(np.concatenate(x) for x in zip(*held)))
+                    found = block.answers(ids, v, b.column(8).slice(lo, n).to_numpy(zero_copy_only=False), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
     return visit
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, buckets: int = 64, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, block: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest integer products of each query with the other vectors.
 
     is_query: a condition on the column vec_id. Fewer than k others: all of them. Vectors that take no part: null
     ids, null vectors, and any with null or non-finite components; vectors of different lengths don't meet. Rows
     that repeat id and vector count once; different vectors of one id are candidates each, and as queries share one
-    list of results. An empty table gives an empty result. Other columns are ignored.
+    list of results. An empty table gives an empty result. Other columns are ignored. `block`: vectors of a block; by
+    default as many as give each shuffle partition two blocks, from LEAST to MOST, and at most COMPONENTS in all.
     """
-    spark = vectors.sparkSession
     rows = quantised(vectors, scale, id_col, vector_col).dropDuplicates(["vec_id", "v"])
     bucket = F.when(F.col("norm") > 0, F.greatest(F.lit(0), F.floor(F.log2("norm") * 4))).otherwise(F.lit(-1)).cast("int")
-    rows = rows.withColumn("bucket", F.least(bucket, F.lit(buckets * 4)))
-    sizes = rows.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    spread = stored(rows.join(sizes, ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks"), "vectors")
+    rows = stored(rows.withColumn("bucket", bucket), "vectors")
+    size = F.lit(block or min(MOST, max(LEAST, rows.count() // (2 * partitions(rows.sparkSession)))))
+    size = F.least(size, F.greatest(F.lit(1).cast("long"), F.floor(F.lit(COMPONENTS) / F.greatest("dim", F.lit(1)))))
+    sizes = rows.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / size))
+    sizes = sizes.select("dim", "bucket", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+    spread = rows.withColumn("spread", F.pmod(F.xxhash64("vec_id"), F.lit(SPREAD)).cast("int")).join(sizes, ["dim", "bucket", "spread"])
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int")).select("dim", "bucket", "block", "vec_id", "v", "norm")
     blocks = spread.groupBy("dim", "bucket", "block").agg(F.max("norm").alias("longest"), F.count(F.lit(1)).alias("n"))
 
-    asked = spread.where(is_query).select(F.col("vec_id").alias("id"), "v", "dim", F.col("norm").alias("q_norm"))
-    own = spread.select("dim", "bucket", "block", F.lit(0).alias("role"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("floor"))
+    asked = spread.where(is_query).select(F.col("vec_id").alias("id"), "v", "dim", F.col("norm").alias("length"))
 
-    def visited(visits: DataFrame) -> DataFrame:
-        needed = own.join(visits.select("dim", "bucket", "block").distinct(), ["dim", "bucket", "block"], "left_semi")
-        both = needed.unionByName(visits.select("dim", "bucket", "block", F.lit(1).alias("role"), "id", "v", "floor"))
-        return both.repartition("dim", "bucket", "block").sortWithinPartitions("dim", "bucket", "block", "role").mapInPandas(_visit(k), _PAIR)
+    def grouped(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(queries with band and part, one row a group with the least length it needs): a band is dealt into parts of QUERIES or so."""
+        need = F.when(F.col("floor") > 0, F.col("floor") / F.col("length"))
+        banded = queries.withColumns({"need": F.coalesce(need, F.lit(-1.0)), "band": F.coalesce(F.floor(F.log2(need) * 4), F.lit(-(10**6))).cast("int")})
+        parts = banded.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts")).select("dim", "band", "parts", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+        dealt = banded.withColumn("spread", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(parts, ["dim", "band", "spread"])
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int")).select("dim", "band", "part", "id", "v", "floor", "need")
+        return dealt, dealt.groupBy("dim", "band", "part").agg(F.min("need").alias("need"))
+
+    def visited(queries: DataFrame, visits: DataFrame) -> DataFrame:
+        """visits: one row for each block and group that meet. Each meeting gets its own copy of the block and of the group."""
+        own = spread.join(visits, ["dim", "bucket", "block"]).select(*_KEY, F.lit(0).alias("role"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("floor"))
+        other = queries.join(visits, ["dim", "band", "part"]).select(*_KEY, F.lit(1).alias("role"), "id", "v", "floor")
+        return own.unionByName(other).repartition(*_KEY).sortWithinPartitions(*_KEY, "role").mapInArrow(_visit(k), _FOUND)
 
     # First pass: the block of the longest vectors that holds more than k of them gives each query a floor.
     first = blocks.where(F.col("n") > k).groupBy("dim").agg(F.max_by(F.struct("bucket", "block"), F.struct("longest", "n")).alias("at")).select("dim", "at.bucket", "at.block")
-    seen = visited(asked.join(first, "dim").withColumn("floor", F.lit(float("-inf"))))
-    floors = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("kth").cast("double").alias("floor"))
-    known = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    # The blocks whose longest vector can reach a query's floor: one row a block, repeated SPREAD times so that no key holds all queries.
-    spreads = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread")
-    reachable = blocks.select("dim", "bucket", "block", "longest", spreads)
-    visits = known.withColumn("spread", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(reachable, ["dim", "spread"]).where(F.col("q_norm") * F.col("longest") * F.lit(1 + 1e-9) >= F.col("floor"))
-    found = visited(visits)
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("top"))
-    return ranked.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.minus")).alias("score"))
+    queries, groups = grouped(asked.withColumn("floor", F.lit(float("-inf"))))
+    seen = visited(queries, groups.join(first, "dim"))
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    floors = ranked(seen).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+    known = stored(asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "queries")
+    queries, groups = grouped(known)
+    # One row a block, repeated SPREAD times so that no key holds all groups.
+    reachable = blocks.select("dim", "bucket", "block", "longest", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+    visits = groups.withColumn("spread", F.pmod(F.xxhash64("band", "part"), F.lit(SPREAD)).cast("int")).join(reachable, ["dim", "spread"]).where(F.col("longest") * F.lit(_SLACK) >= F.col("need")).select(*_KEY)
+    return ranked(visited(queries, visits)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
