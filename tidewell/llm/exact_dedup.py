@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import col, packed
+from .shared import SALTS, col, each_salt, packed, salts_seen
 
-SALTS = 60
 WHITE = " \t\n\x0b\x0c\r"
 _SPAN = "36893488147419103232"  # 2^65: room for any doc_id below the length in one sortable number
 _TOP = "9223372036854775808"  # 2^63
+_ALL = 2**SALTS - 1
 
 
 def normalised(text: Column) -> Column:
@@ -40,7 +40,7 @@ def _winner(merit: Column) -> Column:
     return F.when(rest != 0, (F.lit(_TOP).cast("decimal(38,0)") - rest).cast("long"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: row (struct of all its columns), keep_id, group_size, kept, text_sha256.
 
     The row with the most code points in its original text stays, then the one of the smallest id.
@@ -49,32 +49,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = true. An empty table gives an empty result. Input columns of any name are untouched in row.
     Two contents with one SHA-256 stop the job with an error instead of being merged.
     """
-    if not 1 <= salts <= 60:
-        raise ValueError("salts must be from 1 to 60")
     content = normalised(col(text_col))
     doc_id = col(id_col).cast("long")
     base = docs.select(
         F.sha2(content.cast("binary"), 256).alias("digest"),
-        F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int").alias("salt"),
+        # Null ids have no hash to spread by: they go anywhere, and their group's winner goes everywhere.
+        F.when(doc_id.isNull(), F.floor(F.rand(1) * SALTS)).otherwise(F.pmod(F.xxhash64(doc_id), F.lit(SALTS))).cast("int").alias("salt"),
         content.alias("content"),
         F.char_length(F.coalesce(col(text_col).cast("string"), F.lit(""))).alias("n"),
         doc_id.alias("id"),
         packed(docs),
     )
-    local_and_salted = base.groupBy("digest", "salt", "content").agg(F.max(_merit(F.col("n"), F.col("id"))).alias("merit"), F.count(F.lit(1)).alias("size"))
+    local_and_salted = base.groupBy("digest", "salt", "content").agg(F.max(_merit(F.col("n"), F.col("id"))).alias("merit"), F.count(F.lit(1)).alias("size"), F.bool_or(F.col("id").isNull()).alias("no_id"))
     by_content = (
         local_and_salted.repartition("digest")
         .groupBy("digest", "content")
-        .agg(F.max("merit").alias("merit"), F.sum("size").alias("size"), F.expr("bit_or(shiftleft(1L, salt))").alias("salts"))
+        .agg(F.max("merit").alias("merit"), F.sum("size").alias("size"), F.bit_or(F.when(F.col("no_id"), F.lit(_ALL)).otherwise(F.lit(0).cast("long"))).alias("no_id"), salts_seen(F.col("salt")).alias("salts"))
     )
     winners = (
         by_content.groupBy("digest")
-        .agg(F.max("merit").alias("merit"), F.max("size").alias("size"), F.bit_or("salts").alias("salts"), F.count(F.lit(1)).alias("contents"))
+        .agg(F.max("merit").alias("merit"), F.max("size").alias("size"), F.bit_or(F.col("salts").bitwiseOR(F.col("no_id"))).alias("salts"), F.count(F.lit(1)).alias("contents"))
         .select(
             "digest",
             _winner(F.col("merit")).alias("keep_id"),
             F.when(F.col("contents") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two contents share a digest")).cast("long")).alias("group_size"),
-            F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.getbit(F.col("salts"), s) == 1)).alias("salt"),
+            each_salt(F.col("salts")).alias("salt"),
         )
     )
     repeats = Window.partitionBy("digest", "salt", "id").orderBy(F.col("n").desc())
