@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import col, stored
+from .shared import col, each_salt, salted, salts_seen, stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 CHUNK = 64
@@ -56,21 +56,29 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     its messages' scores; ties go to the longer path, then to the smaller leaf. Null scores count as 0. Messages on
     a cycle have no root and are left out. An empty table gives an empty result.
     """
-    own = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = own.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    own = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).withColumn("salt", salted(F.col("node")))
+
+    def above(rows: DataFrame, up: str, targets: DataFrame) -> DataFrame:
+        """rows with the columns of the message that `up` names, null where there is none. A message with a large share
+        of all replies is told to them in SALTS shares."""
+        asked = rows.where(F.col(up).isNotNull()).groupBy("tree", up).agg(salts_seen(F.col("salt")).alias("salts"))
+        known = asked.join(targets.withColumnRenamed("node", up), ["tree", up]).select("tree", up, each_salt(F.col("salts")).alias("salt"), *[c for c in targets.columns if c not in ("tree", "node")])
+        return rows.join(known, ["tree", up, "salt"], "left")
+
     inner = own.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     state = (
-        own.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), "score")
-        .join(inner.withColumn("inner", F.lit(True)), ["tree", "node"], "left").select("tree", "node", "up", "depth", "score", F.col("inner").isNull().alias("leaf"))
+        above(own, "parent", own.select("tree", "node", F.lit(True).alias("known")))
+        .join(inner.withColumn("inner", F.lit(True)), ["tree", "node"], "left")
+        .select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), "score", F.col("inner").isNull().alias("leaf"), "salt")
     )
-    levels, total = [stored(state, "paths")], None
+    levels = [stored(state, "paths")]
     while True:
         now = levels[-1]
         open_ones, least, rows = now.agg(F.count("up"), F.min(F.when(F.col("up").isNotNull(), F.col("depth"))), F.count(F.lit(1))).first()
         if not open_ones or least > rows:
             break
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        moved = now.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score"), "leaf")
+        told = above(now.where("up is not null"), "up", now.select("tree", "node", F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2")))
+        moved = told.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score"), "leaf", "salt")
         moved = moved.unionByName(now.where("up is null"))
         levels.append(stored(moved, "paths"))
     total = levels[-1].where("up is null")
@@ -86,10 +94,12 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 def formatted(messages: DataFrame, on_paths: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per path: conv_id, branch, formatted, and loss_spans, the [start, end) code points of loss_role's texts.
 
-    Messages are first joined in chunks of CHUNK, then the chunks of a path.
+    Messages are first joined in chunks of CHUNK, then the chunks of a path. Null roles and texts count as empty; other
+    columns of the messages are ignored.
     """
     start = F.length(F.concat(F.lit(START), F.col("er"), F.lit("\n")))
     turn = F.concat(F.lit(START), F.col("er"), F.lit("\n"), F.col("et"), F.lit(END))
+    messages = messages.select("conv_id", "tree", "node", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = messages.join(on_paths, ["tree", "node"]).withColumn("er", F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\n"))).withColumn("et", escaped(F.col("text")))
     rows = rows.select(
         "conv_id", "tree", "leaf", "branch", "depth", F.floor(F.col("depth") / CHUNK).alias("chunk"), turn.alias("turn"),
