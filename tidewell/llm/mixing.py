@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 
 from .shared import col, packed
 
-_PERIOD = """
+#: The sources of the slots 0 to kk - 1 as an array. Slots are gathered in arrays of 1000, so long periods copy little.
+_SLOT = """(s, t) -> transform(array(array_min(transform(sequence(0, size(act) - 1), i ->
+        if((s.done[i] * kk) div act[i].k <= t, named_struct('d', ((s.done[i] + 1) * kk + act[i].k - 1) div act[i].k, 'i', i), null))).i),
+      p -> named_struct('done', transform(s.done, (d, i) -> if(i = p, d + 1L, d)), 'slots', concat(s.slots, array(p))))[0]"""
+_PERIOD = f"""
 aggregate(
-  sequence(0, cast(kk - 1 as int)),
-  named_struct('done', transform(act, a -> 0L), 'slots', cast(array() as array<int>)),
-  (s, t) -> transform(array(array_min(transform(sequence(0, size(act) - 1), i ->
-      if((s.done[i] * kk) div act[i].k <= t, named_struct('d', ((s.done[i] + 1) * kk + act[i].k - 1) div act[i].k, 'i', i), null))).i),
-    p -> named_struct('done', transform(s.done, (d, i) -> if(i = p, d + 1L, d)), 'slots', concat(s.slots, array(p))))[0],
-  s -> s.slots)
+  sequence(0L, (kk - 1) div 1000),
+  named_struct('done', transform(act, a -> 0L), 'all', cast(array() as array<array<int>>)),
+  (o, c) -> transform(array(aggregate(sequence(c * 1000, least(c * 1000 + 999, kk - 1)), named_struct('done', o.done, 'slots', cast(array() as array<int>)), {_SLOT})),
+    r -> named_struct('done', r.done, 'all', concat(o.all, array(r.slots))))[0],
+  o -> flatten(o.all))
 """
 
 
@@ -62,10 +65,12 @@ def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1,
         .withColumn("k", _weight(F.col("source"), weights, default_weight))
         .withColumn("q", F.expr(f"(((n + {block - 1}) div {block}) + k - 1) div k"))
     )
-    ends = (
+    every = (
         sources.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "k", "q"))).alias("all"))  # one entry per source
         .select("all", F.expr("array_sort(array_distinct(transform(all, a -> a.q)))").alias("ends"))
-        .select("all", "ends", F.posexplode("ends").alias("phase", "hi"))
+    )
+    ends = (
+        every.select("all", "ends", F.posexplode("ends").alias("phase", "hi"))
         .select(
             F.col("phase").cast("long").alias("phase"),
             F.expr("if(phase = 0, 0L, ends[phase - 1])").alias("lo"),
@@ -82,9 +87,11 @@ def schedule(docs: DataFrame, weights: dict[str, int], default_weight: int = 1,
     turn = Window.partitionBy("phase", "source").orderBy("at")
     pattern = pattern.withColumn("nth", (F.row_number().over(turn) - 1).cast("long"))
 
-    blocks = ranked.join(sources.select("source", "k"), "source").withColumn("block", F.expr(f"rank div {block}")).withColumn("period", F.expr("block div k")).withColumn("nth", F.expr("block % k"))
-    p = pattern.select("phase", "lo", "hi", "kk", "first_slot", "at", "source", "nth")
-    placed = blocks.join(p, ["source", "nth"]).where("period >= lo and period < hi")
+    # A block's phase follows from its period: as many phases as have ended by then lie before it.
+    known = every.select("ends", F.explode("all").alias("a")).select("a.source", "a.k", "ends")
+    blocks = ranked.join(known, "source").withColumn("block", F.expr(f"rank div {block}")).withColumn("period", F.expr("block div k")).withColumn("nth", F.expr("block % k"))
+    blocks = blocks.withColumn("phase", F.expr("size(filter(ends, e -> e <= period))").cast("long"))
+    placed = blocks.join(pattern.select("phase", "lo", "kk", "first_slot", "at", "source", "nth"), ["source", "phase", "nth"])
     slot = F.expr("first_slot + (period - lo) * kk + at")
     b = "(block - lo * k)"
     return placed.withColumn("slot", slot).select(
