@@ -7,8 +7,8 @@ markers and each task encodes equal cuts once; for other models whole texts are
 
 A BPE model ranks merges by the score of the merged piece and takes the leftmost of equals, while tokenizers
 ranks pairs; the two can differ where one piece can be made of different overlapping pairs. So parity is not
-assumed: `verify` encodes each cut with the sentencepiece library too, whose ids replace differing ones
-(column parity tells).
+assumed: `verify` encodes each cut with the sentencepiece library too, and column parity tells where its ids differ
+from the rebuilt tokenizer's, which are the result.
 """
 
 from __future__ import annotations
@@ -131,7 +131,11 @@ def _loaded(raw: bytes):
 
 
 class Encoder:
-    """Encodes texts of one task; cuts seen before are looked up (the memory is emptied at `most` cuts or 32 times as many characters).
+    """Encodes texts of one task; cuts seen before are looked up.
+
+    Memory is two generations of at most `most` cuts or 32 times as many characters together: when the younger one has
+    half of that, the older one is dropped and the younger one takes its place. A cut that is met again comes back into
+    the younger one, so frequent cuts stay.
 
     Ids are kept as bytes of 32-bit integers, which join fast and which Python's garbage collector needn't visit.
     """
@@ -141,10 +145,12 @@ class Encoder:
         self.verify, self.most = verify, most
         self.first = np.array([t.startswith(MARK) for t, _, _ in self.model["pieces"]])
         self.pieces = [chr(int(t[1:-1], 16)) if k == BYTE and int(t[1:-1], 16) < 128 else t for t, _, k in self.model["pieces"]]
-        self._forget()
+        self.older, self.seen, self.other, self.lossy, self.chars = {}, {}, set(), set(), 0
 
-    def _forget(self) -> None:
-        self.seen, self.other, self.lossy, self.chars = {}, set(), set(), 0
+    def _age(self) -> None:
+        self.older, self.seen, self.chars = self.seen, {}, 0
+        self.other &= self.older.keys()
+        self.lossy &= self.older.keys()
 
     def _pieces(self, text: str) -> list[str]:
         return _CUTS.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -173,9 +179,9 @@ class Encoder:
         texts = [c[1:].replace(MARK, " ") for c in cuts]
         true = self.own.encode(texts, num_threads=1) if self.verify else ids
         true = [t or i for t, i in zip(true, ids, strict=True)]  # sentencepiece has no ids for an empty text; a cut of one marker has
-        back = self.tok.decode_batch(true, skip_special_tokens=False)
+        back = self.tok.decode_batch(ids, skip_special_tokens=False)
         for c, t, a, b, r in zip(cuts, texts, ids, true, back, strict=True):
-            self.seen[c] = np.array(b, np.int32).tobytes()
+            self.seen[c] = np.array(a, np.int32).tobytes()
             self.chars += len(c)
             if a != b:
                 self.other.add(c)
@@ -187,9 +193,13 @@ class Encoder:
         if not self.cut:
             return self._whole(texts)
         cut = [self._pieces(t) for t in texts]
-        if len(self.seen) >= self.most or self.chars >= 32 * self.most:
-            self._forget()
+        if len(self.seen) >= self.most // 2 or self.chars >= 16 * self.most:
+            self._age()
         new = set().union(*cut).difference(self.seen)
+        known = self.older.keys() & new
+        self.seen.update((c, self.older[c]) for c in known)
+        self.chars += sum(map(len, known))
+        new -= known
         if new:
             self._learn(sorted(new))
         out, get = [], self.seen.__getitem__
@@ -202,7 +212,7 @@ class Encoder:
         ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         true = self.own.encode(texts, num_threads=1) if self.verify else ids
         want = self.own.decode(true) if self.model["charsmap"] or self.model["trim"] else texts
-        return [(np.array(b, np.int32), x == y, a == b) for a, b, x, y in zip(ids, true, self.decode(true), want, strict=True)]
+        return [(np.array(a, np.int32), x == y, a == b) for a, b, x, y in zip(ids, true, self.decode(ids), want, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -214,13 +224,13 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def tokenised(docs: DataFrame, model: bytes, verify: bool = True, keep: tuple[str, ...] = ("doc_id",), max_chars: int = 2_000_000, text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, model: bytes, verify: bool = True, keep: tuple[str, ...] = ("doc_id",), max_bytes: int = 2_000_000, text_col: str = "text") -> DataFrame:
     """One row per document: the columns of `keep` (as struct `row`), ids, n_tokens, round_trip, parity.
 
-    ids are those of the sentencepiece library; round_trip tells that decoding them gives the text again (for
-    models that normalise: what sentencepiece decodes), parity that the rebuilt tokenizer alone gives the same ids.
+    ids are those of the rebuilt tokenizer; round_trip tells that decoding them gives the text again (for models that
+    normalise: what sentencepiece decodes), parity that the sentencepiece library gives the same ids (with verify).
     A marker character in the text reads as a space, so its round_trip is false. Null and empty texts have no ids
-    and a true round trip. Texts go to the encoder by at most max_chars characters, or one by one if longer.
+    and a true round trip. Texts go to the encoder by at most max_bytes bytes, or one by one if longer.
     Repeated rows give repeated results; an empty table gives an empty result.
     """
     raw = docs.sparkSession.sparkContext.broadcast(model)
@@ -231,7 +241,7 @@ def tokenised(docs: DataFrame, model: bytes, verify: bool = True, keep: tuple[st
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         encode = Encoder(raw.value, verify).encode
         for b in batches:
-            for part in slices(b, 1, max_chars):
+            for part in slices(b, 1, max_bytes):
                 done = encode(part.column(1).to_pylist())
                 sizes = np.fromiter((len(d[0]) for d in done), np.int32, len(done))
                 flat = np.concatenate([d[0] for d in done])
