@@ -64,7 +64,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 # --- shapes -------------------------------------------------------------------------------------------------------
 
 _SIGNS = '@.-()"=+:/_'
-_SIZES = (64, 56, 512, 4)  # of the templates: ends, lengths, signs, words that spell a sign
+_SIZES = (64, 56, 512, 4, 8, 20)  # of the templates: ends, lengths, signs, words that spell a sign, at and dots, mixture by size
 
 
 def _classes() -> np.ndarray:
@@ -102,10 +102,12 @@ class Tokens:
         size = self.end - self.start
         first, second, third = (c[np.minimum(self.start + i, len(c) - 1)] if n else np.zeros(0, np.uint32) for i in range(3))
         word = np.where((size == 2) & (first == ord("a")) & (second == ord("t")), 1, np.where((size == 3) & (first == ord("d")) & (second == ord("o")) & (third == ord("t")), 2, 0))
-        self.templates = np.stack([ends.astype(np.int64), lengths, signs, word]) if n else np.zeros((4, 0), np.int64)
+        dots = (signs & 1) * 4 + (signs >> 1 & 3)
+        mixture = ((digits > 0) * 2 + (letters > 0)) * 5 + np.searchsorted([6, 12, 20, 32], size, side="right")
+        self.templates = np.stack([x.astype(np.int64) for x in (ends, lengths, signs, word, dots, mixture)]) if n else np.zeros((len(_SIZES), 0), np.int64)
 
     def features(self) -> np.ndarray:
-        """(12, tokens): the four templates of the token, of the one before and of the one behind; the last value of a template stands for the line's edge."""
+        """(18, tokens): the six templates of the token, of the one before and of the one behind; the last value of a template stands for the line's edge."""
         t, out, at = self.templates, [], 0
         same = self.line[1:] == self.line[:-1]
         for shift in (0, -1, 1):
@@ -117,7 +119,7 @@ class Tokens:
                     own = np.concatenate([np.where(same, t[i][1:], size), [size]])[: len(own)]
                 out.append(own + at)
                 at += size + 1
-        return np.stack(out) if len(out) else np.zeros((12, 0), np.int64)
+        return np.stack(out) if len(out) else np.zeros((3 * len(_SIZES), 0), np.int64)
 
 
 WIDTH = 3 * sum(s + 1 for s in _SIZES)
@@ -282,20 +284,21 @@ def _said(spans: list) -> str:
 
 
 def found(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document: row, doc_id, n_email, n_ip, n_card, n_phone, base (base spans joined), spans (all spans joined).
+    """One row per document: row, doc_id, n_email, n_ip, n_card, n_phone (base spans), base (base spans joined), spans (all
+    spans joined), n_secret (spans of that kind), n_all (all spans).
 
     Null texts count as empty and have no spans. Repeated rows give equal results; an empty table gives an empty
     result. Input columns of any name are untouched in row. Offsets are code points, ends exclusive.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field or train(LABELLED))
     base = docs.select(packed(docs), col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    fields = T._parse_datatype_string("n_email long, n_ip long, n_card long, n_phone long, base string, spans string").fields
+    fields = T._parse_datatype_string("n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_secret long, n_all long").fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, 2, max_bytes):
                 done = all_spans(shared.value, part.column(2).to_pylist())
                 counts = [pa.array([sum(s[1] == k for s in x) for x, _ in done], pa.int64()) for k in BASE]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counts, pa.array([_said(x) for x, _ in done]), pa.array([_said(y) for _, y in done])], names=["row", "doc_id", *(f.name for f in fields)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counts, pa.array([_said(x) for x, _ in done]), pa.array([_said(y) for _, y in done]), pa.array([sum(s[1] == "secret" for s in y) for _, y in done], pa.int64()), pa.array([len(y) for _, y in done], pa.int64())], names=["row", "doc_id", *(f.name for f in fields)])
 
     return base.mapInArrow(run, T.StructType([*base.drop("text").schema.fields, *fields]))

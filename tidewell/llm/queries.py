@@ -102,7 +102,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_crf.found(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_secret", "n_all")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
