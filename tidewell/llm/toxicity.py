@@ -1,14 +1,15 @@
 """Toxicity by a classifier chain.
 
-One linear (logistic) model per category, in a fixed order; each later model also sees the log-odds that the
+One linear (logistic) model per category, in a fixed order; each later model also sees the probabilities that the
 earlier ones give. For training these come from models that have not seen the row (out-of-fold), so the later
-models meet them as they will be in use.
+models meet them as they will be in use. A fold's model also uses only features that were chosen without the fold.
 
 Features: whole lower-case words and word beginnings of 4 to 6 letters, hashed, log(1 + count), of which the
 `keep` most telling ones per category are used; and the logarithm of the number of words.
 
 The models are fitted on at most `sample` labelled documents, those of the smallest hash of their id (a
-documented bound); every document is scored, on its whole text, in Arrow batches.
+documented bound), a category's fold models and its whole model each in a Spark task of their own; every document is
+scored, on its whole text, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,17 +107,33 @@ def fit(rows: Rows, y: np.ndarray, penalty: float = 1.0, rounds: int = 150) -> n
     return w
 
 
-def telling(counted: DataFrame, categories: int, keep: int, least: int = 3) -> np.ndarray:
-    """Of each category the `keep` features whose presence differs most between its two kinds of rows, for their number."""
+def telling(counted: DataFrame, categories: int, keep: int, folds: int, least: int = 3) -> list[np.ndarray]:
+    """For each fold the features chosen without its rows, and at last those chosen from all rows: of each category the
+    `keep` whose presence differs most between its two kinds of rows, for their number."""
     marks = [F.element_at("marks", c + 1) for c in range(categories)]
-    rows, *sums = counted.agg(F.count(F.lit(1)), *[F.sum(m) for m in marks]).first()
-    stats = counted.select(F.explode("kinds").alias("f"), "marks").groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(f"p{c}") for c, m in enumerate(marks)]).where(F.col("n") >= least)
-    stats, wanted = stored(stats, "features"), set()
-    for c in range(categories):
-        share = (sums[c] or 0) / max(rows, 1)
-        z = F.abs(F.col(f"p{c}") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1.0)
-        wanted.update(r.f for r in stats.withColumn("z", z).where("z > 1.5").orderBy(F.col("z").desc(), "f").limit(keep).select("f").collect())
-    return np.array(sorted(wanted), np.int64)
+    totals = counted.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(f"p{c}") for c, m in enumerate(marks)]).collect()
+    stats = counted.select(F.explode("kinds").alias("f"), "marks", "fold").groupBy("f")
+    of = lambda x, g: F.sum(x if g == folds else F.when(F.col("fold") != g, x).otherwise(F.lit(0)))
+    stats = stats.agg(*[of(F.lit(1), g).alias(f"n{g}") for g in range(folds + 1)], *[of(m, g).alias(f"p{c}_{g}") for c, m in enumerate(marks) for g in range(folds + 1)])
+    stats, scores = stored(stats.where(F.col(f"n{folds}") >= least), "features"), []
+    for g in range(folds + 1):
+        rows = max(sum(t["n"] for t in totals if t["fold"] != g), 1)
+        for c in range(categories):
+            share = sum(t[f"p{c}"] for t in totals if t["fold"] != g) / rows
+            z = F.abs(F.col(f"p{c}_{g}") - F.col(f"n{g}") * share) / F.sqrt(F.col(f"n{g}") * (share * (1 - share)) + 1.0)
+            scores.append(F.struct(F.lit(g).alias("g"), F.lit(c).alias("c"), F.when(F.col(f"n{g}") >= least, z).alias("z")))
+    rank = F.row_number().over(Window.partitionBy("g", "c").orderBy(F.col("z").desc(), "f"))
+    tops = stats.select("f", F.inline(F.array(*scores))).where("z > 1.5").withColumn("rank", rank).where(F.col("rank") <= keep)
+    found = tops.select("g", "f").distinct().toPandas()  # at most keep * categories * (folds + 1) rows
+    return [np.sort(found["f"][found["g"] == g].to_numpy(np.int64)) for g in range(folds + 1)]
+
+
+def _only(wanted: np.ndarray, kinds: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each row's wanted features and their values."""
+    sizes = [len(k) for k in kinds]
+    on = np.isin(np.concatenate([np.zeros(0, np.int64), *kinds]), wanted)
+    masks = np.split(on, np.cumsum(sizes)[:-1]) if sizes else []
+    return [np.asarray(k)[m] for k, m in zip(kinds, masks)], [np.asarray(v)[m] for v, m in zip(values, masks)]
 
 
 class Chain:
@@ -130,44 +147,74 @@ class Chain:
         rows = Rows(at, np.concatenate(kinds) if len(kinds) else np.zeros(0, np.int64), np.concatenate(values) if len(values) else np.zeros(0), np.column_stack([np.ones(len(words)), words - 5]), len(self.wanted))
         out = []
         for w in self.weights:
-            z = rows.times(w)
-            out.append(sigmoid(z))
-            rows = rows.plus(np.clip(z, -8, 8))
+            out.append(sigmoid(rows.times(w)))
+            rows = rows.plus(out[-1])
         return np.column_stack(out) if out else np.zeros((len(words), 0))
 
 
-def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarray, labels: np.ndarray, names, wanted: np.ndarray, folds: int = 4, penalty: float = 1.0) -> Chain:
-    """kinds: places in wanted; labels: a 0/1 column for each category. A category with one kind of label only gets a constant model."""
+def in_turn(fit_one, models: int) -> list:
+    """Fits a category's models one after the other."""
+    return [fit_one(g) for g in range(models)]
+
+
+def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarray, labels: np.ndarray, names, chosen: list[np.ndarray], fold: np.ndarray, penalty: float = 1.0, fit_all=in_turn) -> Chain:
+    """kinds: features of each row; labels: a 0/1 column for each category; chosen: the features of each fold's models,
+    then those of the whole models; fold: the fold of each row. fit_all(function, n) gives the function's values for
+    0 to n - 1. A category with one kind of label only gets a constant model."""
+    wanted, folds = np.unique(np.concatenate(chosen)), len(chosen) - 1
+    kinds, values = _only(wanted, kinds, values)
     at = np.repeat(np.arange(len(kinds)), [len(k) for k in kinds])
-    varied = [c for c in range(labels.shape[1]) if len(labels) and 0 < labels[:, c].mean() < 1]
-    rows = Rows(at, np.concatenate([np.zeros(0, np.int64), *kinds]), np.concatenate([np.zeros(0), *values]), np.column_stack([np.ones(len(words)), words - 5]), len(wanted))
+    feature = np.searchsorted(wanted, np.concatenate([np.zeros(0, np.int64), *kinds]))
+    rows = Rows(at, feature, np.concatenate([np.zeros(0), *values]), np.column_stack([np.ones(len(words)), words - 5]), len(wanted))
     # Common features would set the step for all: each is brought to a like size for the fit.
     scale = 1 / np.sqrt(np.bincount(rows.feature, rows.value**2, rows.width) / max(len(words), 1) + 0.01)
     rows.value = rows.value * scale[rows.feature]
-    mixed = np.random.default_rng(0).permutation(len(words))
+    allowed = [np.isin(wanted, c) for c in chosen]
     weights, thresholds = [], []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
-        if c not in varied:
+        if not len(y) or y.min() == y.max():
             w = np.zeros(rows.width + rows.dense.shape[1])
-            w[rows.width] = 8.0 if len(y) and y.mean() == 1 else -8.0
+            w[rows.width] = 8.0 if len(y) and y[0] == 1 else -8.0
             weights.append(w)
             thresholds.append(0.5)
-            rows = rows.plus(np.full(len(words), w[rows.width]))
+            rows = rows.plus(np.full(len(words), sigmoid(w[rows.width])))
             continue
-        fold, unseen = np.empty(len(words), np.int64), np.zeros(len(words))
-        fold[np.lexsort((mixed, y))] = np.arange(len(words)) % folds  # each fold has its share of either label
-        for f in range(folds):
-            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            unseen[own] = rows.some(own).times(fit(rows.some(rest), y[rest], penalty))
-        weights.append(fit(rows, y, penalty))
-        thresholds.append(best_threshold(sigmoid(unseen), y))
-        rows = rows.plus(np.clip(unseen, -8, 8))
+
+        def fit_one(g: int, rows=rows, y=y) -> tuple[np.ndarray, np.ndarray]:
+            """(weights, probabilities of the fold's own rows) of the model that leaves fold g out; of the whole model for g = folds."""
+            usable = Rows(rows.at, rows.feature, rows.value * allowed[g][rows.feature], rows.dense, rows.width)
+            rest, own = np.flatnonzero(fold != g), np.flatnonzero(fold == g)
+            w = fit(usable.some(rest), y[rest], penalty)
+            return w, sigmoid(usable.some(own).times(w))
+
+        fitted, unseen = fit_all(fit_one, folds + 1), np.zeros(len(words))
+        for g in range(folds):
+            unseen[fold == g] = fitted[g][1]
+        weights.append(fitted[folds][0])
+        thresholds.append(best_threshold(unseen, y))
+        rows = rows.plus(unseen)
     for w in weights:
         w[: len(wanted)] *= scale
     return Chain(tuple(names), wanted, weights, thresholds)
 
 
+def as_spark_tasks(spark):
+    """A fit_all that fits each model in a task; what they share is the sample of bounded size."""
+
+    def fit_all(fit_one, models: int) -> list:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for g in b["id"]:
+                    w, p = fit_one(int(g))
+                    yield pd.DataFrame({"g": [int(g)], "w": [w], "p": [p]})
+
+        got = spark.range(0, models, 1, models).mapInPandas(run, "g long, w array<double>, p array<double>").toPandas().sort_values("g")
+        return [(np.array(w, float), np.array(p, float)) for w, p in zip(got["w"], got["p"])]
+
+    return fit_all
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The probability that gives the best F1 of out-of-fold predictions, midway to the next lower one."""
     order = np.argsort(-p, kind="stable")
@@ -178,12 +225,20 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most `sample` labelled rows: text and one 0/1 column per category. Rows without a usable label are not taken."""
-    marks = labels.groupBy(col(id_col).alias("id")).agg(*[F.max(F.expr(c).cast("double")).alias(n) for n, c in conditions]).dropna().orderBy(F.xxhash64("id"), "id").limit(sample)
-    return docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(marks), "id").dropDuplicates(["id"])
+    """At most `sample` labelled documents: id, text and one 0/1 column per category.
+
+    Ids without a document or without a usable label don't count; of contradicting labels the larger one is taken;
+    of several texts of one id that of the smallest hash (then the smallest text).
+    """
+    there = docs.select(col(id_col).alias("id")).where("id is not null").distinct()
+    marks = labels.groupBy(col(id_col).alias("id")).agg(*[F.max(F.expr(c).cast("double")).alias(n) for n, c in conditions]).dropna()
+    marks = marks.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(col(id_col).alias("id"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("t")).join(F.broadcast(marks), "id")  # at most `sample` rows
+    return rows.groupBy("id").agg(F.min("t").alias("t"), *[F.max(n).alias(n) for n, _ in conditions]).select("id", "t.text", *[n for n, _ in conditions])
 
 
-def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int = 6000, keep: int = 1000, id_col: str = "doc_id", text_col: str = "text", **more) -> Chain:
+def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int = 6000, keep: int = 1000, folds: int = 4, id_col: str = "doc_id", text_col: str = "text", **more) -> Chain:
     """Features of the sample are counted and chosen by Spark; the driver gets the chosen ones of at most `sample` rows."""
     names = [n for n, _ in conditions]
 
@@ -191,23 +246,24 @@ def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int =
         counter = Counter()
         for b in batches:
             found = [counter.count(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "kinds": [f[0].astype(np.int32) for f in found], "values": [f[1].astype(np.float32) for f in found], "words": [f[2] for f in found], "marks": list(b[names].to_numpy(np.float64))})
+            yield pd.DataFrame({"id": b["id"], "fold": b["fold"], "kinds": [f[0].astype(np.int32) for f in found], "values": [f[1].astype(np.float32) for f in found], "words": [f[2] for f in found], "marks": list(b[names].to_numpy(np.float64))})
 
-    rows = labelled_sample(docs, labels, conditions, sample, id_col, text_col)
-    schema = f"id {dict(rows.dtypes)['id']}, kinds array<int>, values array<float>, words double, marks array<double>"
-    counted = stored(rows.mapInPandas(count, schema), "counted")
-    wanted = telling(counted, len(names), keep)
+    # Each fold has its share of every combination of labels.
+    share = Window.partitionBy(*names).orderBy(F.xxhash64("id", F.lit(1)), "id")
+    rows = labelled_sample(docs, labels, conditions, sample, id_col, text_col).withColumn("fold", ((F.row_number().over(share) - 1) % folds).cast("int"))
+    schema = f"id {dict(rows.dtypes)['id']}, fold int, kinds array<int>, values array<float>, words double, marks array<double>"
+    counted = stored(rows.repartition("id").mapInPandas(count, schema), "counted")
+    chosen = telling(counted, len(names), keep, folds)
+    wanted = np.unique(np.concatenate(chosen))
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            on = [np.isin(k, wanted) for k in b["kinds"]]
-            b["kinds"] = [np.searchsorted(wanted, k[o]).astype(np.int32) for k, o in zip(b["kinds"], on)]
-            b["values"] = [v[o] for v, o in zip(b["values"], on)]
+            b["kinds"], b["values"] = _only(wanted, list(b["kinds"]), list(b["values"]))
             yield b
 
     got = counted.mapInPandas(narrow, schema).toPandas().sort_values("id", ignore_index=True)
     marks = np.stack([np.asarray(m, float) for m in got["marks"]]) if len(got) else np.zeros((0, len(names)))
-    return fit_chain([np.asarray(k, np.int64) for k in got["kinds"]], [np.asarray(v, float) for v in got["values"]], got["words"].to_numpy(float), marks, names, wanted, **more)
+    return fit_chain([np.asarray(k, np.int64) for k in got["kinds"]], [np.asarray(v, float) for v in got["values"]], got["words"].to_numpy(float), marks, names, chosen, got["fold"].to_numpy(np.int64), fit_all=as_spark_tasks(docs.sparkSession), **more)
 
 
 def scored(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 16 << 20) -> DataFrame:
