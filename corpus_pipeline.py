@@ -30,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become token ids; mix_pos (null where the mix has not run) still orders them."""
+    """Texts become token ids: doc_id, source, mix_pos (where the mix has run), ids, n_tokens, round_trip. Other columns, lang and n_chars among them, end here."""
     keep = ("doc_id", "source", *(c for c in ("mix_pos",) if c in docs.columns))
     return sentencepiece_tok.tokenised(docs, sentencepiece_tok.load_model(TOKENIZER), keep=keep).select("row.*", "ids", "n_tokens", "round_trip")
 
