@@ -18,6 +18,14 @@ def daily_points(samples: DataFrame, tz="UTC") -> DataFrame:
     )
 
 
+def with_zones(samples: DataFrame, zones: DataFrame, default: str = "UTC") -> DataFrame:
+    """Samples with `time_zone`, their user's zone of the settings table (user_id, time_zone; unique by user), or the default.
+
+    daily_points and the other functions take F.col("time_zone") as their zone.
+    """
+    return samples.join(zones.select("user_id", "time_zone"), "user_id", "left").withColumn("time_zone", F.coalesce("time_zone", F.lit(default)))
+
+
 def tiered_daily(samples: DataFrame, summaries: DataFrame, tz="UTC") -> DataFrame:
     """Summaries where a day has any, else points from raw samples; a day never comes from both (whatever its units)."""
     points = ["user_id", "metric_type", "date", "unit", "avg_value", "min_value", "max_value", "sum_value", "sample_count"]

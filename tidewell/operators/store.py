@@ -5,25 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..catalog import MERGED_METRICS
 from ..functions.numbers import rounded
 from ..functions.time import local_day, touched_hours
-from ..schema import KEY, MAX_METADATA, MAX_TEXT, MERGED_SOURCE
+from ..schema import ISO_INSTANT, KEY, MAX_LIMIT, MAX_METADATA, MAX_TEXT, MERGED_SOURCE, PLACEHOLDERS
 
 
-def reject_reason(allowed_merged: tuple[str, ...] = ()) -> Column:
-    """The first rule that a sample row breaks, or null."""
+def user_key(user: Column) -> Column:
+    """A user id in its one form: trimmed, lower case; null for blanks and placeholders."""
+    u = F.lower(F.trim(user.cast("string")))
+    return F.when(~u.isin(*PLACEHOLDERS), u)
+
+
+def reject_reason(allowed_merged: tuple[str, ...] = (), pattern: str | None = None, texts: bool = False) -> Column:
+    """The first rule that a sample row breaks, or null.
+
+    pattern: what metric types have to match. texts: the row also has the columns started_text, ended_text and
+    batch_rows of from_payloads, and the rules on the texts as they came are checked too.
+    """
     long = lambda c: F.coalesce(F.length(c) > MAX_TEXT, F.lit(False))
     merged = F.col("source_device") == MERGED_SOURCE
     out = F.when(F.col("user_id").isNull(), "no user").when(F.coalesce(F.trim("metric_type"), F.lit("")) == "", "no metric").when(long("metric_type") | long("unit") | long("source_device"), "text too long")
     out = out.when(F.col("started_at").isNull(), "bad started_at").when(F.coalesce(F.octet_length("metadata") > MAX_METADATA, F.lit(False)), "metadata too large")
+    no_object = F.col("metadata").isNotNull() & (~F.ltrim("metadata").startswith("{") | F.get_json_object("metadata", "$").isNull())
+    out = out.when(no_object, "metadata is no object")
+    if pattern:
+        out = out.when(~F.col("metric_type").rlike(pattern), "bad metric type")
+    if texts:
+        out = out.when(F.col("ended_text").isNotNull() & F.col("ended_at").isNull(), "bad ended_at").when(F.col("batch_rows") > MAX_LIMIT, "batch too large")
+        strict = F.col("started_text").rlike(ISO_INSTANT) & F.coalesce(F.col("ended_text").rlike(ISO_INSTANT), F.lit(False))
+        out = out.when(merged & ~strict, "not a strict instant")
     whole = (F.date_trunc("hour", "started_at") == F.col("started_at")) & F.coalesce(F.col("ended_at") == F.col("started_at") + F.expr("INTERVAL 1 HOUR"), F.lit(False)) & F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
     out = out.when(merged & ~F.col("metric_type").isin(*allowed_merged or ("",)), "metric is not merged").when(merged & ~whole, "not a whole hour")
     return out
 
 
-def validate(samples: DataFrame, allowed_merged: tuple[str, ...] = (), mode: str = "row", batch_col: str = "batch_id") -> DataFrame:
-    """Adds reject_reason; mode="batch" rejects all rows of a batch that has a bad one."""
-    out = samples.withColumn("reject_reason", reject_reason(allowed_merged))
+def validate(samples: DataFrame, allowed_merged: tuple[str, ...] = (), mode: str = "row", batch_col: str = "batch_id", **rules) -> DataFrame:
+    """Adds reject_reason; mode="batch" rejects all rows of a batch that has a bad one. rules: those of reject_reason."""
+    out = samples.withColumn("reject_reason", reject_reason(allowed_merged, **rules))
     if mode == "batch":
         w = Window.partitionBy(batch_col)
         out = out.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.max("reject_reason").over(w).isNotNull(), "batch rejected")))
@@ -68,6 +87,25 @@ def hourly_totals(samples: DataFrame) -> DataFrame:
     return samples.groupBy("user_id", "metric_type", hour.alias("started_at"), "unit").agg(rounded(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("value"), F.count(F.lit(1)).alias("device_rows"))
 
 
+def reemit_hours(store: DataFrame, batch: DataFrame, unit: str) -> DataFrame:
+    """The store with a merged row for every hour that the batch's intervals touch, in place of the hour's device rows.
+
+    The store already holds the batch. Totals are of whole hours, by the hour in which rows start, so a repeated
+    delivery gives them again alike; an hour in which no row starts gets 0.
+    """
+    hours = hours_touched(batch).select("user_id", "metric_type", "hour").distinct()
+    rows = store.where(F.col("source_device") != MERGED_SOURCE).withColumn("hour", F.date_trunc("hour", "started_at"))
+    total = hours.join(rows.select("user_id", "metric_type", "hour", "value", "synced_at"), ["user_id", "metric_type", "hour"], "left").groupBy("user_id", "metric_type", "hour").agg(
+        rounded(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("value"), F.max("synced_at").alias("synced_at")
+    )
+    end = F.col("hour") + F.expr("INTERVAL 1 HOUR")
+    merged = total.select(
+        "user_id", "metric_type", "value", F.lit(unit).alias("unit"), F.lit(MERGED_SOURCE).alias("source_device"), F.col("hour").alias("started_at"), end.alias("ended_at"),
+        F.lit(None).cast("string").alias("metadata"), F.coalesce("synced_at", end).alias("synced_at"),
+    )
+    return replace_merged_hours(store, merged)
+
+
 def hours_touched(samples: DataFrame) -> DataFrame:
     return samples.withColumn("hour", F.explode(touched_hours(F.col("started_at"), F.coalesce("ended_at", "started_at"))))
 
@@ -109,14 +147,25 @@ def recompute_summaries(samples: DataFrame, tz="UTC") -> DataFrame:
     return _aggregated(rows.join(clean, ["user_id", "metric_type", "summary_date"])).where("sample_count > 0").withColumn("avg_value", F.col("sum_value") / F.col("sample_count"))
 
 
-def to_compact(cutoff: Column, as_of: Column, quiet_hours: int = 24) -> Column:
-    """Rows that compaction takes: before the cutoff, and not synced within the quiet period."""
-    return F.coalesce((F.col("started_at") < cutoff) & (F.col("synced_at") < as_of - F.expr(f"INTERVAL {quiet_hours} HOURS")), F.lit(False))
+def summarizable(metric: Column) -> Column:
+    """Quantities are summarised; categories and workouts never are."""
+    return ~metric.startswith("HKCategory") & ~metric.startswith("HKWorkout")
+
 
+def to_compact(cutoff: Column, as_of: Column, quiet_hours: int = 24, kept_raw: tuple[str, ...] = ()) -> Column:
+    """Rows that compaction takes: of summarizable metrics that aren't kept raw, before the cutoff, and not synced within the quiet period."""
+    m = F.col("metric_type")
+    old = (F.col("started_at") < cutoff) & (F.col("synced_at") < as_of - F.expr(f"INTERVAL {quiet_hours} HOURS"))
+    return F.coalesce(old & summarizable(m) & ~m.isin(*kept_raw or ("",)), F.lit(False))
 
-def compact(samples: DataFrame, summaries: DataFrame, cutoff: Column, as_of: Column, tz="UTC", quiet_hours: int = 24) -> tuple[DataFrame, DataFrame]:
-    """(samples that stay, summaries with the others merged in): one predicate decides both, so no row is lost or counted twice."""
-    rows = _points(samples, tz).withColumn("_go", to_compact(cutoff, as_of, quiet_hours))
+
+def compact(samples: DataFrame, summaries: DataFrame, cutoff: Column, as_of: Column, tz="UTC", quiet_hours: int = 24, kept_raw: tuple[str, ...] = MERGED_METRICS) -> tuple[DataFrame, DataFrame]:
+    """(samples that stay, summaries with the others merged in): one predicate decides both, so no row is lost or counted twice.
+
+    Categories, workouts and the metrics of `kept_raw` stay raw; merged metrics are among these, since their days are
+    rebuilt by recompute_summaries. compaction_plan tells which metrics that concerns.
+    """
+    rows = _points(samples, tz).withColumn("_go", to_compact(cutoff, as_of, quiet_hours, kept_raw))
     new = _aggregated(rows.where("_go")).where("sample_count > 0")
     parts = summaries.select("user_id", "metric_type", "summary_date", "unit", "min_value", "max_value", "sum_value", "sample_count").unionByName(new)
     merged = parts.groupBy("user_id", "metric_type", "summary_date", "unit").agg(F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.sum("sum_value").alias("sum_value"), F.sum("sample_count").alias("sample_count"))

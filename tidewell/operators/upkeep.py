@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MERGED_SOURCE, SUMMARY_KEY
-from .store import double_counted, replace_merged_hours
+from .store import double_counted, replace_merged_hours, summarizable
 
 
 def horizon_floor(as_of: Column, everything: bool = False) -> Column:
@@ -32,11 +32,6 @@ def essentials(samples: DataFrame, catalog: DataFrame) -> DataFrame:
     return samples.join(F.broadcast(catalog.where("is_essential").select("metric_type")), "metric_type", "left_semi")  # one row per metric
 
 
-def summarizable(metric: Column) -> Column:
-    """Quantities are summarised; categories and workouts never are."""
-    return ~metric.startswith("HKCategory") & ~metric.startswith("HKWorkout")
-
-
 def compaction_plan(samples: DataFrame, cutoff: Column, merged_metrics: tuple[str, ...], kept_apart: tuple[str, ...] = ()) -> DataFrame:
     """What a compaction would touch: per metric rows and users before the cutoff, and recompute, compact or skip."""
     m = F.col("metric_type")

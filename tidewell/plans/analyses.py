@@ -8,7 +8,7 @@ from ..functions.time import local_day
 from ..operators import analyses, sleep, store, upkeep
 from ..schema import MERGED_SOURCE
 from ..sources.samples import scan_samples, with_stage_names
-from .registry import _GO, _LOCAL, _RUNS, _SUMMED, AS_OF, CUTOFF, TZ, _merged, _points, _row, _ROW, _series, _sleep, _store, _summary, _trips, query, samples_of, summaries_of
+from .registry import _GO, _LOCAL, _RUNS, _SUMMED, AS_OF, CUTOFF, KEPT_RAW, TZ, _merged, _points, _row, _ROW, _series, _sleep, _store, _summary, _trips, query, samples_of, summaries_of
 
 
 #: With event_id % 3 = 0 as the batch, each row is in the store, in the batch, or in both.
@@ -144,7 +144,7 @@ def rows_left_raw(spark, sf_dir):
     from ..functions.time import day_bounds_utc, local_day
 
     cutoff = day_bounds_utc(F.lit(CUTOFF).cast("date"), TZ)[0]
-    left = scan_samples(samples_of(spark, sf_dir)).where(~store.to_compact(cutoff, _as_of()))
+    left = scan_samples(samples_of(spark, sf_dir)).where(~store.to_compact(cutoff, _as_of(), kept_raw=KEPT_RAW))
     return left.groupBy("user_id", "metric_type").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(local_day(F.col("started_at"), TZ)).alias("days"))
 
 

@@ -373,14 +373,16 @@ def recompute_summaries(spark, sf_dir):
     return _summary(store.recompute_summaries(mixed, TZ))
 
 
-_GO = f"started_at < TIMESTAMP '{CUTOFF} 05:00:00' AND synced_at < TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR"
+#: Never compacted: sleep is a category, steps are merged hours.
+KEPT_RAW = ("sleep", "steps")
+_GO = f"metric_type NOT IN {KEPT_RAW} AND started_at < TIMESTAMP '{CUTOFF} 05:00:00' AND synced_at < TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR"
 
 
 def _compacted(spark, sf_dir):
     from ..functions.time import day_bounds_utc
 
     cutoff = day_bounds_utc(F.lit(CUTOFF).cast("date"), TZ)[0]
-    return store.compact(samples_of(spark, sf_dir), summaries_of(spark, sf_dir), cutoff, F.lit(AS_OF).cast("timestamp"), TZ)
+    return store.compact(samples_of(spark, sf_dir), summaries_of(spark, sf_dir), cutoff, F.lit(AS_OF).cast("timestamp"), TZ, kept_raw=KEPT_RAW)
 
 
 @query(f"""SELECT user_id, metric_type, summary_date, unit, round(min(lo), 4) AS min_value, round(max(hi), 4) AS max_value, round(sum(s), 2) AS sum_value, sum(n)::BIGINT AS sample_count, round(sum(s) / sum(n), 2) AS avg_value FROM

@@ -1,8 +1,10 @@
 """Parquet stores that change by parts: new directories are written for the parts that change, then a log names them.
 
-A part is the set of rows with equal `part` value (days, for samples). The log holds (version, part, path); a part is
-what its newest row says, and a path of null is an empty part. A commit appends one log file, so a torn write leaves
-no trace, and a batch rewrites the parts it touches and nothing else.
+A part is the set of rows with equal `part` value (days and user buckets, for samples). The log holds (version, part,
+path, stream, batch); a part is what its newest row says, and a path of null is an empty part. A commit appends one log
+file, so a torn write leaves no trace, and a batch rewrites the parts it touches and nothing else. Versions count on from
+the highest in the log, whoever wrote it; (stream, batch) only makes a repeated delivery harmless. One writer at a time:
+a commit that finds its version taken by another stream fails.
 """
 
 from __future__ import annotations
@@ -13,41 +15,61 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG = "version long, part string, path string"
+LOG = "version long, part string, path string, stream string, batch long"
 
 
-def parts(spark: SparkSession, store: str) -> dict[str, str]:
-    """The directory of every part that has rows. Its size is the number of parts, not of rows."""
+def _log(spark: SparkSession, store: str) -> DataFrame | None:
     try:
-        log = spark.read.schema(LOG).json(f"{store}/log")
-        rows = log.groupBy("part").agg(F.max_by(F.struct("path"), "version").alias("s")).where("s.path is not null").select("part", "s.path").collect()
+        return spark.read.schema(LOG).json(f"{store}/log")
     except Exception as e:  # noqa: BLE001  no log yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        return None
+
+
+def parts(spark: SparkSession, store: str) -> dict[str, str]:
+    """The directory of every part that has rows. Its size is the number of parts, not of rows."""
+    log = _log(spark, store)
+    if log is None:
         return {}
+    rows = log.groupBy("part").agg(F.max_by(F.struct("path"), F.struct("version", "stream")).alias("s")).where("s.path is not null").select("part", "s.path").collect()
     return {r["part"]: r["path"] for r in rows}
 
 
+def committed(spark: SparkSession, store: str, stream: str, batch: int) -> bool:
+    """Whether this batch of this stream is in the store already."""
+    log = _log(spark, store)
+    return log is not None and not log.where((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
+
+
 def read_store(spark: SparkSession, store: str, schema: str, only: set[str] | None = None) -> DataFrame:
     """The store's rows, of the named parts only if these are given."""
     paths = [p for k, p in sorted(parts(spark, store).items()) if only is None or k in only]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def commit(spark: SparkSession, store: str, rows: DataFrame, part: Column, touched: set[str], version: int) -> None:
-    """Puts `rows` in place of the touched parts. The same version twice is harmless."""
+def commit(spark: SparkSession, store: str, rows: DataFrame, part: Column, touched: set[str], stream: str, batch: int) -> None:
+    """Puts `rows` in place of the touched parts. The same batch of a stream twice is harmless."""
+    if not touched or committed(spark, store, stream, batch):
+        return
+    log = _log(spark, store)
+    version = 1 + (-1 if log is None else log.agg(F.max("version")).first()[0])
     at = f"{store}/data/{version}-{uuid.uuid4().hex}"
     # Rebalanced by part: small parts share a task and have one file, a large one is split by size.
     rows.withColumn("_part", part).hint("rebalance", "_part").write.partitionBy("_part").parquet(at)
-    there = {r["_part"] for r in spark.read.schema("_part string").parquet(at).distinct().collect()} if touched else set()
-    log = [(version, p, f"{at}/_part={p}" if p in there else None) for p in sorted(touched)]
-    spark.createDataFrame(log, LOG).coalesce(1).write.mode("append").json(f"{store}/log")
+    there = {r["_part"] for r in spark.read.schema("_part string").parquet(at).distinct().collect()}
+    entries = [(version, p, f"{at}/_part={p}" if p in there else None, stream, batch) for p in sorted(touched)]
+    spark.createDataFrame(entries, LOG).coalesce(1).write.mode("append").json(f"{store}/log")
+    if _log(spark, store).where((F.col("version") == version) & (F.col("stream") != stream)).count():
+        raise RuntimeError(f"another stream wrote version {version} of {store}")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir; a local one where it is unset)."""
+    """A new path in the folder that all executors share, spark.checkpoint.dir; only a local master may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidewell/{what}-{uuid.uuid4().hex}"

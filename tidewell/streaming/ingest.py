@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import dedupe_latest, replace_merged_hours, upserted, validate
+from ..operators.store import dedupe_latest, replace_merged_hours, upserted, user_key, validate
+from ..operators.upkeep import batch_log
 from ..schema import KEY, MERGED_SOURCE, PAYLOAD, SAMPLE_COLUMNS, SAMPLES
 from ..sources.samples import from_payloads
-from ..sources.versions import commit, read_store
+from ..sources.versions import commit, committed, read_store
+
+
+def checked(batch: DataFrame, user_id: str | None, merged_metrics: tuple[str, ...], pattern: str | None = None) -> DataFrame:
+    """A batch's rows with reject_reason; a payload's own user_id goes before the stream's."""
+    rows = from_payloads(batch).withColumns({"user_id": F.coalesce(user_key(F.col("user_id")), F.lit(user_id).cast("string")), "synced_at": F.current_timestamp()})
+    return validate(rows, merged_metrics, pattern=pattern, texts=True)
 
 
-def prepared(batch: DataFrame, user_id: str, merged_metrics: tuple[str, ...]) -> DataFrame:
-    rows = from_payloads(batch).withColumns({"user_id": F.lit(user_id), "synced_at": F.current_timestamp()})
-    good = validate(rows, merged_metrics).where("reject_reason is null").drop("reject_reason")
-    return dedupe_latest(good, F.col("batch_seq")).select(*SAMPLE_COLUMNS)
+def prepared(rows: DataFrame) -> DataFrame:
+    """The good ones of checked rows, the last of each key."""
+    return dedupe_latest(rows.where("reject_reason is null"), F.col("batch_seq")).select(*SAMPLE_COLUMNS)
 
 
 def applied(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -23,23 +31,52 @@ def applied(store: DataFrame, batch: DataFrame) -> DataFrame:
     return upserted(replace_merged_hours(store, merged), batch.where(F.col("source_device") != MERGED_SOURCE))
 
 
-def day_part(started_at: Column) -> Column:
-    """The part of a sample in the store: its UTC day. Keys and merged hours never cross parts."""
-    return F.date_format(started_at, "yyyy-MM-dd")
+def day_part(rows_user: Column, started_at: Column, buckets: int = 16) -> Column:
+    """The part of a sample in the store: its UTC day and its user's bucket. Keys and merged hours never cross parts."""
+    return F.concat(F.date_format(started_at, "yyyy-MM-dd"), F.lit("_"), F.pmod(F.hash(rows_user), F.lit(buckets)).cast("string"))
 
 
-def ingest_stream(spark: SparkSession, payloads: str, store: str, checkpoint: str, user_id: str, merged_metrics: tuple[str, ...] = (), max_files: int = 1000):
-    """Drains the payload folder into the store. A batch reads and rewrites the days it touches; delivered again, it writes them again alike."""
+def ingest_stream(spark: SparkSession, payloads: str, store: str, checkpoint: str, user_id: str | None = None, merged_metrics: tuple[str, ...] = (), max_files: int = 1000, pattern: str | None = None):
+    """Drains the payload folder into the store. A batch reads and rewrites the days and user buckets it touches.
+
+    user_id stands for payloads without one. Rejected rows go to the store's folder `rejected`, and counts of rows
+    posted, rejected, inserted and replaced by metric to `batches`, both in a folder per stream and batch, so that a
+    repeated delivery writes them again alike. The stream is known by its checkpoint.
+    """
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+    part = day_part(F.col("user_id"), F.col("started_at"))
 
     def put(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        new = prepared(batch, user_id, merged_metrics)
-        days = {r["day"] for r in new.select(day_part(F.col("started_at")).alias("day")).distinct().collect()}
-        if days:
-            commit(s, store, applied(read_store(s, store, SAMPLES, days), new), day_part(F.col("started_at")), days, batch_id)
-
-    stream = spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", max_files).json(payloads)
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if committed(s, store, stream, batch_id):
+            return
+        rows = checked(batch, user_id, merged_metrics, pattern).persist()
+        new = prepared(rows).persist()
+        try:
+            at = f"stream={stream}/batch={batch_id}"
+            bad = rows.where("reject_reason is not null")
+            bad.write.mode("overwrite").parquet(f"{store}/rejected/{at}")
+            touched = {r["part"] for r in new.select(part.alias("part")).distinct().collect()}
+            old = read_store(s, store, SAMPLES, touched)
+            report = batch_log(new.select(*KEY).withColumn("reject_reason", F.lit(None).cast("string")).unionByName(bad.select(*KEY, "reject_reason")), old)
+            report.coalesce(1).write.mode("overwrite").json(f"{store}/batches/{at}")
+            commit(s, store, applied(old, new), part, touched, stream, batch_id)
+        finally:
+            new.unpersist()
+            rows.unpersist()
+
+    source = spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", max_files).json(payloads)
+    return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rejected_rows(spark: SparkSession, store: str) -> DataFrame:
+    """The rows that ingest has put aside, with reject_reason, stream and batch."""
+    return spark.read.parquet(f"{store}/rejected")
+
+
+def batch_reports(spark: SparkSession, store: str) -> DataFrame:
+    """Counts by metric of every batch that ingest has taken in."""
+    return spark.read.schema("metric_type string, posted long, rejected long, inserted long, replaced long, stream string, batch long").json(f"{store}/batches")
 
 
 def hourly_counts_stream(events: DataFrame, delay: str = "2 days") -> DataFrame:
