@@ -140,7 +140,7 @@ class Encoder:
     Ids are kept as bytes of 32-bit integers, which join fast and which Python's garbage collector needn't visit.
     """
 
-    def __init__(self, raw: bytes, verify: bool = True, most: int = 400_000):
+    def __init__(self, raw: bytes, verify: bool = True, most: int = 200_000):
         self.tok, self.plain, self.own, self.model, self.cut = _loaded(raw)
         self.verify, self.most = verify, most
         self.first = np.array([t.startswith(MARK) for t, _, _ in self.model["pieces"]])
@@ -224,7 +224,7 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def tokenised(docs: DataFrame, model: bytes, verify: bool = True, keep: tuple[str, ...] = ("doc_id",), max_bytes: int = 2_000_000, text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, model: bytes, verify: bool = True, keep: tuple[str, ...] = ("doc_id",), max_bytes: int = 1_000_000, text_col: str = "text") -> DataFrame:
     """One row per document: the columns of `keep` (as struct `row`), ids, n_tokens, round_trip, parity.
 
     ids are those of the rebuilt tokenizer; round_trip tells that decoding them gives the text again (for models that
