@@ -248,9 +248,7 @@ def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int =
             found = [counter.count(t) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "fold": b["fold"], "kinds": [f[0].astype(np.int32) for f in found], "values": [f[1].astype(np.float32) for f in found], "words": [f[2] for f in found], "marks": list(b[names].to_numpy(np.float64))})
 
-    # Each fold has its share of every combination of labels.
-    share = Window.partitionBy(*names).orderBy(F.xxhash64("id", F.lit(1)), "id")
-    rows = labelled_sample(docs, labels, conditions, sample, id_col, text_col).withColumn("fold", ((F.row_number().over(share) - 1) % folds).cast("int"))
+    rows = labelled_sample(docs, labels, conditions, sample, id_col, text_col).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(folds)).cast("int"))
     schema = f"id {dict(rows.dtypes)['id']}, fold int, kinds array<int>, values array<float>, words double, marks array<double>"
     counted = stored(rows.repartition("id").mapInPandas(count, schema), "counted")
     chosen = telling(counted, len(names), keep, folds)
