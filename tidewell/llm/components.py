@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import each_salt, salted, salts_seen, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,19 +15,26 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node with a link: root is the smallest node of its component; a root has a row too.
 
-    links: columns u, v (long). Only counts reach the driver; each round's links are written to the shared folder,
-    and its largest group is aggregated map-side before any shuffle by node.
+    links: columns u, v of one ordered type. Only counts reach the driver; each round's links are written to the
+    shared folder. A node with a large share of all links is aggregated map-side, and what is known of it goes back
+    to its links in SALTS shares, so it is never one key.
     """
     edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _state(edges)
     if not before[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+    def told(rows: DataFrame, least) -> DataFrame:
+        """rows (u, v) with m, the least v of their u."""
+        own = rows.withColumn("salt", salted(F.col("v")))
+        known = own.groupBy("u").agg(least.alias("m"), salts_seen(F.col("salt")).alias("seen"))
+        return own.join(known.select("u", "m", each_salt(F.col("seen")).alias("salt")), ["u", "salt"])
+
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
+        large = told(both, F.least(F.col("u"), F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = told(large, F.min("v"))
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(large.groupBy("u").agg(F.min("v").alias("v")))
         edges = stored(small.distinct(), "links")
         now = _state(edges)
         if now == before:

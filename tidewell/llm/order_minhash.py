@@ -12,8 +12,8 @@ No group is expanded into pairs of rows:
 1. equal word sequences become one node;
 2. each node is compared with the smallest node it shares a bucket with; links give the first components;
 3. in each bucket that still holds several components, the nodes outside its main component are compared with all
-   nodes of that component, and then, if they still stand apart, with each other. Comparisons run in blocks of CHUNK
-   nodes or so inside a task, which yields links only. So every pair of a bucket is in one component, or compared.
+   nodes of that component, and then, if they still stand apart, with each other. Comparisons run in groups of CHUNK
+   by LOT nodes or so, which yield links only. So every pair of a bucket is in one component, or compared.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DecimalType
 
 from .components import components
-from .shared import col, packed, slices, stored
+from .shared import SALTS, col, each_salt, packed, salted, salts_seen, slices, stored
 
-K, ROWS, BANDS, SIMILARITY, SALTS, CHUNK = 5, 4, 40, 0.8, 60, 256
+K, ROWS, BANDS, SIMILARITY, CHUNK, LOT, HELD = 5, 4, 40, 0.8, 128, 64, 24_000_000
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
 
@@ -128,10 +128,22 @@ def distance(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> fl
     return 1 - aligned / (total - aligned)
 
 
-def digest(text: str, w: np.ndarray) -> int:
-    """The node of a text: equal for equal word sequences (64 bits); for texts without words, for equal texts."""
+NODE = "decimal(38,0)"
+
+
+def digest(text: str, w: np.ndarray) -> bytes:
+    """The node of a text: equal for equal word sequences (120 bits); for texts without words, for equal texts."""
     raw = w.tobytes() if len(w) else b"\0" + text.encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+    return hashlib.blake2b(raw, digest_size=15).digest()
+
+
+def _numbers(digests: list[bytes]) -> pa.Array:
+    """Digests as whole numbers of the type NODE, which Spark compares and aggregates without sorting."""
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(digests), [None, pa.py_buffer(b"\0".join([*digests, b""]))])
+
+
+def _digests(nodes: pa.Array) -> list[bytes]:
+    return [int(n).to_bytes(15, "little") for n in nodes.to_pylist()]
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
@@ -146,9 +158,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
                     w = words(t)
                     nodes.append(digest(t, w))
                     found.append(bands(kmers(w)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _numbers(nodes), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
-    return base.mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return base.mapInArrow(run, f"doc_id long, node {NODE}, bands array<long>")
 
 
 class _Block:
@@ -200,7 +212,7 @@ def _compare(similarity: float):
                         for u in block.links(node, root, x, similarity):
                             us.append(u)
                             vs.append(node)
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.decimal128(38, 0)), pa.array(vs, pa.decimal128(38, 0))], names=["u", "v"])
 
     return run
 
@@ -208,17 +220,25 @@ def _compare(similarity: float):
 def compared(heads: DataFrame, asked: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) between the nodes of `heads` and of `asked` that have the same block; both: block, node, root.
 
-    A block's heads are dealt out in parts of CHUNK or so and every node asked for goes to each part; one with few
-    heads and many nodes asked is dealt out by these instead.
+    A block is a grid: its heads are dealt into parts of CHUNK nodes or HELD characters or so, its asked nodes into lots
+    of as many as there are heads in a part, LOT at least; each part meets each lot in one group. Only blocks of several parts or lots are in `grid`, and they get
+    to know it in SALTS shares, so no block comes whole to one task before it is cut.
     """
-    sizes = heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    lots = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("lots"))
-    plan = sizes.join(lots, "block").withColumn("lots", F.when(F.col("parts") == 1, F.col("lots")).otherwise(F.lit(1).cast("long")))
-    own = heads.join(plan, "block").withColumn("part", F.explode(F.when(F.col("parts") > 1, F.array(F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))))
-    other = asked.join(plan, "block").withColumn("part", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("lots"))))))
-    both = own.select("block", "part", F.lit(0).alias("role"), "node", "root").unionByName(other.select("block", "part", F.lit(1).alias("role"), "node", "root"))
-    rows = both.join(texts, "node").select("block", "part", "role", "node", "root", "text")
-    done = rows.repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(_compare(similarity), "u long, v long")
+    sizes = heads.join(texts.select("node", "n"), "node").groupBy("block").agg(F.count(F.lit(1)).alias("heads"), F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / HELD)).alias("parts"))
+    lots = asked.groupBy("block").agg(F.count(F.lit(1)).alias("asked"))
+    grid = sizes.join(lots, "block").withColumn("lots", F.ceil(F.col("asked") / F.greatest(F.lit(LOT), F.least("heads", F.lit(CHUNK))))).where("parts > 1 or lots > 1").select("block", "parts", "lots", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+    def dealt(rows: DataFrame, role: int, own: str, others: str) -> DataFrame:
+        """Each row in its own part (or lot), once for every lot (or part) of its block."""
+        known = rows.withColumn("salt", salted(F.col("node"))).join(grid, ["block", "salt"], "left")
+        n, m = F.coalesce(own, F.lit(1).cast("long")), F.coalesce(others, F.lit(1).cast("long"))
+        mine = F.pmod(F.xxhash64("node", F.lit(1)), n)
+        cell = (lambda i: mine * m + i) if role == 0 else (lambda i: i * n + mine)
+        return known.select("block", "node", "root", F.lit(role).alias("role"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), m - 1), cell)).alias("part"))
+
+    both = dealt(heads, 0, "parts", "lots").unionByName(dealt(asked, 1, "lots", "parts"))
+    rows = both.join(texts.select("node", "text"), "node").select("block", "part", "role", "node", "root", "text")
+    done = rows.repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(_compare(similarity), f"u {NODE}, v {NODE}")
     return stored(done, "links")
 
 
@@ -235,19 +255,20 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
 def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """near_classes with the node of each row."""
-    seen = stored(sketches(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches")
-    nodes = seen.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.expr("bit_or(shiftleft(1L, salt))").alias("salts"))
+    seen = stored(sketches(docs, id_col, text_col).withColumn("salt", salted(F.col("doc_id"))), "sketches")
+    nodes = seen.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), salts_seen(F.col("salt")).alias("salts"))
     one = seen.select("node", "bands").dropDuplicates(["node"])
-    at = one.select("node", F.posexplode("bands").alias("band", "hash"))
-    star = at.groupBy("band", "hash").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"), F.expr("bit_or(shiftleft(1L, cast(pmod(node, 60) as int)))").alias("parts")).where("n > 1")
-    star = star.select("band", "hash", "centre", F.explode(F.filter(F.sequence(F.lit(0), F.lit(59)), lambda s: F.getbit(F.col("parts"), s) == 1)).alias("part"))
-    held = at.withColumn("part", F.expr("cast(pmod(node, 60) as int)")).join(star, ["band", "hash", "part"]).where("node <> centre").select("band", "hash", "centre", "node")
+    at = one.select("node", F.posexplode("bands").alias("band", "hash")).withColumn("part", salted(F.col("node")))
+    star = at.groupBy("band", "hash").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"), salts_seen(F.col("part")).alias("parts")).where("n > 1")
+    star = star.select("band", "hash", "centre", each_salt(F.col("parts")).alias("part"))
+    held = at.join(star, ["band", "hash", "part"]).where("node <> centre").select("band", "hash", "centre", "node")
     heads = star.select("band", "hash", F.col("centre").alias("node")).distinct()
     held = stored(held.select("band", "hash", "node", "centre").unionByName(heads.select("band", "hash", "node", F.col("node").alias("centre"))), "buckets")
 
     wanted = held.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     source = docs.select(col(id_col).cast("long").alias("first_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = stored(source.join(wanted, source["first_id"].eqNullSafe(wanted["first_id"])).select("node", "text").mapInArrow(_own_texts, "node long, text string").dropDuplicates(["node"]), "texts")
+    found = source.join(wanted, source["first_id"].eqNullSafe(wanted["first_id"])).select("node", "text")
+    texts = stored(found.mapInArrow(_own_texts, f"node {NODE}, text string").dropDuplicates(["node"]).withColumn("n", F.char_length("text")), "texts")
 
     first = held.where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
     asked = first.select(F.col("centre").alias("block"), "node", F.col("node").alias("root"))
@@ -255,29 +276,33 @@ def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     root = components(links)
 
     # Buckets of several components: the main one (most nodes, then the smallest root) and the loose nodes outside it.
-    placed = held.select("band", "hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = placed.groupBy("band", "hash", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("band", "hash").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    loose = stored(placed.join(main, ["band", "hash"]).where("root <> main").select(F.col("main").alias("block"), "node", "root").distinct(), "loose")
+    placed = held.select("band", "hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("salt", salted(F.col("node")))
+    parts = placed.groupBy("band", "hash", "root").agg(F.count(F.lit(1)).alias("n"), salts_seen(F.col("salt")).alias("salts"))
+    main = parts.groupBy("band", "hash").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("roots"), F.bit_or("salts").alias("salts")).where("roots > 1")
+    main = main.select("band", "hash", "main", each_salt(F.col("salts")).alias("salt"))
+    loose = stored(placed.join(main, ["band", "hash", "salt"]).where("root <> main").select(F.col("main").alias("block"), "node", "root").distinct(), "loose")
     mains = loose.select(F.col("block").alias("root")).distinct()
-    members = mains.join(root, "root").unionByName(mains.select("root", F.col("root").alias("node"))).distinct()
+    rooted = root.withColumn("salt", salted(F.col("node")))
+    shares = rooted.groupBy("root").agg(salts_seen(F.col("salt")).alias("salts")).join(mains, "root").select("root", each_salt(F.col("salts")).alias("salt"))
+    members = rooted.join(shares, ["root", "salt"]).select("root", "node").unionByName(mains.select("root", F.col("root").alias("node"))).distinct()
     more = compared(members.select(F.col("root").alias("block"), "node", "root"), loose, texts, similarity)
     if not more.isEmpty():
         links = links.unionByName(more)
         root = components(links)
     now = loose.select("block", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main_now = mains.select(F.col("root").alias("block")).join(root.select(F.col("node").alias("block"), F.col("root").alias("main")), "block", "left")
-    now = stored(now.join(main_now, "block").withColumn("main", F.coalesce("main", "block")), "loose")
-    # A lone loose node has no other to be compared with.
-    several = now.groupBy("block").agg(F.count_distinct("root").alias("roots")).where("roots > 1").select("block")
-    apart = now.where("root <> main").join(several, "block")
-    last = compared(now.join(several, "block").select("block", "node", "root"), apart.select("block", "node", "root"), texts, similarity)
+    shares = now.withColumn("salt", salted(F.col("node"))).groupBy("block").agg(salts_seen(F.col("salt")).alias("salts"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # Where all loose nodes have one root there is nothing left to compare.
+    told = shares.join(main_now, "block").select("block", F.coalesce("main", "block").alias("main"), (F.col("low") < F.col("high")).alias("several"), each_salt(F.col("salts")).alias("salt"))
+    now = stored(now.withColumn("salt", salted(F.col("node"))).join(told, ["block", "salt"]).where("several").select("block", "node", "root", "main"), "loose")
+    last = compared(now.select("block", "node", "root"), now.where("root <> main").select("block", "node", "root"), texts, similarity)
     if not last.isEmpty():
         root = components(links.unionByName(last))
 
-    rooted = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"))
-    told = rooted.join(classes, "root").select("node", "root", "class_id", "class_size", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(F.col("salts"), s) == 1)).alias("salt"))
+    placed = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("share", salted(F.col("node")))
+    classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"), salts_seen(F.col("share")).alias("shares"))
+    classes = classes.select("root", "class_id", "class_size", each_salt(F.col("shares")).alias("share"))
+    told = placed.join(classes, ["root", "share"]).select("node", "root", "class_id", "class_size", each_salt(F.col("salts")).alias("salt"))
     repeats = Window.partitionBy("root", "salt", "doc_id").orderBy("node")
     return seen.select("doc_id", "node", "salt").join(told, ["node", "salt"]).select(
         "doc_id", "node", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.row_number().over(repeats) == 1)).alias("kept")
@@ -287,13 +312,13 @@ def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only texts that belong to their node: an id may be repeated with another text."""
     for b in batches:
-        keep = [digest(t, words(t)) == n for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        keep = [digest(t, words(t)) == n for n, t in zip(_digests(b.column(0)), b.column(1).to_pylist(), strict=True)]
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-@F.arrow_udf(LongType())
+@F.arrow_udf(DecimalType(38, 0))
 def _nodes(texts: pa.Array) -> pa.Array:
-    return pa.array([digest(t, words(t)) for t in texts.to_pylist()], pa.int64())
+    return _numbers([digest(t, words(t)) for t in texts.to_pylist()])
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
