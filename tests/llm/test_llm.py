@@ -40,12 +40,19 @@ def test_mixing_keeps_all_and_stays_within_a_block(spark):
     out = mixing.schedule(spark.createDataFrame(rows, DOCS), {"a": 5, "b": 3}, block=4).toPandas()
     assert sorted(out["doc_id"]) == list(range(330)) and out["mix_pos"].is_unique
     assert ((out["release"] <= out["slot"]) & (out["slot"] < out["deadline"])).all()
-    weights, first = {"a": 5, "b": 3, "c": 1, "": 1}, out[out["phase"] == 0]
-    done, seen = collections.Counter(), first.drop_duplicates(["source", "block"]).sort_values("slot")
-    for slot, source in zip(seen["slot"], seen["source"]):
-        done[source] += 1
-        if slot < 10:
-            assert all(abs(done[s] - (slot + 1) * w / 10) < 1 for s, w in weights.items()) or done[""] + done["c"] <= 2
+    # In each phase, after any slot each of its sources is less than one block away from its share.
+    weights, begin, slots = {"a": 5, "b": 3, "c": 1, "": 1}, 0, 0
+    for _, own in out.groupby("phase"):
+        done, seen = collections.Counter(), own.drop_duplicates(["source", "block"]).sort_values("slot")
+        active = {s: weights[s] for s in seen["source"].unique()}
+        at = dict(zip(seen["slot"], seen["source"]))
+        full = len(at) // sum(active.values()) * sum(active.values())
+        for n, slot in enumerate(range(begin, begin + full)):
+            done[at[slot]] += 1
+            assert all(abs(done[s] - (n + 1) * w / sum(active.values())) < 1 for s, w in active.items())
+            slots += 1
+        begin = max(at) + 1
+    assert slots > 40
     same = mixing.mixed(spark.createDataFrame(rows, DOCS), {"a": 5}, name="kept")
     assert set(same.columns) == {"doc_id", "text", "source", "row", "kept"} and same.count() == 330
     assert mixing.schedule(spark.createDataFrame([], DOCS), {}).count() == 0
@@ -161,7 +168,7 @@ def test_field_on_unseen_lines():
             got = field.spans(text)
             made, total = made + len(got), total + len(gold)
             hit += sum(any(k == g[1] and g[0] < e and s < g[2] for s, k, e in got) for g in gold)
-    assert hit / total > 0.7 and made < 1.2 * total
+    assert hit / total > 0.9 and made < 1.1 * total
 
 
 def test_viterbi_equals_enumeration():
@@ -303,3 +310,237 @@ def test_queries_and_pipeline_equal_brute_force_on_planted_documents(spark, tmp_
     got = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert {i: (list(r.ids), r.source) for i, r in got.items()} == {i: (own.encode(t), f"src{i % 3}") for i, t in left.items()}
     assert len({r.mix_pos for r in got.values()}) == len(got)
+
+
+def test_mixing_of_fine_weights(spark):
+    rows = [(i, None, s, "", "") for i, s in enumerate(["a"] * 3000 + ["b"] * 1700)]
+    out = mixing.schedule(spark.createDataFrame(rows, DOCS), {"a": 1501, "b": 998}, block=1).toPandas().sort_values("slot")
+    a = np.cumsum(out["source"] == "a").to_numpy()[:2499]
+    assert (np.abs(a - np.arange(1, 2500) * 1501 / 2499) < 1).all() and ((out["release"] <= out["slot"]) & (out["slot"] < out["deadline"])).all()
+
+
+def test_exact_copies_without_ids_spread(spark):
+    rows = [(None, "same text")] * 200 + [(7, "same  text"), (None, "other")]
+    got = exact_dedup.exact_groups(docs(spark, rows)).collect()
+    assert len(got) == 202 and sum(r.kept for r in got) == 2 and {r.group_size for r in got} == {201, 1}
+
+
+def slow_chain(kinds, values, words, labels, chosen, fold):
+    """The chain by dense matrices, category after category."""
+    wanted = np.unique(np.concatenate(chosen))
+    x = np.zeros((len(words), len(wanted)))
+    for i, (k, v) in enumerate(zip(kinds, values)):
+        for f, value in zip(k, v):
+            if f in wanted:
+                x[i, np.searchsorted(wanted, f)] = value
+    x /= np.sqrt((x**2).sum(0) / len(words) + 0.01)
+    dense, out = np.column_stack([np.ones(len(words)), words - 5]), []
+    for y in labels.T:
+        def fitted(rows, allowed):
+            m = np.column_stack([x[rows] * np.isin(wanted, allowed), dense[rows]])
+            w, v, loose = np.zeros(m.shape[1]), np.random.default_rng(0).normal(size=m.shape[1]), np.ones(m.shape[1])
+            loose[len(wanted)] = 1e-3
+            for _ in range(12):
+                v = m.T @ (m @ v)
+                size = np.linalg.norm(v)
+                v /= size
+            look = old = w
+            for i in range(150):
+                w = look - (m.T @ (1 / (1 + np.exp(-np.clip(m @ look, -40, 40))) - y[rows]) + loose * look) / (0.3 * size + 1)
+                look, old = w + i / (i + 3) * (w - old), w
+            return w
+
+        unseen = np.zeros(len(words))
+        for g in np.unique(fold):
+            w, own = fitted(np.flatnonzero(fold != g), chosen[g]), fold == g
+            unseen[own] = 1 / (1 + np.exp(-np.column_stack([x[own] * np.isin(wanted, chosen[g]), dense[own]]) @ w))
+        out.append((fitted(np.arange(len(words)), chosen[-1]), unseen))
+        dense = np.column_stack([dense, unseen])
+    return out
+
+
+def test_the_chain_equals_a_plain_one():
+    r = np.random.default_rng(4)
+    n, fold = 120, np.arange(120) % 3
+    kinds = [np.sort(r.choice(30, 6, replace=False)) for _ in range(n)]
+    values = [np.log1p(r.integers(1, 4, 6)) for _ in range(n)]
+    labels = np.column_stack([[float(3 in k) for k in kinds], [float(3 in k or 5 in k) for k in kinds]])
+    chosen = [np.array([1, 3, 5, 8]), np.array([3, 5, 9]), np.array([2, 3, 5]), np.array([3, 5, 7])]
+    words = r.normal(5, 1, n)
+    chain = toxicity.fit_chain(kinds, values, words, labels, ("a", "b"), chosen, fold)
+    for w, (want, unseen), y, t in zip(chain.weights, slow_chain(kinds, values, words, labels, chosen, fold), labels.T, chain.thresholds):
+        wanted = np.unique(np.concatenate(chosen))
+        scale = np.sqrt(np.array([sum(v[list(k).index(f)] ** 2 for k, v in zip(kinds, values) if f in k) for f in wanted]) / n + 0.01)
+        assert np.allclose(w[: len(wanted)] * scale, want[: len(wanted)], atol=1e-6) and np.allclose(w[len(wanted) :], want[len(wanted) :], atol=1e-6)
+        assert abs(t - toxicity.best_threshold(unseen, y)) < 1e-6
+    # a fold's model has no weight on features that were not chosen for it
+    alone = toxicity.fit_chain(kinds, values, words, labels, ("a", "b"), [*chosen[:3], np.array([7])], fold)
+    assert not alone.weights[0][[list(alone.wanted).index(f) for f in (1, 3, 5, 8)]].any()
+
+
+def test_labels_without_documents_and_repeated_ids(spark):
+    d = docs(spark, [(1, "b text"), (1, "a text"), (2, None), (4, "x" * 300_000)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(1, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r.id: r for r in toxicity.labelled_sample(d, labels, sample=3).collect()}
+    assert got.keys() == {1, 2, 4} and got[2].text == "" and got[1].toxic == 1 and len(got[4].text) == 300_000
+    assert [r.text for r in toxicity.labelled_sample(d, labels, sample=3).where("id = 1").collect()] == [got[1].text]
+
+
+def test_planted_secrets_are_found(spark):
+    r = random.Random(8)
+    rows = [(i, prose(i, 30) + f' token = "{r.getrandbits(160):040x}" ' + prose(i + 1, 20) + " AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)) + " end") for i in range(60)]
+    rows += [(100 + i, prose(i, 40)) for i in range(60)] + [(300, prose(3, 100_000) + " a@b.de")]
+    got = {x.doc_id: x for x in pii_crf.found(docs(spark, rows)).collect()}
+    assert sum(got[i].n_secret for i in range(60)) >= 108 and sum(got[100 + i].n_all for i in range(60)) <= 3 and got[300].n_email == 1
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    r = random.Random(2)
+    hosts = ["a.com", "www.example.com", "example.com", "x.net", "y.net", "good.org", "spam.biz", "A.COM", ""]
+    rows = [(i, f"http://{r.choice(hosts)}{r.choice(['/en/', '/es/', '/fr/', '/p', ''])}{r.choice(['cheap-pills', 'article', '?q=1', '#f'])}{r.randint(0, 9)}", "r", "h") for i in range(600)]
+    rows += [rows[0], rows[5], (None, None, "r", "h"), (900, "no scheme", "r", "h"), (901, "http://" + "x" * 100_000, "r", "h")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, row string, host string")
+    got = url_filter.filtered(pages).collect()
+    assert len(got) == len(rows) and {x.row.host for x in got} == {"h"}
+
+    def judged(url):
+        rest = (url or "").partition("://")[2]
+        host = rest.split("/")[0].split("?")[0].split("#")[0]
+        path = rest[len(host) :].split("?")[0].split("#")[0]
+        fits = [(h + p, a) for a, h, p in url_filter.RULES if (host.lower() == h or host.lower().endswith("." + h)) and path.startswith(p)]
+        return host.lower(), path, *(max(fits, key=lambda f: len(f[0])) if fits else (None, None))
+
+    counts = {g: collections.Counter() for g in (True, False)}
+    held = {x.url: x.h for x in pages.select("url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("h")).collect()}
+    for _, url, *_ in rows:
+        if judged(url)[3] and not held[url]:
+            codes, at, _ = url_filter.encode(pd.Series([url]))
+            counts[judged(url)[3] == "allow"].update(url_filter.grams(codes, at).tolist())
+    tables = []
+    for g in (True, False):
+        dense = np.zeros(url_filter.SYMBOLS ** (url_filter.CONTEXT + 1))
+        for k, n in counts[g].items():
+            dense[k] = n
+        tables.append(url_filter.model(dense))
+    ratio = (tables[0] - tables[1]).astype(np.float32)
+    scores = {url: float(url_filter.score(pd.Series([url]), ratio)[0]) for _, url, *_ in rows}
+    bins = [(math.floor(min(max(scores[u], -30), 30) * 100), judged(u)[3] == "allow") for _, u, *_ in rows if judged(u)[3] and held[u]]
+    right = lambda t: sum(b >= t for b, g in bins if g) / sum(g for _, g in bins) + sum(b < t for b, g in bins if not g) / sum(not g for _, g in bins)
+    cuts = sorted({0, *(b for b, _ in bins), *(b + 1 for b, _ in bins)}, key=lambda b: (abs(b), b))
+    threshold = max(cuts, key=right) / 100
+    for x in got:
+        host, path, rule, action = judged(x.row.url)
+        assert (x.host, x.path, x.rule) == (host, path, rule) and abs(x.score - scores[x.row.url]) < 1e-9
+        assert x.verdict == (action or ("allow" if x.score >= threshold else "block"))
+
+
+def test_trees_equal_brute_force(spark):
+    r, rows = random.Random(6), []
+    for tree in range(6):
+        for i in range(40):
+            rows.append((tree, f"t{tree}", i, r.randrange(i) if i and r.random() < 0.95 else None, float(r.randint(0, 3)), r.choice(["user", "assistant"]), f"m{i} <|x|> \\", "clash"))
+    rows += [(9, "hot", 0, None, 0.0, "user", "root", "c")] + [(9, "hot", i, 0, i % 7 + 0.0, "assistant", "reply", "c") for i in range(1, 3000)]
+    nodes = spark.createDataFrame(rows, "conv_id int, tree string, node long, parent long, score double, role string, text string, depth string")
+    on = chat_trees.paths(nodes, branches=3)
+    got = collections.defaultdict(list)
+    for x in on.collect():
+        got[x.tree, x.branch].append((x.depth, x.node))
+    own = {(t, n): (p, s) for _, t, n, p, s, *_ in rows}
+    for tree in {t for t, _ in own}:
+        inner, paths = {p for (t, _), (p, _) in own.items() if t == tree}, []
+        for n in (n for t, n in own if t == tree and n not in inner):
+            path, score = [n], own[tree, n][1]
+            while own[tree, path[-1]][0] is not None:
+                path.append(own[tree, path[-1]][0])
+                score += own[tree, path[-1]][1]
+            paths.append((-score, -len(path), n, path[::-1]))
+        for branch, (*_, path) in enumerate(sorted(paths)[:3], 1):
+            assert [n for _, n in sorted(got[tree, branch])] == path
+    text = {(t, n): (ro, te) for _, t, n, _, _, ro, te, _ in rows}
+    for x in chat_trees.formatted(nodes, on).withColumn("back", chat_trees.read_back(F.col("formatted"))).collect():
+        tree = "hot" if x.conv_id == 9 else f"t{x.conv_id}"
+        assert [(b.role, b.text) for b in x.back] == [text[tree, n] for _, n in sorted(got[tree, x.branch])]
+
+
+def test_top_k_prunes_both_ways_and_ignores_other_columns(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 32))
+    data = [(i, [float(x) for x in (centres[i % 12] + 0.02 * rng.normal(size=32)) * rng.choice([0.02, 1, 30])], 1.0, 2) for i in range(600)]
+    data += [(700 + i, [float(x) for x in rng.normal(size=32)], 1.0, 2) for i in range(300)] + [(1500, [0.0] * 32, 1.0, 2), (1550, [-9.0] * 32, 1.0, 2)] + [data[3]]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, norm double, bucket int")
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0, k=5, block=40).toPandas()
+    good = {i: np.floor(256 * np.array(v)).astype(int) for i, v, *_ in data}
+    for q in (i for i in good if i % 50 == 0):
+        want = sorted(((-int(good[q] @ v), i) for i, v in good.items() if i != q))[:5]
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert [(-s, v) for s, v in zip(own["score"], own["vec_id"])] == want
+    block = topk.Block(np.arange(600), np.stack([good[i] for i in range(600)]))
+    unit = good[5] / np.linalg.norm(good[5])
+    near = block.near(unit, 0.95)
+    cosines = (block.v @ unit) / block.length
+    assert set(np.flatnonzero(cosines >= 0.95)) <= set(near.tolist()) and len(near) < 300
+    wide = spark.createDataFrame([(i, [1.0 + i] * 20_000) for i in range(60)], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in topk.top_k(wide, F.col("vec_id") % 50 == 0, k=1).orderBy("query_id").collect()] == [(0, 59), (50, 59)]
+    assert topk.top_k(wide.where("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
+
+
+def test_warc_keeps_odd_urls_and_other_columns_out(spark):
+    urls = ["http://a\r\nX: y", "http://é/\x7f%0D", "plain", None, ""]
+    pages = spark.createDataFrame([(i, u, "p" * 200 * i, "x", "y") for i, u in enumerate(urls)] + [(4, "again", "p" * 800, "x", "y")], "page_id long, url string, html string, payload string, salt string")
+    got = warc.archived(pages).collect()
+    assert sorted((r.page_id, r.url or "") for r in got) == sorted([(i, u or "") for i, u in enumerate(urls)] + [(4, "again")])
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("html"))
+    back = warc.read_records(warc.write_archive(many))
+    assert back.count() == 3000 and back.rdd.getNumPartitions() > 1
+
+
+def test_sentencepiece_long_and_repeated_texts(spark):
+    raw = sentencepiece_tok.load_model(queries.TOKENIZER)
+    own = sentencepiece_tok._loaded(raw)[2]
+    texts = [prose(1, 200_000), "é" * 300_000, prose(2), prose(2)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2])]
+    for verify in (True, False):
+        got = sentencepiece_tok.tokenised(docs(spark, rows), raw, verify=verify, keep=("doc_id", "row")).collect()
+        assert len(got) == 5 and all(r.round_trip and r.parity and list(r.ids) == own.encode(texts[r.row.doc_id]) for r in got)
+    few = sentencepiece_tok.Encoder(raw, most=200)
+    for i in range(30):
+        text = prose(i, 60) + " the same words again"
+        assert few.encode([text])[0][0].tolist() == own.encode(text) and len(few.seen) + len(few.older) < 600
+    # a model with a normaliser is encoded text by text
+    whole = sentencepiece_tok.Encoder(raw)
+    whole.cut = False
+    assert [x[0].tolist() for x in whole.encode([prose(3), "a  b"])] == own.encode([prose(3), "a  b"])
+
+
+def test_near_copies_of_very_long_texts_and_clashing_columns(spark):
+    long = prose(50, 60_000)
+    other = long.split()
+    other[5:9] = ["new"] * 4
+    d = spark.createDataFrame([(1, long, 5, "a"), (2, " ".join(other), 6, "b"), (3, prose(51), 7, "c")], "doc_id long, text string, node long, salt string")
+    assert sorted((r.doc_id, r.class_id) for r in order_minhash.near_classes(d).collect()) == [(1, 1), (2, 1), (3, 3)]
+    left = order_minhash.drop_near_copies(d)
+    assert left.columns == d.columns and sorted((r.doc_id, r.node, r.salt) for r in left.collect()) == [(1, 5, "a"), (3, 7, "c")]
+
+
+def test_large_groups_are_cut_into_parts(spark, monkeypatch):
+    for name, value in (("CHUNK", 8), ("LOT", 5)):
+        monkeypatch.setattr(order_minhash, name, value)
+    r, base = random.Random(12), [prose(400 + i, 40) for i in range(3)]
+    texts = []
+    for i in range(120):
+        w = base[i % 3].split()
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append(" ".join(w))
+    rows = dict(enumerate(texts))
+    assert {x.doc_id: x.class_id for x in order_minhash.near_classes(docs(spark, list(rows.items()))).collect()} == slow_near(rows)
+
+
+def test_pipeline_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, prose(2000 + i), f"src{i % 2}", 1, "r", 7) for i in range(40)] + [(50, None, None, 1, "r", 7), (51, "", "src0", 1, "r", 7), (None, prose(2500), None, 1, "r", 7), (3, prose(2003), "src1", 1, "r", 7), (52, prose(2004) + " x", "src1", 1, "r", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, mix_pos int, row string, ids int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got) == sorted([-1, *range(40), 50]) and len({r.mix_pos for r in got}) == len(got)
+    assert {r.doc_id: r.n_tokens for r in got}[50] == 0
