@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import correlation, rounded
 from ..functions.time import local_day
+from ..schema import MAX_DAYS
 
 
 def daily_points(samples: DataFrame, tz="UTC") -> DataFrame:
@@ -84,11 +87,24 @@ def trend_halves(points: DataFrame, k: int = 7) -> DataFrame:
     return g.withColumn("delta", d).withColumn("trend", F.when(d > 0, "improving").when(d < 0, "declining").when(d == 0, "stable"))
 
 
+def checked_periods(periods: dict[str, tuple[str, str]]) -> dict[str, tuple[str, str]]:
+    """Two periods by label, labels cut to 32 characters; ValueError unless dates are YYYY-MM-DD, in order, and no further apart than MAX_DAYS."""
+    out = {}
+    for label, dates in periods.items():
+        first, last = (datetime.strptime(d, "%Y-%m-%d") for d in dates)
+        if first > last:
+            raise ValueError("a period ends before it begins")
+        if (last - first).days > MAX_DAYS:
+            raise ValueError(f"a period is longer than {MAX_DAYS} days")
+        out[str(label)[:32]] = (f"{first:%Y-%m-%d}", f"{last:%Y-%m-%d}")
+    if len(out) != 2:
+        raise ValueError("two periods with labels of their own are needed")
+    return out
+
+
 def compare_periods(points: DataFrame, periods: dict[str, tuple[str, str]]) -> DataFrame:
     """Two named date ranges (inclusive) side by side: n, mean, change and percent change of the rounded difference."""
-    (a, (a0, a1)), (b, (b0, b1)) = periods.items()
-    if a0 > a1 or b0 > b1:
-        raise ValueError("a period ends before it begins")
+    (a, (a0, a1)), (b, (b0, b1)) = checked_periods(periods).items()
     v, d = F.col("day_value"), F.col("date")
     ina, inb = d.between(F.lit(a0).cast("date"), F.lit(a1).cast("date")), d.between(F.lit(b0).cast("date"), F.lit(b1).cast("date"))
     out = points.where(ina | inb).groupBy("user_id", "metric_type").agg(
@@ -124,11 +140,16 @@ def runs(points: DataFrame, condition: Column, least: int) -> DataFrame:
     return island.groupBy("user_id", "metric_type", "island").agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count(F.lit(1)).alias("days")).where(F.col("days") >= least).drop("island")
 
 
-def lagged_pair(points: DataFrame, first: str, second: str, lag_days: int = 1) -> DataFrame:
-    """A metric and another one lag_days later, by day: number of pairs, both means and their correlation."""
+def lagged(points: DataFrame, first: str, second: str, lag_days: int = 1) -> DataFrame:
+    """Pairs (a, b) of a metric's day and another one's lag_days later, under the later date."""
     own = lambda m, c: points.where(F.col("metric_type") == m).groupBy("user_id", "date").agg(F.avg("day_value").alias(c))
     a = own(first, "a").withColumn("date", F.date_add("date", lag_days))
-    pairs = a.join(own(second, "b"), ["user_id", "date"])
+    return a.join(own(second, "b"), ["user_id", "date"])
+
+
+def lagged_pair(points: DataFrame, first: str, second: str, lag_days: int = 1) -> DataFrame:
+    """A metric and another one lag_days later, by day: number of pairs, both means and their correlation."""
+    pairs = lagged(points, first, second, lag_days)
     return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), rounded(F.avg("a"), 2).alias("first_mean"), rounded(F.avg("b"), 2).alias("second_mean"), correlation("a", "b").alias("corr"))
 
 

@@ -9,7 +9,7 @@ from ..functions.numbers import rounded
 from ..functions.time import day_bounds_utc, local_day, top_k_per
 from ..schema import ASLEEP, MAX_DAYS, MAX_MONTHS, RAW_DAYS
 from ..sources.samples import scan_samples
-from .daily import daily_points, single_unit, tier_status, tiered_daily, unit_votes, weighted_mean
+from .daily import checked_periods, daily_points, single_unit, tier_status, tiered_daily, unit_votes, weighted_mean
 from .quality import absence, freshness
 from .sleep import sleep_nights
 
@@ -45,9 +45,7 @@ def period_report(points: DataFrame, periods: dict[str, tuple[str, str]], cumula
     points: daily points of both tiers, of any unit, with day_value; each period takes its own majority unit
     (ties: first by name). Without points in one of them the verdict is "insufficient data".
     """
-    (a, (a0, a1)), (b, (b0, b1)) = periods.items()
-    if a0 > a1 or b0 > b1:
-        raise ValueError("a period ends before it begins")
+    (a, (a0, a1)), (b, (b0, b1)) = checked_periods(periods).items()
     inside = lambda lo, hi: F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
     names = F.array_compact(F.array(F.when(inside(a0, a1), F.lit(a)), F.when(inside(b0, b1), F.lit(b))))
     tagged = points.where(inside(a0, a1) | inside(b0, b1)).withColumn("period", F.explode(names))

@@ -20,6 +20,32 @@ def backfill(samples: DataFrame, floor: Column, until: Column) -> DataFrame:
     return samples.where((F.col("started_at") >= floor) & (F.col("started_at") < until))
 
 
+def _chunk(at: Column, floor: Column, days: int) -> Column:
+    return F.floor((F.unix_micros(at) - F.unix_micros(floor)) / F.lit(days * 86400e6)).cast("int")
+
+
+def chunks_pending(catalog: DataFrame, floor: Column, until: Column, done: DataFrame, days: int = 90) -> DataFrame:
+    """Chunks (metric_type, chunk from 0) of `days` days in [floor, until) for every metric of the catalog, less those done.
+
+    done: metric_type and chunk of earlier runs, so a run that stopped goes on where it was.
+    """
+    last = _chunk(until - F.expr("INTERVAL 1 MICROSECOND"), floor, days)
+    every = catalog.select("metric_type", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))).alias("chunk"))
+    return every.join(done.select("metric_type", "chunk"), ["metric_type", "chunk"], "left_anti")
+
+
+def backfill_chunks(samples: DataFrame, pending: DataFrame, floor: Column, until: Column, days: int = 90) -> DataFrame:
+    """Rows of the pending chunks, with their chunk."""
+    rows = backfill(samples, floor, until).withColumn("chunk", _chunk(F.col("started_at"), floor, days))
+    return rows.join(pending.select("metric_type", "chunk"), ["metric_type", "chunk"], "left_semi")
+
+
+def chunk_log(rows: DataFrame, pending: DataFrame) -> DataFrame:
+    """What a run did, a row for each pending chunk: rows stored, and done, from which the next run's pending chunks follow."""
+    n = rows.groupBy("metric_type", "chunk").agg(F.count(F.lit(1)).alias("stored"))
+    return pending.join(n, ["metric_type", "chunk"], "left").select("metric_type", "chunk", F.coalesce("stored", F.lit(0).cast("long")).alias("stored"))
+
+
 def backfill_status(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """An outcome for every metric of the catalog (metric_type, always_expected), so one without rows is seen."""
     n = rows.groupBy("metric_type").agg(F.count(F.lit(1)).alias("stored"), F.unix_timestamp(F.min("started_at")).alias("earliest"), F.unix_timestamp(F.max("started_at")).alias("latest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import MERGED_METRICS, SKIPPED_PREFIXES, SLEEP_METRIC, STAGE_VALUES
+from ..catalog import MERGED_METRICS, SKIPPED_PREFIXES, SLEEP_METRIC, STAGE_VALUES, UNKNOWN_STAGE
 from ..schema import PAYLOAD, SUMMARY_COLUMNS
 
 
@@ -33,7 +33,7 @@ def stage_code(name: Column) -> Column:
 
 def with_stage_names(samples: DataFrame, metric: str = SLEEP_METRIC) -> DataFrame:
     """Sleep samples get sleep_stage in their JSON metadata, unless it is there; other fields stay as they are written."""
-    unknown, m = F.lit(STAGE_VALUES[0].removesuffix("InBed") + "Unknown"), F.col("metadata")
+    unknown, m = F.lit(UNKNOWN_STAGE), F.col("metadata")
     name = F.coalesce(F.get(F.array(*[F.lit(v) for v in STAGE_VALUES]), F.col("value").try_cast("int")), unknown)
     field = F.concat(F.lit('"sleep_stage":"'), name, F.lit('"'))
     own = F.when(F.trim(m).rlike(r"^\{\s*[^}\s]"), F.concat(F.regexp_replace(F.trim(m), r"\s*\}$", ""), F.lit(","), field, F.lit("}"))).otherwise(F.concat(F.lit("{"), field, F.lit("}")))
@@ -88,3 +88,20 @@ def normalise_units(samples: DataFrame, units: DataFrame) -> DataFrame:
     """units: unit, canonical, factor. Values in canonical units; unknown units are marked unsupported and left as they are."""
     out = samples.join(F.broadcast(units), "unit", "left")  # one row per known unit
     return out.withColumns({"value": F.col("value") * F.coalesce("factor", F.lit(1.0)), "unsupported": F.col("canonical").isNull(), "unit": F.coalesce("canonical", "unit")}).drop("canonical", "factor")
+
+
+def to_preferred_units(samples: DataFrame, preferred: DataFrame, units: DataFrame) -> DataFrame:
+    """Values in their metric's preferred unit if it has the dimension of theirs, else in the dimension's fallback.
+
+    preferred: metric_type, preferred. units: unit, dimension, factor, offset, fallback (catalog.unit_tables). Values of
+    unknown units stay and are marked unsupported.
+    """
+    aim = units.select(F.col("unit").alias("_to"), F.col("dimension").alias("_dim"), F.col("factor").alias("_by"), F.col("offset").alias("_plus"))
+    wanted = preferred.join(aim, F.col("preferred") == F.col("_to")).select("metric_type", "_dim", "_to", "_by", "_plus")
+    own = units.select("unit", F.col("dimension").alias("_own"), F.col("factor").alias("_f"), F.col("offset").alias("_o"), F.col("fallback").alias("_back"))
+    fits = F.col("_dim") == F.col("_own")  # the factor of a fallback is 1 and its offset 0
+    base = F.col("value") * F.col("_f") + F.col("_o")
+    return samples.join(own, "unit", "left").join(wanted, "metric_type", "left").withColumns({
+        "value": F.when(F.col("_own").isNull(), F.col("value")).when(fits, (base - F.col("_plus")) / F.col("_by")).otherwise(base),
+        "unsupported": F.col("_own").isNull(), "unit": F.when(fits, F.col("_to")).otherwise(F.coalesce("_back", "unit")),
+    }).select(*samples.columns, "unsupported")
