@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ def word_features(word: str) -> list[int]:
 class Counter:
     """Counts features of texts; the features of words seen before are remembered (`most` words)."""
 
-    def __init__(self, wanted: np.ndarray | None = None, most: int = 200_000):
+    def __init__(self, wanted: np.ndarray | None = None, most: int = 100_000):
         self.wanted = None if wanted is None else {int(f): i for i, f in enumerate(wanted)}
         self.seen: dict[str, tuple[int, ...]] = {}
         self.most = most
@@ -183,10 +184,12 @@ def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarr
 
         def fit_one(g: int, rows=rows, y=y) -> tuple[np.ndarray, np.ndarray]:
             """(weights, probabilities of the fold's own rows) of the model that leaves fold g out; of the whole model for g = folds."""
-            usable = Rows(rows.at, rows.feature, rows.value * allowed[g][rows.feature], rows.dense, rows.width)
+            on = allowed[g][rows.feature]
+            usable = Rows(rows.at[on], rows.feature[on], rows.value[on], rows.dense, rows.width)
             rest, own = np.flatnonzero(fold != g), np.flatnonzero(fold == g)
-            w = fit(usable.some(rest), y[rest], penalty)
-            return w, sigmoid(usable.some(own).times(w))
+            mine, usable = usable.some(own), usable.some(rest)
+            w = fit(usable, y[rest], penalty)
+            return w, sigmoid(mine.times(w))
 
         fitted, unseen = fit_all(fit_one, folds + 1), np.zeros(len(words))
         for g in range(folds):
@@ -264,27 +267,32 @@ def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int =
     return fit_chain([np.asarray(k, np.int64) for k in got["kinds"]], [np.asarray(v, float) for v in got["values"]], got["words"].to_numpy(float), marks, names, chosen, got["fold"].to_numpy(np.int64), fit_all=as_spark_tasks(docs.sparkSession), **more)
 
 
-def scored(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 16 << 20) -> DataFrame:
+def scored(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: row (struct of all its columns), doc_id, a probability per category and a boolean is_<category>.
 
     Null texts count as empty. Repeated rows get equal results; an empty table gives an empty result. Input
     columns of any name are untouched in row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(packed(docs), col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(packed(docs), col(id_col).alias("doc_id"))
+    place = docs.columns.index(text_col) if dict(docs.dtypes).get(text_col) == "string" else None
+    if place is None:
+        base = base.withColumn("text", col(text_col).cast("string"))
     fields = [T.StructField(n, T.DoubleType()) for n in model.names] + [T.StructField(f"is_{n}", T.BooleanType()) for n in model.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         counter = Counter(m.wanted)
         for b in batches:
-            for part in slices(b, 2, max_bytes):
+            text = b.column(2) if place is None else b.column(0).field(place)  # a text is sent once
+            whole = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.fill_null(text, "")], names=["row", "doc_id", "text"])
+            for part in slices(whole, 2, max_bytes):
                 found = [counter.count(t) for t in part.column(2).to_pylist()]
                 p = m.probabilities([f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found]))
                 columns = [pa.array(p[:, i]) for i in range(len(m.names))] + [pa.array(p[:, i] >= m.thresholds[i]) for i in range(len(m.names))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["row", "doc_id", *(f.name for f in fields)])
 
-    return base.mapInArrow(run, T.StructType([*base.drop("text").schema.fields, *fields]))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields[:2], *fields]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic", **more) -> DataFrame:
