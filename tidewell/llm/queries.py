@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, exact_dedup, mixing, order_minhash, pii_crf, sentencepiece_tok, topk, toxicity, url_filter, warc
+from . import chat_trees, exact_dedup, lexical, mixing, order_minhash, phrases, pii_crf, rules, sentencepiece_tok, topk, toxicity, url_filter, warc
 
 #: Whole-number target weights of the mix; sources that are not named weigh 1.
 MIX_WEIGHTS = {"src0": 5, "src1": 5, "src2": 5, "src3": 3, "src4": 3}
@@ -146,6 +146,53 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"), least=100, most=2000)
+
+
+_UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP11_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k))),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 100),
+k AS (SELECT lang, words, phrase, a, unnest(range(1, words)) AS k, w FROM c),
+s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k JOIN n USING (lang)
+      JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k + 1:k.words], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s) WHERE nth = 1),
+x AS (SELECT DISTINCT c.lang, array_to_string(w[i:j], ' ') AS phrase, a FROM (SELECT lang, a, w, words, i, unnest(range(i, words + 1)) AS j FROM (SELECT *, unnest(range(1, words + 1)) AS i FROM c)) c WHERE j - i + 1 < words),
+d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN x ON x.lang = b.lang AND x.phrase = b.phrase AND x.a >= b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN d USING (lang, phrase)) WHERE rank <= 2000
+"""
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    out = rules.scored(docs, rules.trained(docs, labels.where(~held_out(F.col("doc_id")))))
+    doc_id, score = F.col("row.doc_id"), F.round("score", 9)
+    return out.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+OP13_SQL = rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM d, g),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -157,5 +204,8 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op7_source_mixing": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op7_source_mixing": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_warc": OP9_SQL, "op11_phrase_mining": OP11_SQL, "op13_lexical_search": OP13_SQL}
