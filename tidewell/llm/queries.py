@@ -155,13 +155,15 @@ OP11_SQL = rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 g AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k))),
-f AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
-c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 100),
-k AS (SELECT lang, words, phrase, a, unnest(range(1, words)) AS k, w FROM c),
-s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k JOIN n USING (lang)
-      JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k + 1:k.words], ' ')),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s) WHERE nth = 1),
+h AS MATERIALIZED (SELECT * FROM f WHERE f >= 100),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM h WHERE words > 1),
+e AS (SELECT lang, words, phrase, a, w, unnest(range(1, words)) AS cut FROM c),
+k AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:words], ' ') AS rp FROM e),
+s AS (SELECT k.lang, k.phrase, a, cut, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM k JOIN n ON n.lang = k.lang JOIN h l ON l.lang = k.lang AND l.phrase = lp JOIN h r ON r.lang = k.lang AND r.phrase = rp),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s) WHERE nth = 1),
 x AS (SELECT DISTINCT c.lang, array_to_string(w[i:j], ' ') AS phrase, a FROM (SELECT lang, a, w, words, i, unnest(range(i, words + 1)) AS j FROM (SELECT *, unnest(range(1, words + 1)) AS i FROM c)) c WHERE j - i + 1 < words),
 d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN x ON x.lang = b.lang AND x.phrase = b.phrase AND x.a >= b.a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN d USING (lang, phrase)) WHERE rank <= 2000

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import col, slices
+from .shared import col, released, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -248,7 +248,7 @@ def tokenised(docs: DataFrame, model: bytes, verify: bool = True, keep: tuple[st
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(sizes.astype(np.int64)), pa.array([d[1] for d in done]), pa.array([d[2] for d in done])], names=["row", "ids", "n_tokens", "round_trip", "parity"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(released(run), schema)
 
 
 def decoded(tokens: DataFrame, model: bytes, ids_col: str = "ids", name: str = "text") -> DataFrame:

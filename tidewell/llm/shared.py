@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +23,18 @@ def packed(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[col(c) for c in df.columns]).alias(name)
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidewell-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without and gets a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without: its application gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _own_dir(spark.sparkContext.applicationId)
     return at.rstrip("/")
 
 
@@ -64,6 +72,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, whose worker gives its free memory back when a task has ended: workers live on, beside those of later operators."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def slices(batch, column: int, most: int):
     """The parts of an Arrow batch whose strings in `column` have at most `most` bytes together, or one row each."""
     import pyarrow.compute as pc

@@ -22,12 +22,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import col, packed, slices, stored
+from .shared import col, packed, released, slices, stored
 
 #: (category, condition on the label table), in the order of the chain.
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_prose", "toxic = 1 and quality = 1"))
@@ -274,25 +273,27 @@ def scored(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str
     columns of any name are untouched in row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(packed(docs), col(id_col).alias("doc_id"))
-    place = docs.columns.index(text_col) if dict(docs.dtypes).get(text_col) == "string" else None
-    if place is None:
-        base = base.withColumn("text", col(text_col).cast("string"))
-    fields = [T.StructField(n, T.DoubleType()) for n in model.names] + [T.StructField(f"is_{n}", T.BooleanType()) for n in model.names]
+    base = docs.select(packed(docs), col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    names = list(model.names)
+    marks = [f"is_{n}" for n in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         counter = Counter(m.wanted)
-        for b in batches:
-            text = b.column(2) if place is None else b.column(0).field(place)  # a text is sent once
-            whole = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.fill_null(text, "")], names=["row", "doc_id", "text"])
-            for part in slices(whole, 2, max_bytes):
-                found = [counter.count(t) for t in part.column(2).to_pylist()]
-                p = m.probabilities([f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found]))
-                columns = [pa.array(p[:, i]) for i in range(len(m.names))] + [pa.array(p[:, i] >= m.thresholds[i]) for i in range(len(m.names))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["row", "doc_id", *(f.name for f in fields)])
-
-    return base.mapInArrow(run, T.StructType([*base.schema.fields[:2], *fields]))
+        for texts in batches:
+            done = [np.zeros((0, len(names)))]
+            for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, max_bytes):
+                found = [counter.count(t) for t in part.column(0).to_pylist()]
+                done.append(m.probabilities([f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found])))
+            p = np.concatenate(done)
+            yield pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(len(names))] + [pa.array(p[:, i] >= m.thresholds[i]) for i in range(len(names))], names=[*names, *marks])
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names] + [T.StructField(n, T.BooleanType()) for n in marks]))
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return released(run)(texts)
+
+    # Only texts go to Python and only probabilities come back: the rows stay where they are.
+    return base.select("row", "doc_id", told("text").alias("told")).select("row", "doc_id", *[F.col("told").getField(n).alias(n) for n in (*names, *marks)])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic", **more) -> DataFrame:
