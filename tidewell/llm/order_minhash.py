@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from .components import components
-from .shared import SALTS, col, each_salt, packed, salted, salts_seen, slices, stored
+from .shared import SALTS, col, each_salt, packed, released, salted, salts_seen, slices, stored
 
-K, ROWS, BANDS, SIMILARITY, CHUNK, LOT, HELD = 5, 4, 40, 0.8, 128, 64, 24_000_000
+K, ROWS, BANDS, SIMILARITY, CHUNK, LOT, HELD, KEPT = 5, 4, 40, 0.8, 128, 64, 24_000_000, 2_000_000
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
 
@@ -146,9 +146,15 @@ def _digests(nodes: pa.Array) -> list[bytes]:
     return [int(n).to_bytes(15, "little") for n in nodes.to_pylist()]
 
 
+def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, key: a hash of the text, which tells the rows of one id apart."""
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    return docs.select(col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, node, bands) of every document."""
-    base = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    """(doc_id, key, node, bands) of every document."""
+    base = source(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,9 +164,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
                     w = words(t)
                     nodes.append(digest(t, w))
                     found.append(bands(kmers(w)))
-                yield pa.RecordBatch.from_arrays([part.column(0), _numbers(nodes), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _numbers(nodes), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "bands"])
 
-    return base.mapInArrow(run, f"doc_id long, node {NODE}, bands array<long>")
+    return base.mapInArrow(released(run), f"doc_id long, key long, node {NODE}, bands array<long>")
 
 
 class _Block:
@@ -197,11 +203,17 @@ def _compare(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (block, part, role): the nodes of the block (role 0), then the nodes to compare with them."""
         now, held, block = None, ([], [], []), None
+        kept, size = {}, 0  # k-mers of nodes that stand in several blocks or parts of this task
         for b in batches:
             for piece in slices(b, 5, 8 << 20):
                 us, vs = [], []
                 for g, part, role, node, root, text in zip(*(piece.column(i).to_pylist() for i in range(6)), strict=True):
-                    x = kmers(words(text))
+                    x = kept.get(node)
+                    if x is None:
+                        x = kmers(words(text))
+                        if size + len(x) > KEPT:
+                            kept, size = {}, 0
+                        kept[node], size = x, size + len(x)
                     if (g, part) != now:
                         now, held, block = (g, part), ([], [], []), None
                     if role == 0:
@@ -238,7 +250,7 @@ def compared(heads: DataFrame, asked: DataFrame, texts: DataFrame, similarity: f
 
     both = dealt(heads, 0, "parts", "lots").unionByName(dealt(asked, 1, "lots", "parts"))
     rows = both.join(texts.select("node", "text"), "node").select("block", "part", "role", "node", "root", "text")
-    done = rows.repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(_compare(similarity), f"u {NODE}, v {NODE}")
+    done = rows.repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(released(_compare(similarity)), f"u {NODE}, v {NODE}")
     return stored(done, "links")
 
 
@@ -255,8 +267,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
 def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """near_classes with the node of each row."""
-    seen = stored(sketches(docs, id_col, text_col).withColumn("salt", salted(F.col("doc_id"))), "sketches")
-    nodes = seen.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), salts_seen(F.col("salt")).alias("salts"))
+    share = F.when(F.col("doc_id").isNull(), F.floor(F.rand(1) * SALTS).cast("int")).otherwise(salted(F.col("doc_id")))  # rows without id go anywhere
+    seen = stored(sketches(docs, id_col, text_col).withColumns({"salt": share, "row_id": F.monotonically_increasing_id()}), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "key")
+    nodes = seen.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size"), salts_seen(F.col("salt")).alias("salts"))
     one = seen.select("node", "bands").dropDuplicates(["node"])
     at = one.select("node", F.posexplode("bands").alias("band", "hash")).withColumn("part", salted(F.col("node")))
     star = at.groupBy("band", "hash").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"), salts_seen(F.col("part")).alias("parts")).where("n > 1")
@@ -265,10 +279,13 @@ def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     heads = star.select("band", "hash", F.col("centre").alias("node")).distinct()
     held = stored(held.select("band", "hash", "node", "centre").unionByName(heads.select("band", "hash", "node", F.col("node").alias("centre"))), "buckets")
 
-    wanted = held.select("node").distinct().join(nodes.select("node", "first_id"), "node")
-    source = docs.select(col(id_col).cast("long").alias("first_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = source.join(wanted, source["first_id"].eqNullSafe(wanted["first_id"])).select("node", "text")
-    texts = stored(found.mapInArrow(_own_texts, f"node {NODE}, text string").dropDuplicates(["node"]).withColumn("n", F.char_length("text")), "texts")
+    # A node's text is that of its first row, found by id and text; of rows without id, equal texts are put together first.
+    wanted = held.select("node").distinct().join(nodes.select("node", "first.doc_id", "first.key"), "node")
+    rows = source(docs, id_col, text_col)
+    found = rows.join(wanted, ["doc_id", "key"]).select("node", "text")
+    bare = rows.where("doc_id is null").groupBy("key", "text").agg(F.lit(1).alias("one")).join(wanted.where("doc_id is null").select("node", "key"), "key").select("node", "text")
+    found = found.unionByName(bare)
+    texts = stored(found.mapInArrow(released(_own_texts), f"node {NODE}, text string").dropDuplicates(["node"]).withColumn("n", F.char_length("text")), "texts")
 
     first = held.where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre"))
     asked = first.select(F.col("centre").alias("block"), "node", F.col("node").alias("root"))
@@ -300,13 +317,10 @@ def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
         root = components(links.unionByName(last))
 
     placed = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("share", salted(F.col("node")))
-    classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"), salts_seen(F.col("share")).alias("shares"))
-    classes = classes.select("root", "class_id", "class_size", each_salt(F.col("shares")).alias("share"))
-    told = placed.join(classes, ["root", "share"]).select("node", "root", "class_id", "class_size", each_salt(F.col("salts")).alias("salt"))
-    repeats = Window.partitionBy("root", "salt", "doc_id").orderBy("node")
-    return seen.select("doc_id", "node", "salt").join(told, ["node", "salt"]).select(
-        "doc_id", "node", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.row_number().over(repeats) == 1)).alias("kept")
-    )
+    classes = placed.groupBy("root").agg(F.min("first").alias("best"), F.sum("size").alias("class_size"), salts_seen(F.col("share")).alias("shares"))
+    classes = classes.select("root", "best", "class_size", each_salt(F.col("shares")).alias("share"))
+    told = placed.join(classes, ["root", "share"]).select("node", "best", "class_size", each_salt(F.col("salts")).alias("salt"))
+    return seen.select("doc_id", "row_id", "node", "salt").join(told, ["node", "salt"]).select("doc_id", "node", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"))
 
 
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +344,9 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     kept = noded_classes(docs, similarity, id_col, text_col).where("kept").select(*at)
     base = docs.select(packed(docs), col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.select("row", F.xxhash64("text").alias("first"), "doc_id", _nodes("text").alias("node")).select("row", "first", *at)
-    own = base.join(kept, ["id", "no_id", "node"], "left_semi")
+    # Rows without id are dealt into shares, each of which gets to know what stays.
+    base = base.withColumn("salt", F.when(F.col("no_id"), F.floor(F.rand(2) * SALTS).cast("int")).otherwise(F.lit(0)))
+    kept = kept.withColumn("salt", F.explode(F.when(F.col("no_id"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    own = base.join(kept, ["id", "no_id", "node", "salt"], "left_semi")
     one = own.withColumn("rn", F.row_number().over(Window.partitionBy("id", "no_id", "node").orderBy("first"))).where("rn = 1")
     return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
