@@ -470,11 +470,15 @@ def test_top_k_prunes_both_ways_and_ignores_other_columns(spark):
     frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, norm double, bucket int")
     got = topk.top_k(frame, F.col("vec_id") % 50 == 0, k=5, block=40).toPandas()
     good = {i: np.floor(256 * np.array(v)).astype(int) for i, v, *_ in data}
+    every = [(i, good[i]) for i, *_ in data]  # rows that repeat an id are candidates each
     for q in (i for i in good if i % 50 == 0):
-        want = sorted(((-int(good[q] @ v), i) for i, v in good.items() if i != q))[:5]
+        want = sorted(((-int(good[q] @ v), i) for i, v in every if i != q))[:5]
         own = got[got["query_id"] == q].sort_values("rank")
         assert [(-s, v) for s, v in zip(own["score"], own["vec_id"])] == want
-    block = topk.Block(np.arange(600), np.stack([good[i] for i in range(600)]))
+    twice = topk.top_k(spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=2)
+    unit = 256 * 256
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in twice.collect()) == sorted([*[(0, 1, 0, 5 * unit), (0, 2, 0, 3 * unit)] * 2, (0, 1, 0, 3 * unit), (0, 2, 0, 3 * unit)])
+    block = topk.Block(np.arange(600), np.arange(600), np.stack([good[i] for i in range(600)]))
     unit = good[5] / np.linalg.norm(good[5])
     near = block.near(unit, 0.95)
     cosines = (block.v @ unit) / block.length

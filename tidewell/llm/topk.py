@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import col, partitions, stored
+from .shared import col, partitions, released, stored
 
 #: Fewest and most vectors of a block, most components of a block; queries of a group; shares of the plan; threshold of choice; coordinates looked at.
 LEAST, MOST, COMPONENTS, QUERIES, SPREAD, TURN, FOCUS = 512, 65536, 1 << 22, 4096, 64, 0.6, 4
 _SLACK = 1 + 1e-9
-_FOUND = "query_id long, vec_id long, score long"
+_FOUND = "query_row long, query_id long, vec_id long, score long"
 _KEY = ("dim", "bucket", "block", "band", "part")
 
 
@@ -47,10 +47,10 @@ def _length(v: np.ndarray) -> np.ndarray:
 class Block:
     """Vectors of a block by falling length, with a sorted list of each coordinate that is asked for."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
         length = _length(vectors)
         order = np.lexsort((ids, -length))
-        self.ids, self.v, self.length = ids[order], vectors[order], length[order]
+        self.rows, self.ids, self.v, self.length = rows[order], ids[order], vectors[order], length[order]
         self.most = float(np.abs(self.v).max(initial=0))
         self.fast = self.v.astype(np.float64) if self.most < 2**53 else None
         self.longest = float(self.length[0])
@@ -91,8 +91,8 @@ class Block:
                 at = at[(x >= low[i]) & (x <= high[i])]
         return at
 
-    def answers(self, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each query's k best of the block among scores of at least its floor; ties to the smaller id; never its own id."""
+    def answers(self, query: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score) of each query's k best of the block among scores of at least its floor; ties to the smaller id; never its own row."""
         length, out = _length(q), []
         need = np.where(floor > 0, floor / np.maximum(length, 1e-300), -np.inf)
         threshold = np.where(floor > 0, need / max(self.longest, 1e-300), -1.0)
@@ -100,26 +100,26 @@ class Block:
         for i in np.flatnonzero(alive & (threshold >= TURN)).tolist():
             at = self.near(q[i] / length[i], threshold[i] / _SLACK)
             at = at[self.length[at] * _SLACK >= need[i]]
-            out.append(self._top(qid[i], floor[i], k, self.ids[at], self.products(q[i : i + 1], at)[0]))
+            out.append(self._top(i, query[i], floor[i], k, self.rows[at], self.ids[at], self.products(q[i : i + 1], at)[0]))
         rest = np.flatnonzero(alive & (threshold < TURN))
         rest = rest[np.argsort(need[rest], kind="stable")]
         for lo in range(0, len(rest), 256):
             some = rest[lo : lo + 256]
             keep = int(np.searchsorted(-self.length * _SLACK, -need[some[0]], side="right"))
             for i, row in zip(some.tolist(), self.products(q[some], slice(0, keep))):
-                out.append(self._top(qid[i], floor[i], k, self.ids[:keep], row))
+                out.append(self._top(i, query[i], floor[i], k, self.rows[:keep], self.ids[:keep], row))
         return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(3))
 
     @staticmethod
-    def _top(query: int, floor: float, k: int, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = (ids != query) & (row >= floor)
+    def _top(i: int, query: int, floor: float, k: int, rows: np.ndarray, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = (rows != query) & (row >= floor)
         row, ids = row[ok], ids[ok]
         if len(row) > k:
             top = row >= np.partition(row, len(row) - k)[len(row) - k]
             row, ids = row[top], ids[top]
             first = np.lexsort((ids, -row))[:k]
             row, ids = row[first], ids[first]
-        return np.full(len(row), query, np.int64), ids, row
+        return np.full(len(row), i, np.int64), ids, row
 
 
 def _visit(k: int):
@@ -136,12 +136,13 @@ def _visit(k: int):
                 if key != now:
                     now, held, block = key, [], None
                 ids, v = b.column(6).slice(lo, n).to_numpy(), b.column(7).slice(lo, n).flatten().to_numpy().reshape(n, int(key[0]))
+                rows = b.column(9).slice(lo, n).to_numpy()
                 if role == 0:
-                    held.append((ids, v))
+                    held.append((rows, ids, v))
                 elif held:
                     block = block or Block(*(np.concatenate(x) for x in zip(*held)))
-                    found = block.answers(ids, v, b.column(8).slice(lo, n).to_numpy(zero_copy_only=False), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+                    at, other, score = block.answers(rows, v, b.column(8).slice(lo, n).to_numpy(zero_copy_only=False), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows[at], ids[at], other, score)], names=["query_row", "query_id", "vec_id", "score"])
 
     return visit
 
@@ -150,12 +151,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, block: int
     """query_id, rank (from 1), vec_id, score: the k largest integer products of each query with the other vectors.
 
     is_query: a condition on the column vec_id. Fewer than k others: all of them. Vectors that take no part: null
-    ids, null vectors, and any with null or non-finite components; vectors of different lengths don't meet. Rows
-    that repeat id and vector count once; different vectors of one id are candidates each, and as queries share one
-    list of results. An empty table gives an empty result. Other columns are ignored. `block`: vectors of a block; by
+    ids, null vectors, and any with null or non-finite components; vectors of different lengths don't meet. A query is
+    barred from meeting its own row only: rows that repeat its id are candidates, and as queries have a list each. An empty table gives an empty result. Other columns are ignored. `block`: vectors of a block; by
     default as many as give each shuffle partition two blocks, from LEAST to MOST, and at most COMPONENTS in all.
     """
-    rows = quantised(vectors, scale, id_col, vector_col).dropDuplicates(["vec_id", "v"])
+    rows = quantised(vectors, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id())
     bucket = F.when(F.col("norm") > 0, F.greatest(F.lit(0), F.floor(F.log2("norm") * 4))).otherwise(F.lit(-1)).cast("int")
     rows = stored(rows.withColumn("bucket", bucket), "vectors")
     size = F.lit(block or min(MOST, max(LEAST, rows.count() // (2 * partitions(rows.sparkSession)))))
@@ -163,10 +163,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, block: int
     sizes = rows.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / size))
     sizes = sizes.select("dim", "bucket", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
     spread = rows.withColumn("spread", F.pmod(F.xxhash64("vec_id"), F.lit(SPREAD)).cast("int")).join(sizes, ["dim", "bucket", "spread"])
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int")).select("dim", "bucket", "block", "vec_id", "v", "norm")
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int")).select("dim", "bucket", "block", "vec_id", "row", "v", "norm")
     blocks = spread.groupBy("dim", "bucket", "block").agg(F.max("norm").alias("longest"), F.count(F.lit(1)).alias("n"))
 
-    asked = spread.where(is_query).select(F.col("vec_id").alias("id"), "v", "dim", F.col("norm").alias("length"))
+    asked = spread.where(is_query).select(F.col("vec_id").alias("id"), "row", "v", "dim", F.col("norm").alias("length"))
 
     def grouped(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(queries with band and part, one row a group with the least length it needs): a band is dealt into parts of QUERIES or so."""
@@ -174,22 +174,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, block: int
         banded = queries.withColumns({"need": F.coalesce(need, F.lit(-1.0)), "band": F.coalesce(F.floor(F.log2(need) * 4), F.lit(-(10**6))).cast("int")})
         parts = banded.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts")).select("dim", "band", "parts", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
         dealt = banded.withColumn("spread", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(parts, ["dim", "band", "spread"])
-        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int")).select("dim", "band", "part", "id", "v", "floor", "need")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int")).select("dim", "band", "part", "id", "row", "v", "floor", "need")
         return dealt, dealt.groupBy("dim", "band", "part").agg(F.min("need").alias("need"))
 
     def visited(queries: DataFrame, visits: DataFrame) -> DataFrame:
         """visits: one row for each block and group that meet. Each meeting gets its own copy of the block and of the group."""
-        own = spread.join(visits, ["dim", "bucket", "block"]).select(*_KEY, F.lit(0).alias("role"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("floor"))
-        other = queries.join(visits, ["dim", "band", "part"]).select(*_KEY, F.lit(1).alias("role"), "id", "v", "floor")
-        return own.unionByName(other).repartition(*_KEY).sortWithinPartitions(*_KEY, "role").mapInArrow(_visit(k), _FOUND)
+        own = spread.join(visits, ["dim", "bucket", "block"]).select(*_KEY, F.lit(0).alias("role"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("floor"), "row")
+        other = queries.join(visits, ["dim", "band", "part"]).select(*_KEY, F.lit(1).alias("role"), "id", "v", "floor", "row")
+        return own.unionByName(other).repartition(*_KEY).sortWithinPartitions(*_KEY, "role").mapInArrow(released(_visit(k)), _FOUND)
 
     # First pass: the block of the longest vectors that holds more than k of them gives each query a floor.
     first = blocks.where(F.col("n") > k).groupBy("dim").agg(F.max_by(F.struct("bucket", "block"), F.struct("longest", "n")).alias("at")).select("dim", "at.bucket", "at.block")
     queries, groups = grouped(asked.withColumn("floor", F.lit(float("-inf"))))
     seen = visited(queries, groups.join(first, "dim"))
-    ranked = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    floors = ranked(seen).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    known = stored(asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "queries")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")))
+    floors = ranked(seen).where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
+    known = stored(asked.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "queries")
     queries, groups = grouped(known)
     # One row a block, repeated SPREAD times so that no key holds all groups.
     reachable = blocks.select("dim", "bucket", "block", "longest", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
