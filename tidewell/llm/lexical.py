@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewise import Words, hashes, raw, summed
-from .shared import col, slices
+from .shared import col, released, slices
 
 COORDINATES, BYTES, STEP, SPAN = 1024, 1 << 20, 32, 4 << 20
 _INSIDE = np.zeros(256, bool)
@@ -193,12 +193,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     for block in _blocks(asked, "id", "text"):
         c = Counts(pa.array([t for _, t in block], pa.string()))
         known = c.terms
-        counts = dict(source.select("text").mapInArrow(_counted(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())  # two rows and one for each term of the block
+        counts = dict(source.select("text").mapInArrow(released(_counted(known)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())  # two rows and one for each term of the block
         df = np.array([counts.get(i, 0) for i in range(len(known))], np.int64)
         edges = np.searchsorted(c.doc, np.arange(len(block) + 1))
         queries = [c.term[a:b] for a, b in zip(edges[:-1], edges[1:])]
         shared = spark.sparkContext.broadcast(Block([i for i, _ in block], queries, known, df, counts.get(-1) or 0, counts.get(-2) or 0, k))
-        found = source.mapInArrow(_searched(shared), "query long, doc_id long, score long")
+        found = source.mapInArrow(released(_searched(shared)), "query long, doc_id long, score long")
         names = spark.createDataFrame([(i, n) for n, (i, _) in enumerate(block)], schema)
         order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
         found = found.withColumn("share", F.spark_partition_id() % 16)

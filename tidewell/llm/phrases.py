@@ -9,7 +9,7 @@ begins before the shared window lies in its chunk as a whole, so it is counted i
 owns its words but for the window it shares with the next chunk. No phrase crosses a piece.
 
 Rare phrases are never written out. A phrase that occurs `least` times consists of phrases that do so, too: phrases of 1, 2
-and 3 words are first counted by a 64-bit hash, and those that reach `least` set a bit in a bitmap of 2^BITS bits, which all
+and 3 words are first counted by 40 bits of a hash, and those that reach `least` set a bit in a bitmap of 2^BITS bits, which all
 tasks get. Only phrases whose parts have their bits are counted in the next pass. The last pass counts the texts
 themselves, so hashes that meet, and bitmaps that fill up at a very large size, cost time and change no count.
 """
@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewise import Words, joined, raw, hashes, summed
-from .shared import col, salted, slices, stored
+from .shared import col, released, salted, slices, stored
 
-MOST, WINDOW, PERIOD, LEVELS, BITS = 5, 4, 64, 3, 26
+MOST, WINDOW, PERIOD, LEVELS, HASH, BITS = 5, 4, 64, 3, 40, 26
+#: Most counts that a task holds before it passes them on.
+HELD = 2_000_000
 _U = np.uint64
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -71,7 +73,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, own, chunk, weight: the distinct chunks of all texts and how often each is parsed."""
     base = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    return base.mapInArrow(_parsed, "lang string, own int, chunk string").groupBy("lang", "own", "chunk").agg(F.count(F.lit(1)).alias("weight"))
+    return base.mapInArrow(released(_parsed), "lang string, own int, chunk string").groupBy("lang", "own", "chunk").agg(F.count(F.lit(1)).alias("weight"))
 
 
 class _Phrases:
@@ -120,18 +122,51 @@ class _Phrases:
 
 def _hash_counts(n: int, filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, more, size = none, [none], 0
         for b in batches:
             for part in slices(b, 2, 8 << 20):
                 p = _Phrases(part)
                 at = np.flatnonzero(p.own & p.likely(n, filters.value))
-                h, f, _ = summed(p.hashed(n)[at], p.weight[at])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f, pa.int64())], names=["h", "f"])
+                h, f, _ = summed(p.hashed(n)[at] >> _U(64 - HASH), p.weight[at])
+                more.append((h, f))
+                size += len(h)
+                if size > HELD // 2:
+                    held, more, size = _merged([held, *more]), [none], 0
+                    if len(held[0]) > HELD:
+                        yield _counts(*held)
+                        held = none
+        yield _counts(*_merged([held, *more]))
 
-    return run
+    return released(run)
+
+
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, f = (np.concatenate(x) for x in zip(*counts))
+    return summed(h, f)[:2]
+
+
+def _counts(h: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f, pa.int64())], names=["h", "f"])
 
 
 def _text_counts(filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up what a task counts before it passes it on."""
+        held, size = [], 0
+        for found in counted(batches):
+            held.append(found)
+            size += found.num_rows
+            if size > HELD // 4:
+                whole = _added(held)
+                held, size = [whole], 0
+                if whole.num_rows > HELD // 4:
+                    yield from whole.to_batches()
+                    held = []
+        if held:
+            yield from _added(held).to_batches()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for b in batches:
             for part in slices(b, 2, 8 << 20):
                 p = _Phrases(part)
@@ -153,17 +188,22 @@ def _text_counts(filters):
                     keys, f, place = summed(inverse[own], p.weight[at][own])
                     place = at[own][place]
                     texts = [b" ".join(bytes_[spaced[i + j] : spaced[i + j + 1]] for j in range(n)) for i in place.tolist()]
-                    yield pa.RecordBatch.from_arrays(
+                    yield pa.Table.from_arrays(
                         [p.langs.dictionary.take(pa.array(p.lang[place])), pa.array(np.full(len(place), n), pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())],
                         names=["lang", "words", "phrase", "f"],
                     )
 
-    return run
+    return released(run)
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("f", "sum")])
+    return out.select(["lang", "words", "phrase", "f_sum"]).rename_columns(["lang", "words", "phrase", "f"]).combine_chunks()
 
 
 def _bitmap(counted: DataFrame, least: int) -> np.ndarray:
     """The bits of the hashes that reach `least`; at most 2^(BITS - 6) rows come to the driver."""
-    bit = F.shiftrightunsigned("h", 64 - BITS)
+    bit = F.shiftrightunsigned("h", HASH - BITS)
     often = counted.groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     rows = often.groupBy(F.shiftrightunsigned(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
     out = np.zeros(1 << (BITS - 6), np.uint64)
@@ -194,7 +234,7 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, text_col:
     one of the same count is left out. Order: score and a falling, then the phrase by its bytes. Null lang is `und`, null text
     empty; texts without words and an empty table give nothing. Repeated rows count each time. Other columns are ignored.
     """
-    chunks = stored(dictionary(docs, text_col, lang_col), "chunks")
+    chunks = stored(dictionary(docs, text_col, lang_col), "chunks", "zstd")
     f = stored(frequent(chunks, least), "phrases")
     totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("weight")).alias("n"))
     long = f.where("words > 1").select("lang", "words", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
