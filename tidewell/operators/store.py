@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import MERGED_METRICS
 from ..functions.numbers import rounded
 from ..functions.time import local_day, touched_hours
-from ..schema import ISO_INSTANT, KEY, MAX_LIMIT, MAX_METADATA, MAX_TEXT, MERGED_SOURCE, PLACEHOLDERS
+from ..schema import ISO_INSTANT, KEY, MAX_INTERVAL_DAYS, MAX_LIMIT, MAX_METADATA, MAX_TEXT, MERGED_SOURCE, PLACEHOLDERS
 
 
 def user_key(user: Column) -> Column:
@@ -29,6 +29,7 @@ def reject_reason(allowed_merged: tuple[str, ...] = (), pattern: str | None = No
     out = out.when(F.col("started_at").isNull(), "bad started_at").when(F.coalesce(F.octet_length("metadata") > MAX_METADATA, F.lit(False)), "metadata too large")
     no_object = F.col("metadata").isNotNull() & (~F.ltrim("metadata").startswith("{") | F.get_json_object("metadata", "$").isNull())
     out = out.when(no_object, "metadata is no object")
+    out = out.when(F.coalesce(F.col("ended_at") > F.col("started_at") + F.expr(f"INTERVAL {MAX_INTERVAL_DAYS} DAYS"), F.lit(False)), "interval too long")
     if pattern:
         out = out.when(~F.col("metric_type").rlike(pattern), "bad metric type")
     if texts:
@@ -87,23 +88,56 @@ def hourly_totals(samples: DataFrame) -> DataFrame:
     return samples.groupBy("user_id", "metric_type", hour.alias("started_at"), "unit").agg(rounded(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("value"), F.count(F.lit(1)).alias("device_rows"))
 
 
-def reemit_hours(store: DataFrame, batch: DataFrame, unit: str) -> DataFrame:
-    """The store with a merged row for every hour that the batch's intervals touch, in place of the hour's device rows.
+_HOUR = ["user_id", "metric_type", "hour"]
 
-    The store already holds the batch. Totals are of whole hours, by the hour in which rows start, so a repeated
-    delivery gives them again alike; an hour in which no row starts gets 0.
+
+def in_one_unit(samples: DataFrame, units: DataFrame) -> DataFrame:
+    """Samples with `canon` and `amount`: their canonical unit and the value in it; a unit that isn't in units (unit, canonical, factor) is its own."""
+    known = units.select(F.col("unit").alias("_unit"), F.col("canonical").alias("_canonical"), F.col("factor").alias("_factor"))
+    out = samples.join(known, samples["unit"].eqNullSafe(F.col("_unit")), "left")
+    return out.withColumns({"canon": F.coalesce("_canonical", "unit", F.lit("")), "amount": F.col("value") * F.coalesce("_factor", F.lit(1.0))}).drop("_unit", "_canonical", "_factor")
+
+
+def merged_hours(store: DataFrame, batch: DataFrame, units: DataFrame, not_before: Column | None = None, priority: Column | None = None) -> DataFrame:
+    """A whole merged row for every UTC hour that the batch's intervals touch, from the device rows that the store holds (the batch among them).
+
+    An hour's total has one unit: that of most of its rows (ties: first by name) in canonical units; rows of other units
+    don't count. An hour in which no row starts gets 0, in the batch's unit. Hours before the one of not_before are left
+    out. With priority, rows that overlap a better source's row are dropped first (drop_overlaps).
     """
-    hours = hours_touched(batch).select("user_id", "metric_type", "hour").distinct()
-    rows = store.where(F.col("source_device") != MERGED_SOURCE).withColumn("hour", F.date_trunc("hour", "started_at"))
-    total = hours.join(rows.select("user_id", "metric_type", "hour", "value", "synced_at"), ["user_id", "metric_type", "hour"], "left").groupBy("user_id", "metric_type", "hour").agg(
-        rounded(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("value"), F.max("synced_at").alias("synced_at")
-    )
+    every = in_one_unit(store.where(F.col("source_device") != MERGED_SOURCE), units)
+    hours = hours_touched(in_one_unit(batch.where(F.col("source_device") != MERGED_SOURCE), units))
+    if not_before is not None:
+        hours = hours.where(F.col("hour") >= F.date_trunc("hour", not_before))
+    hours = hours.groupBy(*_HOUR).agg(F.min("canon").alias("own_unit"))
+    rows = every.withColumn("hour", F.date_trunc("hour", "started_at")).join(hours.select(*_HOUR), _HOUR, "left_semi")
+    if priority is not None:
+        # What may overlap a row of these hours touches an hour that such a row touches.
+        near = hours_touched(rows).select(*_HOUR).distinct()
+        beside = hours_touched(every).join(near, _HOUR, "left_semi").select(*KEY).distinct()
+        rows = drop_overlaps(every.join(beside, list(KEY), "left_semi"), priority).withColumn("hour", F.date_trunc("hour", "started_at")).join(hours.select(*_HOUR), _HOUR, "left_semi")
+    sums = rows.groupBy(*_HOUR, "canon").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"), F.count(F.lit(1)).alias("n"), F.max("synced_at").alias("synced_at"))
+    best = sums.groupBy(*_HOUR).agg(F.min_by(F.struct("total", "canon", "synced_at"), F.struct(-F.col("n"), F.col("canon"))).alias("s"))
     end = F.col("hour") + F.expr("INTERVAL 1 HOUR")
-    merged = total.select(
-        "user_id", "metric_type", "value", F.lit(unit).alias("unit"), F.lit(MERGED_SOURCE).alias("source_device"), F.col("hour").alias("started_at"), end.alias("ended_at"),
-        F.lit(None).cast("string").alias("metadata"), F.coalesce("synced_at", end).alias("synced_at"),
+    return hours.join(best, _HOUR, "left").select(
+        "user_id", "metric_type", rounded(F.coalesce("s.total", F.lit(0.0)), 4).alias("value"), F.coalesce("s.canon", "own_unit").alias("unit"), F.lit(MERGED_SOURCE).alias("source_device"), F.col("hour").alias("started_at"),
+        end.alias("ended_at"), F.lit(None).cast("string").alias("metadata"), F.coalesce("s.synced_at", end).alias("synced_at"),
     )
-    return replace_merged_hours(store, merged)
+
+
+def reemit_hours(store: DataFrame, batch: DataFrame, units: DataFrame, not_before: Column | None = None, priority: Column | None = None) -> DataFrame:
+    """The store with the batch's merged_hours in place of those hours' device rows of the same unit; the store already holds the batch.
+
+    Totals are of whole hours, by the hour in which rows start, so a repeated delivery gives them again alike. Device rows
+    in a unit that the total hasn't stay beside it. Rows that have been replaced are gone, so an hour that may be touched
+    again has to keep its device rows elsewhere, as ingest does.
+    """
+    device = F.col("source_device") != MERGED_SOURCE
+    merged = merged_hours(store, batch, units, not_before, priority)
+    taken = merged.select("user_id", "metric_type", F.col("started_at").alias("hour"), F.col("unit").alias("canon"))
+    rows = in_one_unit(store.where(device), units).withColumn("hour", F.date_trunc("hour", "started_at"))
+    rest = rows.join(taken, [*_HOUR, "canon"], "left_anti").select(*store.columns)
+    return upserted(rest.unionByName(store.where(~device)), merged.select(*store.columns))
 
 
 def hours_touched(samples: DataFrame) -> DataFrame:

@@ -14,13 +14,15 @@ from ..functions.time import top_k_per, touched_hours
 from ..operators import daily, quality, reports, sleep, store, workouts
 from ..schema import MERGED_SOURCE
 from ..sources.samples import normalise_units, scan_samples
-from ..sources.versions import scratch
+from ..sources.tables import scratch
 
 TZ = "America/New_York"
 AS_OF, CUTOFF = "2024-01-31 00:00:00", "2024-01-21"
 CUMULATIVE = ("steps", "active_energy")
 #: Roles of the reports; the events have no vo2 and weight, so two other level metrics stand in.
 METRICS = {"steps": "steps", "energy": "active_energy", "hrv": "hrv", "rhr": "resting_hr", "sleep": "sleep", "vo2": "hrv", "weight": "resting_hr"}
+#: The events' metrics have plain names.
+PLAIN_METRICS = r"^[a-z_]+$"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -86,10 +88,15 @@ def _series(spark, sf_dir):
     return daily.daily_value(daily.single_unit(_tiered(spark, sf_dir)), CUMULATIVE)
 
 
+def units_of(spark) -> DataFrame:
+    """Masses in grams; other units are their own."""
+    return spark.createDataFrame([("kg", "g", 1000.0), ("g", "g", 1.0)], "unit string, canonical string, factor double")
+
+
 def _merged(spark, sf_dir) -> DataFrame:
     """Merged hourly step totals of every third user."""
     s = samples_of(spark, sf_dir).where((F.col("metric_type") == "steps") & (F.col("user_id") % 3 == 0))
-    h = store.hourly_totals(s.withColumn("unit", F.lit("count")))
+    h = store.hourly_totals(normalise_units(s, units_of(spark)).drop("unsupported"))
     return h.select("user_id", "metric_type", "value", "unit", F.lit(MERGED_SOURCE).alias("source_device"), "started_at", (F.col("started_at") + F.expr("INTERVAL 1 HOUR")).alias("ended_at"), F.lit(None).cast("string").alias("metadata"), (F.col("started_at") + F.expr("INTERVAL 2 HOURS")).alias("synced_at"))
 
 
@@ -112,7 +119,7 @@ tiered AS (SELECT *, 'summary' AS tier FROM summaries UNION ALL
   SELECT *, 'raw' FROM points p WHERE NOT EXISTS (SELECT 1 FROM summaries s WHERE s.user_id = p.user_id AND s.metric_type = p.metric_type AND s.date = p.date)),
 votes AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY n DESC, unit) AS rn, sum(n) OVER (PARTITION BY user_id, metric_type)::BIGINT AS total FROM (SELECT user_id, metric_type, unit, count(*) AS n FROM tiered GROUP BY ALL)),
 series AS (SELECT t.*, CASE WHEN metric_type IN ('steps', 'active_energy') THEN sum_value ELSE avg_value END AS day_value FROM tiered t JOIN (SELECT user_id, metric_type, unit FROM votes WHERE rn = 1) v USING (user_id, metric_type, unit)),
-merged AS (SELECT user_id, metric_type, round(sum(value), 4) AS value, 'count' AS unit, '{MERGED_SOURCE}' AS source_device, date_trunc('hour', started_at) AS started_at, date_trunc('hour', started_at) + INTERVAL 1 HOUR AS ended_at, NULL::VARCHAR AS metadata, date_trunc('hour', started_at) + INTERVAL 2 HOUR AS synced_at
+merged AS (SELECT user_id, metric_type, round(sum(CASE unit WHEN 'kg' THEN 1000 * value ELSE value END), 4) AS value, 'g' AS unit, '{MERGED_SOURCE}' AS source_device, date_trunc('hour', started_at) AS started_at, date_trunc('hour', started_at) + INTERVAL 1 HOUR AS ended_at, NULL::VARCHAR AS metadata, date_trunc('hour', started_at) + INTERVAL 2 HOUR AS synced_at
   FROM samples WHERE metric_type = 'steps' AND user_id % 3 = 0 GROUP BY user_id, metric_type, date_trunc('hour', started_at)),
 store AS (SELECT user_id, metric_type, value, unit, source_device, started_at, ended_at, metadata, synced_at FROM samples UNION ALL SELECT * FROM merged WHERE user_id % 2 = 0),
 asleep AS (SELECT *, ({_LOCAL} - INTERVAL 6 HOUR)::DATE AS night, epoch_us(ended_at - started_at) / 60e6 AS minutes,
@@ -454,8 +461,7 @@ def weekly_digest(spark, sf_dir):
 
 @query("SELECT user_id, metric_type, event_id, round(CASE unit WHEN 'kg' THEN value * 1000 ELSE value END, 4) AS value, CASE unit WHEN 'kg' THEN 'g' ELSE unit END AS unit, unit NOT IN ('g', 'kg') AS unsupported FROM samples")
 def normalised_units(spark, sf_dir):
-    units = spark.createDataFrame([("kg", "g", 1000.0), ("g", "g", 1.0)], "unit string, canonical string, factor double")
-    return normalise_units(samples_of(spark, sf_dir), units).select("user_id", "metric_type", "event_id", rounded("value", 4).alias("value"), "unit", "unsupported")
+    return normalise_units(samples_of(spark, sf_dir), units_of(spark)).select("user_id", "metric_type", "event_id", rounded("value", 4).alias("value"), "unit", "unsupported")
 
 
 @query("""SELECT event_id, user_id, metric_type, source_device FROM samples s WHERE NOT EXISTS (SELECT 1 FROM samples b WHERE b.user_id = s.user_id AND b.metric_type = s.metric_type AND b.event_id % 4 < s.event_id % 4 AND b.started_at < s.ended_at AND s.started_at < b.ended_at)""")
@@ -491,14 +497,13 @@ def _payload_files(spark, sf_dir) -> str:
 
 @query(f"SELECT metric_type, round(value, 4) AS value, unit, source_device || ' ' || user_id AS source_device, (epoch_us(started_at) // 1000000) AS start_epoch FROM samples")
 def ingest_stream(spark, sf_dir):
-    """The events sent as payload files, drained by the stream into a versioned store, and read back."""
-    from ..schema import SAMPLES
-    from ..sources.versions import read_store
+    """The events sent as payload files, drained by the stream into a store by metric and day, and read back."""
     from ..streaming.ingest import ingest_stream as run
+    from ..streaming.ingest import read_store
 
     at = scratch(spark, "store")
-    run(spark, _payload_files(spark, sf_dir), at, scratch(spark, "offsets"), "u1").awaitTermination()
-    return _row(read_store(spark, at, SAMPLES)).drop("user_id")
+    run(spark, _payload_files(spark, sf_dir), at, scratch(spark, "offsets"), "u1", pattern=PLAIN_METRICS).awaitTermination()
+    return _row(read_store(spark, at)).drop("user_id")
 
 
 @query(f"""SELECT metric_type, round(value, 4) AS value, unit, source_device, (epoch_us(started_at) // 1000000) AS start_epoch, CASE WHEN metric_type = 'sleep' THEN 'skipped' WHEN metric_type = 'hrv' THEN 'refused' END AS reason FROM samples""")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import daily, store
-from ..schema import SAMPLES
 from ..sources.samples import scan_summaries as scan
-from ..sources.versions import read_store, scratch
-from .registry import _row, _ROW, _table, query, samples_of, summaries_of
+from ..sources.tables import scratch
+from .registry import _row, _ROW, _table, PLAIN_METRICS, query, samples_of, summaries_of, units_of
 
 
 def _user_payloads(spark, sf_dir, which: int) -> str:
@@ -28,12 +27,12 @@ def _user_payloads(spark, sf_dir, which: int) -> str:
 @query("""SELECT 'u' || user_id AS user_id, metric_type, round(value, 4) AS value, unit, source_device || ' ' || event_id AS source_device, (epoch_us(started_at) // 1000000) AS start_epoch, event_id % 7 = 0 AS rejected FROM samples""")
 def ingest_users(spark, sf_dir):
     """Two streams with checkpoints of their own put all users' payloads into one store; what they reject is read back too."""
-    from ..streaming.ingest import ingest_stream, rejected_rows
+    from ..streaming.ingest import ingest_stream, read_store, rejected_rows
 
     at = scratch(spark, "store")
     for half in (0, 1):
-        ingest_stream(spark, _user_payloads(spark, sf_dir, half), at, scratch(spark, "offsets")).awaitTermination()
-    good = _row(read_store(spark, at, SAMPLES)).withColumn("rejected", F.lit(False))
+        ingest_stream(spark, _user_payloads(spark, sf_dir, half), at, scratch(spark, "offsets"), pattern=PLAIN_METRICS).awaitTermination()
+    good = _row(read_store(spark, at)).withColumn("rejected", F.lit(False))
     return good.unionByName(_row(rejected_rows(spark, at)).withColumn("rejected", F.lit(True)))
 
 
@@ -68,10 +67,10 @@ def scan_summaries(spark, sf_dir):
 @query(f"""SELECT {_ROW} FROM samples s WHERE metric_type <> 'steps' OR user_id % 3 <> 0 OR event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM samples b WHERE b.event_id % 2 = 0 AND b.metric_type = 'steps' AND b.user_id = s.user_id AND
 date_trunc('hour', s.started_at) BETWEEN date_trunc('hour', b.started_at) AND date_trunc('hour', b.ended_at - INTERVAL 1 MICROSECOND)) UNION ALL
 SELECT user_id, metric_type, round(coalesce(sum(value), 0), 4) AS value, 'g' AS unit, 'merged hourly total' AS source_device, (epoch_us(hour) // 1000000) AS start_epoch FROM
-(SELECT h.user_id, h.metric_type, h.hour, s.value FROM (SELECT DISTINCT user_id, metric_type, unnest(generate_series(date_trunc('hour', started_at), date_trunc('hour', ended_at - INTERVAL 1 MICROSECOND), INTERVAL 1 HOUR)) AS hour FROM samples
+(SELECT h.user_id, h.metric_type, h.hour, CASE s.unit WHEN 'kg' THEN 1000 * s.value ELSE s.value END AS value FROM (SELECT DISTINCT user_id, metric_type, unnest(generate_series(date_trunc('hour', started_at), date_trunc('hour', ended_at - INTERVAL 1 MICROSECOND), INTERVAL 1 HOUR)) AS hour FROM samples
 WHERE event_id % 2 = 0 AND metric_type = 'steps' AND user_id % 3 = 0) h LEFT JOIN samples s ON s.user_id = h.user_id AND s.metric_type = h.metric_type AND date_trunc('hour', s.started_at) = h.hour) GROUP BY user_id, metric_type, hour""")
 def reemitted_hours(spark, sf_dir):
     """Every hour that a batch of new step samples touches is totalled anew from all its device rows, and put in whole; an hour left without rows gets 0."""
     s = samples_of(spark, sf_dir)
     batch = s.where("metric_type = 'steps' and user_id % 3 = 0 and event_id % 2 = 0")
-    return _row(store.reemit_hours(s.drop("event_id"), batch.drop("event_id"), "g"))
+    return _row(store.reemit_hours(s.drop("event_id"), batch.drop("event_id"), units_of(spark)))

@@ -15,6 +15,8 @@ SUMMARY_KEY = ("user_id", "metric_type", "summary_date", "unit")
 #: Source name of hourly totals that stand for all devices of their hour.
 MERGED_SOURCE = "merged hourly total"
 MAX_DAYS, MAX_MONTHS, MAX_LIMIT, MAX_TEXT, MAX_METADATA = 1825, 120, 1000, 256, 4096
+#: Longest interval of a sample that ingest takes.
+MAX_INTERVAL_DAYS = 31
 #: Longer windows take daily summaries where there are any.
 RAW_DAYS = 30
 #: Sleep stage codes; 3, 4 and 5 count as sleep.

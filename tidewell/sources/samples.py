@@ -12,9 +12,10 @@ from ..schema import PAYLOAD, SUMMARY_COLUMNS
 def from_payloads(raw: DataFrame) -> DataFrame:
     """Rows of {user_id, samples: [...]} objects (read with schema PAYLOAD), empty batches giving none; instants of any offset.
 
-    started_text, ended_text and batch_rows keep the instants as they were written and the batch's size, for validate.
+    started_text, ended_text and batch_rows keep the instants as they were written and the batch's size, for validate;
+    payload is a hash of the whole object, by which rows of one batch are known.
     """
-    rows = raw.select("user_id", F.size("samples").alias("batch_rows"), F.posexplode("samples").alias("batch_seq", "s")).select("user_id", "batch_rows", "batch_seq", "s.*")
+    rows = raw.select("user_id", F.size("samples").alias("batch_rows"), F.xxhash64("user_id", "samples").alias("payload"), F.posexplode("samples").alias("batch_seq", "s")).select("user_id", "batch_rows", "payload", "batch_seq", "s.*")
     at = lambda c: F.try_to_timestamp(F.when(F.length(c) <= 64, F.col(c)))
     return rows.withColumns({
         "started_text": F.col("started_at"), "ended_text": F.col("ended_at"), "started_at": at("started_at"), "ended_at": at("ended_at"), "source_device": F.coalesce("source_device", F.lit("")),

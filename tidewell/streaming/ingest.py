@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import dedupe_latest, replace_merged_hours, upserted, user_key, validate
+from ..operators.store import dedupe_latest, merged_hours, replace_merged_hours, upserted, user_key, validate
 from ..operators.upkeep import batch_log
-from ..schema import KEY, MERGED_SOURCE, PAYLOAD, SAMPLE_COLUMNS, SAMPLES
+from ..schema import KEY, MAX_INTERVAL_DAYS, MERGED_SOURCE, METRIC_PATTERN, PAYLOAD, SAMPLE_COLUMNS, SAMPLES
 from ..sources.samples import from_payloads
-from ..sources.versions import commit, committed, read_store
+from ..sources.tables import parted, put, read_table
 
 
-def checked(batch: DataFrame, user_id: str | None, merged_metrics: tuple[str, ...], pattern: str | None = None) -> DataFrame:
-    """A batch's rows with reject_reason; a payload's own user_id goes before the stream's."""
+@dataclass(frozen=True)
+class HourTotals:
+    """How ingest totals device rows: those of `metrics` become whole merged hours, in the units of `units` (unit, canonical,
+    factor), after rows that overlap a better source's have gone (priority; null: none go), for hours from `not_before` on.
+    The device rows themselves are kept in the store's table `devices`, so that a late one finds the others of its hour."""
+
+    metrics: tuple[str, ...]
+    units: DataFrame
+    priority: Column | None = None
+    not_before: Column | None = None
+
+
+def checked(batch: DataFrame, user_id: str | None, merged_metrics: tuple[str, ...], pattern: str | None = METRIC_PATTERN, mode: str = "row") -> DataFrame:
+    """A batch's rows with reject_reason; a payload's own user_id goes before the stream's. mode="batch": a payload with a bad row is rejected as a whole."""
     rows = from_payloads(batch).withColumns({"user_id": F.coalesce(user_key(F.col("user_id")), F.lit(user_id).cast("string")), "synced_at": F.current_timestamp()})
-    return validate(rows, merged_metrics, pattern=pattern, texts=True)
+    return validate(rows, merged_metrics, mode=mode, batch_col="payload", pattern=pattern, texts=True)
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -31,42 +44,58 @@ def applied(store: DataFrame, batch: DataFrame) -> DataFrame:
     return upserted(replace_merged_hours(store, merged), batch.where(F.col("source_device") != MERGED_SOURCE))
 
 
-def day_part(rows_user: Column, started_at: Column, buckets: int = 16) -> Column:
-    """The part of a sample in the store: its UTC day and its user's bucket. Keys and merged hours never cross parts."""
-    return F.concat(F.date_format(started_at, "yyyy-MM-dd"), F.lit("_"), F.pmod(F.hash(rows_user), F.lit(buckets)).cast("string"))
+def _totalled(spark: SparkSession, store: str, fresh: DataFrame, totals: HourTotals, stream: str, batch: int) -> DataFrame:
+    """Puts a batch's device rows into `devices` and gives the whole hours that they touch."""
+    days = parted(fresh).select("metric_type", "day").distinct()
+    put(spark, f"{store}/devices", lambda: (days, upserted(read_table(spark, f"{store}/devices", SAMPLES, days), fresh)), stream, batch)
+    last = F.to_date(F.greatest(F.coalesce("ended_at", "started_at") - F.expr("INTERVAL 1 MICROSECOND"), F.col("started_at")))
+    reach = 0 if totals.priority is None else MAX_INTERVAL_DAYS  # rows that begin so far away may overlap
+    near = fresh.select("metric_type", F.explode(F.sequence(F.date_sub(F.to_date("started_at"), reach), F.date_add(last, reach))).alias("day")).distinct()
+    return merged_hours(read_table(spark, f"{store}/devices", SAMPLES, near), fresh, totals.units, totals.not_before, totals.priority)
 
 
-def ingest_stream(spark: SparkSession, payloads: str, store: str, checkpoint: str, user_id: str | None = None, merged_metrics: tuple[str, ...] = (), max_files: int = 1000, pattern: str | None = None):
-    """Drains the payload folder into the store. A batch reads and rewrites the days and user buckets it touches.
+def ingest_stream(
+    spark: SparkSession, payloads: str, store: str, checkpoint: str, user_id: str | None = None, merged_metrics: tuple[str, ...] = (), max_files: int = 1000,
+    pattern: str | None = METRIC_PATTERN, mode: str = "row", totals: HourTotals | None = None,
+):
+    """Drains the payload folder into the store. A batch reads and rewrites the metrics' days that it touches.
 
-    user_id stands for payloads without one. Rejected rows go to the store's folder `rejected`, and counts of rows
-    posted, rejected, inserted and replaced by metric to `batches`, both in a folder per stream and batch, so that a
-    repeated delivery writes them again alike. The stream is known by its checkpoint.
+    user_id stands for payloads without one; pattern is what metric types have to match (null: anything). Rejected rows go
+    to the store's folder `rejected`, and counts of rows posted, rejected, inserted and replaced by metric to `batches`, both
+    in a folder per stream and batch, so that a repeated delivery writes them again alike. The stream is known by its
+    checkpoint. With totals, every hour that a batch's device rows touch is totalled anew and put in whole.
     """
     stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
-    part = day_part(F.col("user_id"), F.col("started_at"))
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        if committed(s, store, stream, batch_id):
-            return
-        rows = checked(batch, user_id, merged_metrics, pattern).persist()
-        new = prepared(rows).persist()
-        try:
-            at = f"stream={stream}/batch={batch_id}"
-            bad = rows.where("reject_reason is not null")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        s, at = batch.sparkSession, f"stream={stream}/batch={batch_id}"
+
+        def made() -> tuple[DataFrame, DataFrame]:
+            # The checked batch is written once: what a lost executor held is read again, not parsed again.
+            checked(batch, user_id, merged_metrics, pattern, mode).write.mode("overwrite").parquet(f"{store}/checked/{stream}")
+            rows = s.read.parquet(f"{store}/checked/{stream}")
+            bad, new = rows.where("reject_reason is not null"), prepared(rows)
             bad.write.mode("overwrite").parquet(f"{store}/rejected/{at}")
-            touched = {r["part"] for r in new.select(part.alias("part")).distinct().collect()}
-            old = read_store(s, store, SAMPLES, touched)
+            if totals is not None:
+                own = (F.col("source_device") != MERGED_SOURCE) & F.col("metric_type").isin(*totals.metrics)
+                new.where(own).write.mode("overwrite").parquet(f"{store}/checked/{stream}-fresh")
+                merged = _totalled(s, store, s.read.schema(SAMPLES).parquet(f"{store}/checked/{stream}-fresh"), totals, stream, batch_id)
+                new = new.where(~own).unionByName(merged.select(*SAMPLE_COLUMNS))
+            touched = parted(new).select("metric_type", "day").distinct()
+            old = read_table(s, store, SAMPLES, touched)
             report = batch_log(new.select(*KEY).withColumn("reject_reason", F.lit(None).cast("string")).unionByName(bad.select(*KEY, "reject_reason")), old)
             report.coalesce(1).write.mode("overwrite").json(f"{store}/batches/{at}")
-            commit(s, store, applied(old, new), part, touched, stream, batch_id)
-        finally:
-            new.unpersist()
-            rows.unpersist()
+            return touched, applied(old, new).select(*SAMPLE_COLUMNS)
+
+        put(s, store, made, stream, batch_id)
 
     source = spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", max_files).json(payloads)
-    return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The samples of a store."""
+    return read_table(spark, store, SAMPLES)
 
 
 def rejected_rows(spark: SparkSession, store: str) -> DataFrame:
