@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidewell.operators import store
+from tidewell.schema import SAMPLES
 from tidewell.sources import tables
 from tidewell.streaming.ingest import HourTotals, batch_reports, ingest_stream, read_store, rejected_rows
 
@@ -65,3 +66,125 @@ def test_compaction_leaves_categories_workouts_and_merged_metrics(spark):
     none = spark.createDataFrame([], "user_id string, metric_type string, summary_date date, unit string, min_value double, max_value double, sum_value double, sample_count long")
     rest, done = store.compact(df, none, F.lit("2024-01-20").cast("timestamp"), F.lit("2024-01-31").cast("timestamp"))
     assert sorted(r.metric_type for r in rest.collect()) == sorted(kinds[:3]) and [r.metric_type for r in done.collect()] == kinds[3:]
+
+
+def test_interleaved_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """Stream A breaks off between staging and putting in; B finds its lock; A's retry and then B's put both rows in."""
+    import pytest
+
+    at = f"file://{tmp_path}/store"
+    row = lambda u, v: spark.createDataFrame([(u, "hr", v, "bpm", "w", "2024-01-05 01:00:00")], "user_id string, metric_type string, value double, unit string, source_device string, at string").selectExpr("user_id", "metric_type", "value", "unit", "source_device", "timestamp(at) AS started_at", "timestamp(null) AS ended_at", "string(null) AS metadata", "timestamp(at) AS synced_at")
+
+    def made(u, v):
+        new = row(u, v)
+        days = tables.parted(new)
+        return lambda: (days, store.upserted(tables.read_table(spark, at, SAMPLES, days), new))
+
+    assert tables.put(spark, at, made("0", 0.0), "Z", 0)
+    overwrite = tables._overwrite
+    monkeypatch.setattr(tables, "_overwrite", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        tables.put(spark, at, made("a", 1.0), "A", 0)
+    monkeypatch.setattr(tables, "_overwrite", overwrite)
+    with pytest.raises(RuntimeError, match="written by stream A"):
+        tables.put(spark, at, made("b", 2.0), "B", 0)
+    assert [r.user_id for r in read_store(spark, at).collect()] == ["0"]
+    assert tables.put(spark, at, lambda: pytest.fail("what is staged is not made again"), "A", 0)
+    assert tables.put(spark, at, made("b", 2.0), "B", 0) and not tables.put(spark, at, made("b", 9.0), "B", 0)
+    assert sorted((r.user_id, r.value) for r in read_store(spark, at).collect()) == [("0", 0.0), ("a", 1.0), ("b", 2.0)]
+    gone = row("0", 0.0)
+    assert tables.put(spark, at, lambda: (tables.parted(gone), gone.limit(0)), "Z", 1) and read_store(spark, at).count() == 0
+
+
+def test_a_session_without_the_setting_has_a_folder_of_its_own(spark):
+    class Bare:
+        sparkContext = type("C", (), {"master": "local[2]", "applicationId": "x"})
+        conf = type("F", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    a, b = tables.scratch(Bare, "t"), tables.scratch(Bare, "t")
+    assert a != b and a.rpartition("/")[0] == b.rpartition("/")[0] and a.startswith("file:///")
+    Bare.sparkContext.master = "spark://host:7077"
+    try:
+        tables.scratch(Bare, "t")
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def _units(spark):
+    return spark.createDataFrame([("g", "g", 1.0), ("kg", "g", 1000.0), ("count", "count", 1.0)], "unit string, canonical string, factor double")
+
+
+def _device(spark, data):
+    """(value, unit, source, start, minutes)"""
+    import datetime
+
+    rows = [("u", "m", v, unit, s, at, at + datetime.timedelta(minutes=n), None, at) for v, unit, s, at, n in data]
+    return spark.createDataFrame(rows, SAMPLES)
+
+
+def test_an_hour_has_one_unit_and_a_floor(spark):
+    import datetime
+
+    t = lambda h, m=0: datetime.datetime(2024, 1, 5, h, m)
+    rows = _device(spark, [(32.0, "g", "a", t(1), 5), (0.032, "kg", "b", t(1, 10), 5), (7.0, "count", "c", t(1, 20), 5), (5.0, "g", "a", t(2), 90)])
+    got = store.reemit_hours(rows, rows, _units(spark)).collect()
+    assert sorted((r.started_at.hour, r.value, r.unit, r.source_device == "c") for r in got) == [(1, 7.0, "count", True), (1, 64.0, "g", False), (2, 5.0, "g", False), (3, 0.0, "g", False)]
+    late = store.merged_hours(rows, rows, _units(spark), not_before=F.lit("2024-01-05 02:59:00").cast("timestamp")).collect()
+    assert sorted(r.started_at.hour for r in late) == [2, 3]
+
+
+def test_overlaps_go_before_the_sum_also_beyond_the_touched_hour(spark):
+    import datetime
+
+    t = lambda h, m=0: datetime.datetime(2024, 1, 5, h, m)
+    rows = _device(spark, [(1.0, "count", "phone", t(1, 50), 20), (2.0, "count", "watch", t(2, 5), 5), (4.0, "count", "phone", t(1, 5), 5), (8.0, "count", "watch", t(1, 30), 5)])
+    priority = F.when(F.col("source_device") == "watch", 0).otherwise(1)
+    batch = rows.where("value = 4.0")
+    assert [(r.started_at.hour, r.value) for r in store.merged_hours(rows, batch, _units(spark), priority=priority).collect()] == [(1, 12.0)]
+    assert [(r.started_at.hour, r.value) for r in store.merged_hours(rows, batch, _units(spark)).collect()] == [(1, 13.0)]
+
+
+def test_ingest_totals_whole_hours_again_for_late_and_repeated_rows(spark, tmp_path):
+    at, metric = f"file://{tmp_path}/store", "HKQuantityTypeIdentifierStepCount"
+    step = lambda minute, value, source="watch", minutes=5: {"metric_type": metric, "value": value, "unit": "count", "source_device": source, "started_at": f"2024-01-05T01:{minute:02}:00Z", "ended_at": f"2024-01-05T01:{minute + minutes:02}:00Z", "metadata": None}
+    totals = HourTotals((metric,), _units(spark), F.when(F.col("source_device") == "watch", 0).otherwise(1))
+    for i, batch in enumerate(([step(0, 10.0), step(10, 20.0), sample(1)], [step(20, 5.0)], [step(20, 5.0)], [step(12, 100.0, "phone"), step(40, 1.0, "phone")])):
+        post(tmp_path / "in", i, batch)
+        ingest_stream(spark, f"file://{tmp_path}/in", at, f"file://{tmp_path}/c", "u", totals=totals).awaitTermination()
+        got = {(r.metric_type, r.source_device, r.value) for r in read_store(spark, at).collect()}
+        want = (30.0, 35.0, 35.0, 36.0)[i]
+        assert got == {(metric, "merged hourly total", want), ("HKQuantityTypeIdentifierHeartRate", "w", 1.0)}
+    assert tables.read_table(spark, f"{at}/devices", SAMPLES).count() == 5
+
+
+def test_long_intervals_and_whole_payloads_are_rejected(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    post(tmp_path / "in", 0, [sample(1, ended_at="9999-01-01T00:00:00Z"), sample(2)], "u")
+    post(tmp_path / "in", 1, [sample(3)], "v")
+    ingest_stream(spark, f"file://{tmp_path}/in", at, f"file://{tmp_path}/c", mode="batch").awaitTermination()
+    assert [r.user_id for r in read_store(spark, at).collect()] == ["v"]
+    assert sorted(r.reject_reason for r in rejected_rows(spark, at).collect()) == ["batch rejected", "interval too long"]
+
+
+def test_running_totals_drop_repeats_inside_the_delay(spark, tmp_path):
+    import datetime
+
+    from tidewell.streaming.ingest import continuous_totals, latest_totals
+
+    def write(name, data):
+        _device(spark, [(v, "count", s, t, 1) for v, s, t in data]).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    t = lambda d, h, m=0: datetime.datetime(2024, 1, d, h, m)
+    write("a", [(1.0, "a", t(5, 1)), (2.0, "b", t(5, 1, 30))])
+    source = lambda: spark.readStream.schema(SAMPLES).parquet(f"{tmp_path}/in/*")
+
+    def run():
+        continuous_totals(spark, source(), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+        return {(r.started_at.day, r.started_at.hour): (r.value, r.rows) for r in latest_totals(spark, f"{tmp_path}/out").collect()}
+
+    assert run() == {(5, 1): (3.0, 2)}
+    write("b", [(1.0, "a", t(5, 1)), (4.0, "c", t(5, 1, 40)), (9.0, "d", t(12, 1))])
+    assert run() == {(5, 1): (7.0, 3), (12, 1): (9.0, 1)}
+    write("c", [(1.0, "a", t(5, 1)), (1.0, "e", t(12, 2))])  # older than the delay: too late to be counted
+    assert run() == {(5, 1): (7.0, 3), (12, 1): (9.0, 1), (12, 2): (1.0, 1)}

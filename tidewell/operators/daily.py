@@ -77,14 +77,27 @@ def metric_stats(points: DataFrame) -> DataFrame:
 
 
 def trend_halves(points: DataFrame, k: int = 7) -> DataFrame:
-    """Newest k daily points against the k before them; null delta with fewer than 2k points."""
+    """Newest k daily points against the k before them: each day's mean to one decimal, and the difference of the means of these, to one; null with fewer than 2k points.
+
+    recent and prior are those means to two decimals.
+    """
     w = Window.partitionBy("user_id", "metric_type").orderBy(F.col("date").desc(), "unit")
-    r = points.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 2 * k)
-    g = r.groupBy("user_id", "metric_type").agg(
-        F.count(F.lit(1)).alias("points"), rounded(F.avg(F.when(F.col("rn") <= k, F.col("avg_value"))), 2).alias("recent"), rounded(F.avg(F.when(F.col("rn") > k, F.col("avg_value"))), 2).alias("prior")
+    r = points.where("avg_value is not null").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 2 * k)
+    of = lambda when: F.avg(F.when(when, rounded("avg_value", 1)))
+    g = r.groupBy("user_id", "metric_type").agg(F.count(F.lit(1)).alias("points"), of(F.col("rn") <= k).alias("_recent"), of(F.col("rn") > k).alias("_prior"))
+    d = F.when(F.col("points") >= 2 * k, rounded(F.col("_recent") - F.col("_prior"), 1))
+    told = g.select("user_id", "metric_type", "points", rounded("_recent", 2).alias("recent"), rounded("_prior", 2).alias("prior"), d.alias("delta"))
+    return told.withColumn("trend", F.when(F.col("delta") > 0, "improving").when(F.col("delta") < 0, "declining").when(F.col("delta") == 0, "stable"))
+
+
+def trend_answer(points: DataFrame, since: Column | None = None, k: int = 7) -> DataFrame:
+    """The whole trend of every user's metric, of daily points of one unit from the day `since` on: days_with_data, avg (mean over samples), latest (newest day's mean, one decimal), unit, points by tier, delta and trend of trend_halves."""
+    here = points if since is None else points.where(F.col("date") >= since)
+    told = here.groupBy("user_id", "metric_type").agg(
+        F.count("avg_value").alias("days_with_data"), weighted_mean().alias("avg"), rounded(F.max_by("avg_value", F.when(F.col("avg_value").isNotNull(), F.col("date"))), 1).alias("latest"), F.min("unit").alias("unit"),
+        F.count_if(F.col("tier") == "summary").alias("summary_points"), F.count_if(F.col("tier") == "raw").alias("raw_points"),
     )
-    d = F.when(F.col("points") >= 2 * k, rounded(F.col("recent") - F.col("prior"), 1))
-    return g.withColumn("delta", d).withColumn("trend", F.when(d > 0, "improving").when(d < 0, "declining").when(d == 0, "stable"))
+    return told.join(trend_halves(here, k).select("user_id", "metric_type", "delta", "trend"), ["user_id", "metric_type"], "left")
 
 
 def checked_periods(periods: dict[str, tuple[str, str]]) -> dict[str, tuple[str, str]]:

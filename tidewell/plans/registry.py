@@ -216,14 +216,26 @@ def compare_periods(spark, sf_dir):
     return daily.compare_periods(_series(spark, sf_dir), {"a": ("2024-01-02", "2024-01-12"), "b": ("2024-01-13", "2024-01-23")})
 
 
-@query("""SELECT user_id, metric_type, points, recent, prior, CASE WHEN points >= 14 THEN round(recent - prior, 1) END AS delta,
-CASE WHEN points >= 14 THEN CASE WHEN round(recent - prior, 1) > 0 THEN 'improving' WHEN round(recent - prior, 1) < 0 THEN 'declining' ELSE 'stable' END END AS trend
-FROM (SELECT user_id, metric_type, count(*) AS points, round(avg(avg_value) FILTER (rn <= 7), 2) AS recent, round(avg(avg_value) FILTER (rn > 7), 2) AS prior
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY date DESC, unit) AS rn FROM series) WHERE rn <= 14 GROUP BY ALL)""")
+#: A day counts with its mean of one decimal; the difference is that of the unrounded means of the days.
+_HALVES = """(SELECT *, CASE WHEN delta > 0 THEN 'improving' WHEN delta < 0 THEN 'declining' WHEN delta = 0 THEN 'stable' END AS trend FROM
+(SELECT user_id, metric_type, points, round(r, 2) AS recent, round(p, 2) AS prior, CASE WHEN points >= 14 THEN round(r - p, 1) END AS delta FROM
+(SELECT user_id, metric_type, count(*) AS points, avg(day) FILTER (rn <= 7) AS r, avg(day) FILTER (rn > 7) AS p FROM
+(SELECT *, round(avg_value, 1) AS day, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY date DESC, unit) AS rn FROM series WHERE date >= DATE '{}') WHERE rn <= 14 GROUP BY ALL)))"""
+
+
+@query("SELECT * FROM " + _HALVES.format("1900-01-01"))
 def trend_7v7(spark, sf_dir):
     return daily.trend_halves(_series(spark, sf_dir))
 
 
+@query(f"""SELECT user_id, metric_type, days_with_data, avg, latest, unit, summary_points, raw_points, delta, trend FROM (SELECT user_id, metric_type, count(*) AS days_with_data, round(sum(sum_value) / nullif(sum(sample_count), 0), 2) AS avg,
+round(arg_max(avg_value, date), 1) AS latest, any_value(unit) AS unit, count(*) FILTER (tier = 'summary') AS summary_points, count(*) FILTER (tier = 'raw') AS raw_points FROM series WHERE date >= DATE '2024-01-06' GROUP BY ALL)
+LEFT JOIN {_HALVES.format("2024-01-06")} USING (user_id, metric_type)""")
+def metric_trend(spark, sf_dir):
+    """The trend of every metric as one answer."""
+    return daily.trend_answer(_series(spark, sf_dir), F.lit("2024-01-06").cast("date"))
+
+
 @query("SELECT * FROM nights")
 def sleep_nights(spark, sf_dir):
     return sleep.sleep_nights(_sleep(spark, sf_dir), TZ)

@@ -114,5 +114,16 @@ def hourly_counts_stream(events: DataFrame, delay: str = "2 days") -> DataFrame:
     return seen.groupBy("user_id", "metric_type", F.window("started_at", "1 hour").alias("hour")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("rows"))
 
 
-def continuous_totals(spark: SparkSession, samples: DataFrame, name: str, checkpoint: str):
-    return hourly_counts_stream(samples).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def continuous_totals(spark: SparkSession, samples: DataFrame, out: str, checkpoint: str):
+    """Drains a sample stream into `out`: each batch's changed hours, in a folder per batch, which a repeated batch writes again alike."""
+
+    def put_hours(hours: DataFrame, batch_id: int) -> None:
+        hours.select("user_id", "metric_type", F.col("hour.start").alias("started_at"), "value", "rows").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return hourly_counts_stream(samples).writeStream.outputMode("update").foreachBatch(put_hours).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_totals(spark: SparkSession, out: str) -> DataFrame:
+    """The newest total of each hour that continuous_totals has put out."""
+    hours = spark.read.schema("user_id string, metric_type string, started_at timestamp, value double, rows long, batch long").parquet(out)
+    return hours.groupBy("user_id", "metric_type", "started_at").agg(F.max_by(F.struct("value", "rows"), "batch").alias("s")).select("user_id", "metric_type", "started_at", "s.value", "s.rows")
