@@ -72,6 +72,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Gives this process's free memory back to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, whose worker gives its free memory back when a task has ended: workers live on, beside those of later operators."""
 
@@ -79,11 +88,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         try:
             yield from run(batches)
         finally:
-            import pyarrow as pa
-
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # glibc only
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return whole
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import col, packed, released, slices, stored
+from .shared import col, give_back, packed, released, slices, stored
 
 #: (category, condition on the label table), in the order of the chain.
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_prose", "toxic = 1 and quality = 1"))
@@ -298,5 +298,7 @@ def scored(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic", **more) -> DataFrame:
     """The documents that the chain does not put into `category`, with their columns as they were."""
-    out = scored(docs, trained(docs, labels, **more))
+    model = trained(docs, labels, **more)
+    give_back()  # the driver has held the sample's features
+    out = scored(docs, model)
     return out.where(~F.col(f"is_{category}")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
