@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from . import analyses, answers, periods, registry, reports, upkeep  # noqa: F401
+from . import analyses, answers, periods, registry, reports, tiers, upkeep  # noqa: F401
