@@ -214,6 +214,8 @@ def _bitmap(counted: DataFrame, least: int) -> np.ndarray:
 def frequent(chunks: DataFrame, least: int = 100) -> DataFrame:
     """lang, words, phrase, f: phrases of 1 to MOST words that occur `least` times or more, with their exact counts."""
     spark, filters = chunks.sparkSession, []
+    # Each task passes on its own count of every frequent phrase: long tasks, two a core, pass on fewer.
+    chunks = chunks.coalesce(2 * spark.sparkContext.defaultParallelism)
     for n in range(1, LEVELS + 1):
         known = spark.sparkContext.broadcast(list(filters))
         filters.append(_bitmap(chunks.mapInArrow(_hash_counts(n, known), "h long, f long"), least))
