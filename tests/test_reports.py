@@ -134,4 +134,4 @@ def test_store_and_batch_cover_the_whole_table(spark):
 
     s = plans.registry.samples_of(spark, "/root/testdata/sf0.001")
     assert s.where(f"not (({analyses._STORED}) or event_id % 3 = 0)").count() == 0
-    assert plans.registry.QUERIES["upsert_samples_all"](spark, "/root/testdata/sf0.001").count() == s.count()
+    assert plans.registry.QUERIES["upsert_samples"](spark, "/root/testdata/sf0.001").count() == s.count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import daily, store
 from ..sources.samples import scan_summaries as scan
 from ..sources.tables import scratch
@@ -74,3 +75,20 @@ def reemitted_hours(spark, sf_dir):
     s = samples_of(spark, sf_dir)
     batch = s.where("metric_type = 'steps' and user_id % 3 = 0 and event_id % 2 = 0")
     return _row(store.reemit_hours(s.drop("event_id"), batch.drop("event_id"), units_of(spark)))
+
+
+@query(f""", kept AS (SELECT * FROM samples s WHERE NOT EXISTS (SELECT 1 FROM samples b WHERE b.user_id = s.user_id AND b.metric_type = s.metric_type AND b.event_id % 4 < s.event_id % 4 AND b.started_at < s.ended_at AND s.started_at < b.ended_at)),
+touched AS (SELECT DISTINCT user_id, metric_type, unnest(generate_series(date_trunc('hour', started_at), date_trunc('hour', ended_at - INTERVAL 1 MICROSECOND), INTERVAL 1 HOUR)) AS hour FROM samples)
+SELECT t.user_id::VARCHAR AS user_id, t.metric_type, (epoch_us(t.hour) // 1000000) AS start_epoch, round(coalesce(sum(CASE unit WHEN 'kg' THEN 1000 * value ELSE value END), 0), 4) AS value, count(event_id) AS device_rows
+FROM touched t LEFT JOIN kept k ON k.user_id = t.user_id AND k.metric_type = t.metric_type AND date_trunc('hour', k.started_at) = t.hour GROUP BY ALL""")
+def live_hours(spark, sf_dir):
+    """The events as a stream of files in three batches, in no order of time, into stateful hour totals."""
+    from ..streaming.hours import live_hours as run
+    from ..streaming.hours import newest_hours
+
+    at, out, s = scratch(spark, "feed"), scratch(spark, "totals"), samples_of(spark, sf_dir)
+    rows = s.withColumns({"user_id": F.col("user_id").cast("string"), "source_device": F.concat_ws(" ", "source_device", F.col("event_id").cast("string"))})
+    rows.withColumn("part", F.pmod(F.hash("event_id"), F.lit(3))).drop("event_id").repartition("part").write.partitionBy("part").parquet(at)
+    rank = F.element_at(F.array(*[F.lit(i) for i in range(4)]), F.array_position(F.array(*map(F.lit, ("Oura Ring", "Apple Watch", "iPhone", "Polar"))), F.regexp_replace("source_device", r" \d+$", "")).cast("int"))
+    run(spark, f"{at}/*", out, scratch(spark, "offsets"), units_of(spark), rank, reach=2, keep=None, max_files=1).awaitTermination()
+    return newest_hours(spark, out).select("user_id", "metric_type", F.unix_timestamp("started_at").alias("start_epoch"), rounded("value", 4).alias("value"), "device_rows")

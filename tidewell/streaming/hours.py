@@ -1,9 +1,9 @@
-"""Whole-hour totals of a sample stream with state: each hour keeps the device rows that matter to it.
+"""Whole-hour totals of a sample stream with state: each UTC day keeps the device rows that matter to its hours.
 
-The state is keyed by user, metric and UTC hour. A row goes to the hours it touches and to those of up to `reach` hours
-before, whose rows it may overlap; no row lasts longer than that. A new, late or repeated row puts itself into the state of
-its hours, and each hour that it touches, or whose total it changes, comes out once a batch as a whole: a total replaces the
-one before. By event time, rows that come more than `keep` days after the newest one are too late and dropped, and an hour's
+The state is keyed by user, metric and UTC day. A row goes to the days it touches and to that of `reach` hours before its
+start, whose rows it may overlap; no row lasts longer than that. A new, late or repeated row puts itself into the state of
+its days, and each hour that it touches, or whose total it changes, comes out once a batch as a whole: a total replaces the
+one before. By event time, rows that come more than `keep` days after the newest one are too late and dropped, and a day's
 state ends when no row in time can matter to it any more.
 """
 
@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.time import touched_hours
 from ..operators.store import in_one_unit
 from ..schema import MERGED_SOURCE, SAMPLES
 
@@ -36,65 +35,78 @@ def _overlapped(start: np.ndarray, end: np.ndarray, level: np.ndarray) -> np.nda
     return out
 
 
-_STATE = "source array<string>, start array<long>, end array<long>, amount array<double>, canon array<string>, level array<int>, value double, unit string, device_rows long"
+_STATE = "source array<string>, start array<long>, end array<long>, amount array<double>, canon array<string>, level array<int>, hour array<long>, value array<double>, unit array<string>, n array<long>"
 
 
-def _hour_total(reach: int | None):
+def _day_totals(reach: int | None):
     def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """The state of an hour is its device rows, by source and start, and the total that came out last."""
-        user, metric, hour = key[0], key[1], int(key[2])
+        """The state of a day: its device rows by source and start, and the totals that came out last, by hour."""
+        user, metric, day = key[0], key[1], int(key[2])
         if state.hasTimedOut:
             state.remove()
             return
-        *columns, value, unit, n = state.get if state.exists else ([], [], [], [], [], [], None, None, None)
-        held, before, touched = {(s, b): rest for s, b, *rest in zip(*columns)}, (value, unit, n), False
+        old = state.get if state.exists else ([],) * 10
+        held = {(s, b): rest for s, b, *rest in zip(*old[:6])}
+        before = {h: tuple(rest) for h, *rest in zip(*old[6:])}
+        fresh = []
         for part in parts:
-            for source, start, end, amount, canon, level, touches in part[["source_device", "start", "end", "amount", "canon", "level", "touches"]].itertuples(index=False):
-                held[source, int(start)] = [int(end), None if pd.isna(amount) else float(amount), canon, int(level)]
-                touched |= bool(touches)
+            for source, start, end, amount, canon, level in zip(*(part[c].tolist() for c in ("source_device", "start", "end", "amount", "canon", "level"))):
+                held[source, start] = [end, None if amount is None or amount != amount else amount, canon, level]
+                fresh.append((start, end))
         rows = [(*k, *v) for k, v in held.items()]
         start, end, level = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 5))
-        own = (start >= hour) & (start < hour + _HOUR) & ~_overlapped(start, end, level)
-        sums: dict[str, list] = {}
-        for i in np.flatnonzero(own).tolist():
-            s = sums.setdefault(rows[i][4], [0, 0.0])
-            s[0] += 1
-            s[1] += rows[i][3] or 0.0
-        best = min(sums, key=lambda u: (-sums[u][0], u)) if sums else min(r[4] for r in rows)
-        now = (float(sums[best][1]), best, sums[best][0]) if sums else (0.0, best, 0)
-        reached = bool(((start < hour + _HOUR) & ((end > hour) | ((end == start) & (start >= hour)))).any())
-        out = touched or (reached and now != before)
-        state.update((*[list(c) for c in zip(*rows)], *(now if out else before)))
+        over, inside = _overlapped(start, end, level), (day, day + 24 * _HOUR)
+        hours_of = lambda a, b: range(max(a // _HOUR * _HOUR, day), min(max(b - 1, a) // _HOUR * _HOUR, inside[1] - _HOUR) + 1, _HOUR)
+        sums: dict[int, dict[str, list]] = {}
+        units: dict[int, set] = {}
+        for i, row in enumerate(rows):
+            for h in hours_of(row[1], row[2]):
+                units.setdefault(h, set()).add(row[4])
+            h = row[1] // _HOUR * _HOUR
+            if inside[0] <= h < inside[1] and not over[i]:
+                x = sums.setdefault(h, {}).setdefault(row[4], [0, 0.0])
+                x[0] += 1
+                x[1] += row[3] or 0.0
+        now = {}
+        for h, kinds in units.items():
+            own = sums.get(h)
+            best = min(own, key=lambda u: (-own[u][0], u)) if own else min(kinds)
+            now[h] = (float(own[best][1]), best, own[best][0]) if own else (0.0, best, 0)
+        touched = {h for a, b in fresh for h in hours_of(a, b)}
+        out = sorted(h for h in now if h in touched or now[h] != before.get(h))
+        last = sorted((h, *t) for h, t in now.items())
+        state.update((*[list(c) for c in zip(*rows)], *([list(c) for c in zip(*last)] or [[], [], [], []])))
         if reach is not None:
-            state.setTimeoutTimestamp((hour + (1 + reach) * _HOUR) // 1000)
+            state.setTimeoutTimestamp((day + (25 + reach) * _HOUR) // 1000)
         if out:
-            yield pd.DataFrame({"user_id": [user], "metric_type": [metric], "started_at": [pd.Timestamp(hour, unit="us")], "value": [now[0]], "unit": [now[1]], "device_rows": [now[2]]})
+            yield pd.DataFrame({"user_id": [user] * len(out), "metric_type": [metric] * len(out), "started_at": pd.to_datetime(out, unit="us"), "value": [now[h][0] for h in out], "unit": [now[h][1] for h in out], "device_rows": [now[h][2] for h in out]})
 
     return update
 
 
 def routed(samples: DataFrame, units: DataFrame, priority: Column, reach: int) -> DataFrame:
-    """A row for every sample and hour whose state it belongs to. A sample that lasts longer than `reach` hours is an error."""
-    end = F.coalesce("ended_at", "started_at")
-    rows = in_one_unit(samples.where(F.col("source_device") != MERGED_SOURCE), units).withColumns({"_end": F.greatest(end, F.col("started_at")), "level": priority.cast("int")})
+    """A row for every sample and day whose state it belongs to. A sample that lasts longer than `reach` hours (24 at most) is an error."""
+    end = F.greatest(F.coalesce("ended_at", "started_at"), F.col("started_at"))
+    rows = in_one_unit(samples.where(F.col("source_device") != MERGED_SOURCE), units).withColumns({"_end": end, "level": priority.cast("int")})
     fits = F.col("_end") <= F.col("started_at") + F.expr(f"INTERVAL {reach} HOURS")
-    hours = F.concat(F.reverse(F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda i: F.timestamp_add("HOUR", -i, F.date_trunc("hour", "started_at")))), touched_hours(F.col("started_at"), F.col("_end")))
-    hour = F.explode(F.when(fits, hours).otherwise(F.array(F.raise_error(F.lit("a sample lasts longer than the reach")).cast("timestamp"))))
-    out = rows.select("user_id", "metric_type", hour.alias("_hour"), "source_device", F.col("started_at").alias("event"), F.unix_micros("started_at").alias("start"), F.unix_micros("_end").alias("end"), "amount", "canon", "level")
-    return out.select("user_id", "metric_type", F.unix_micros("_hour").alias("hour"), "source_device", "event", "start", "end", "amount", "canon", "level", (F.unix_micros("_hour") + _HOUR > F.col("start")).alias("touches"))
+    first = F.to_date(F.timestamp_add("HOUR", F.lit(-reach), F.date_trunc("hour", "started_at")))
+    last = F.to_date(F.greatest(F.col("_end") - F.expr("INTERVAL 1 MICROSECOND"), F.col("started_at")))
+    day = F.explode(F.when(fits, F.sequence(first, last)).otherwise(F.array(F.raise_error(F.lit("a sample lasts longer than the reach")).cast("date"))))
+    out = rows.select("user_id", "metric_type", day.alias("_day"), "source_device", F.col("started_at").alias("event"), F.unix_micros("started_at").alias("start"), F.unix_micros("_end").alias("end"), "amount", "canon", "level")
+    return out.select("user_id", "metric_type", F.unix_micros(F.col("_day").cast("timestamp")).alias("day"), "source_device", "event", "start", "end", "amount", "canon", "level")
 
 
 def live_hours(spark: SparkSession, samples: str, out: str, checkpoint: str, units: DataFrame, priority: Column, reach: int = 24, keep: int | None = 30, max_files: int = 1000):
     """Drains Parquet files of samples (schema SAMPLES) into hour totals: each batch's hours go to a folder per batch of `out`.
 
-    units: unit, canonical, factor. priority: as in drop_overlaps. reach: hours; keep: days that a row may be late
+    units: unit, canonical, factor. priority: as in drop_overlaps. reach: hours, 24 at most; keep: days that a row may be late
     (null: any, and state never ends). A restart goes on from the checkpoint; a batch that comes again is written again alike.
     """
     rows = routed(spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", max_files).parquet(samples), units, priority, reach)
     if keep is not None:
         rows = rows.withWatermark("event", f"{keep} days")
     timeout = GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.EventTimeTimeout
-    totals = rows.groupBy("user_id", "metric_type", "hour").applyInPandasWithState(_hour_total(None if keep is None else reach), TOTALS, _STATE, "Update", timeout)
+    totals = rows.groupBy("user_id", "metric_type", "day").applyInPandasWithState(_day_totals(None if keep is None else reach), TOTALS, _STATE, "Update", timeout)
 
     def put_hours(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
