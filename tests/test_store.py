@@ -158,6 +158,51 @@ def test_ingest_totals_whole_hours_again_for_late_and_repeated_rows(spark, tmp_p
     assert tables.read_table(spark, f"{at}/devices", SAMPLES).count() == 5
 
 
+def test_erased_users_are_in_no_file_and_other_files_stay(spark, tmp_path):
+    from tidewell.operators.erasure import erase_stored, still_stored
+
+    at, metric = f"file://{tmp_path}/store", "HKQuantityTypeIdentifierStepCount"
+    step = lambda day: {"metric_type": metric, "value": 1.0, "unit": "count", "source_device": "w", "started_at": f"2024-01-{day:02}T01:00:00Z", "ended_at": f"2024-01-{day:02}T01:05:00Z", "metadata": None}
+    totals = HourTotals((metric,), _units(spark))
+    for i, (user, rows) in enumerate((("gone", [step(5), sample(1), sample(2, ended_at="soon")]), ("stays", [step(5), step(6), sample(1, started_at="2024-01-07T01:00:00Z"), sample(3, ended_at="soon")]))):
+        post(tmp_path / "in", i, rows, user)
+        ingest_stream(spark, f"file://{tmp_path}/in", at, f"file://{tmp_path}/c", totals=totals).awaitTermination()
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    before, asked = files(), spark.createDataFrame([("gone",), ("nobody",)], "user_id string")
+    assert {(r.table, r.rows) for r in still_stored(spark, at, asked).collect()} == {("samples", 2), ("devices", 1), ("rejected", 1)}
+    erase_stored(spark, at, asked, "r1")
+    erase_stored(spark, at, asked, "r1")
+    after = files()
+    assert still_stored(spark, at, asked).isEmpty() and all(b"gone" not in p.read_bytes() for p in after)
+    same = [p for p in before if "day=2024-01-06" in str(p) or "day=2024-01-07" in str(p)]
+    assert len(same) == 3 and all(after.get(p) == before[p] for p in same)
+    assert sorted((r.user_id, r.started_at.day, r.source_device) for r in read_store(spark, at).collect()) == [("stays", 5, "merged hourly total"), ("stays", 6, "merged hourly total"), ("stays", 7, "w")]
+    assert [r.user_id for r in rejected_rows(spark, at).collect()] == ["stays"]
+
+
+def test_scans_are_pruned_to_touched_partitions(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    post(tmp_path / "in", 0, [sample(1, started_at=f"2024-01-{d:02}T01:00:00Z") for d in range(1, 9)], "u")
+    ingest_stream(spark, f"file://{tmp_path}/in", at, f"file://{tmp_path}/c").awaitTermination()
+    days = tables.parted(read_store(spark, at)).where("day = '2024-01-03'").select("metric_type", "day")
+    some = tables.read_table(spark, at, SAMPLES, days)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    wanted = [line for line in plan.splitlines() if "FileScan" in line and "PartitionFilters: [" in line and "day#" in line.split("PartitionFilters: [")[1].split("]")[0]]
+    assert wanted and some.count() == 1
+
+
+def test_summaries_are_scanned_by_metric_and_days(spark, tmp_path):
+    import datetime
+
+    from tidewell.sources.samples import scan_summaries
+
+    rows = [("u", m, datetime.date(2024, 1, d), "x", 1.0, 1.0, 1.0, 1.0, 1) for m in ("a", "b") for d in range(1, 9)]
+    spark.createDataFrame(rows, "user_id string, metric_type string, date date, unit string, avg_value double, min_value double, max_value double, sum_value double, sample_count long").write.parquet(f"{tmp_path}/s")
+    got = scan_summaries(spark, f"file://{tmp_path}/s", "a", F.lit("2024-01-03").cast("date"), F.lit("2024-01-05").cast("date"))
+    assert sorted((r.metric_type, r.summary_date.day) for r in got.collect()) == [("a", 3), ("a", 4), ("a", 5)]
+    assert "GreaterThanOrEqual(date" in got._jdf.queryExecution().toString() and scan_summaries(spark, f"file://{tmp_path}/s").count() == 16
+
+
 def test_long_intervals_and_whole_payloads_are_rejected(spark, tmp_path):
     at = f"file://{tmp_path}/store"
     post(tmp_path / "in", 0, [sample(1, ended_at="9999-01-01T00:00:00Z"), sample(2)], "u")

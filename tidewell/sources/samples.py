@@ -78,10 +78,16 @@ def scan_samples(samples: DataFrame, metric: str | None = None, since=None, unti
     return out if users is None else out.join(users.select("user_id"), "user_id", "left_semi")
 
 
-def scan_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """The summary tier; the older column name `date` is read as summary_date."""
+def scan_summaries(spark: SparkSession, path: str, metric: str | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """The summary tier of a metric and of days from since to until (inclusive), or all; the older column name `date` is read as summary_date. The filters reach the scan."""
     df = spark.read.parquet(path)
     df = df.withColumnRenamed("date", "summary_date") if "summary_date" not in df.columns else df
+    if metric is not None:
+        df = df.where(F.col("metric_type") == metric)
+    if since is not None:
+        df = df.where(F.col("summary_date") >= since)
+    if until is not None:
+        df = df.where(F.col("summary_date") <= until)
     return df.select(*[c for c in SUMMARY_COLUMNS if c in df.columns])
 
 

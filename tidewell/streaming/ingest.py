@@ -12,7 +12,7 @@ from ..operators.store import dedupe_latest, merged_hours, replace_merged_hours,
 from ..operators.upkeep import batch_log
 from ..schema import KEY, MAX_INTERVAL_DAYS, MERGED_SOURCE, METRIC_PATTERN, PAYLOAD, SAMPLE_COLUMNS, SAMPLES
 from ..sources.samples import from_payloads
-from ..sources.tables import parted, put, read_table
+from ..sources.tables import parted, put, read_table, remove
 
 
 @dataclass(frozen=True)
@@ -88,6 +88,8 @@ def ingest_stream(
             return touched, applied(old, new).select(*SAMPLE_COLUMNS)
 
         put(s, store, made, stream, batch_id)
+        for folder in (f"{store}/checked/{stream}", f"{store}/checked/{stream}-fresh"):
+            remove(s, folder)
 
     source = spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", max_files).json(payloads)
     return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
