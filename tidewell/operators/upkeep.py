@@ -55,7 +55,7 @@ def backfill_status(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def essentials(samples: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows of metrics that the catalog (metric_type, is_essential) marks as essential."""
-    return samples.join(F.broadcast(catalog.where("is_essential").select("metric_type")), "metric_type", "left_semi")  # one row per metric
+    return samples.join(catalog.where("is_essential").select("metric_type"), "metric_type", "left_semi")
 
 
 def compaction_plan(samples: DataFrame, cutoff: Column, merged_metrics: tuple[str, ...], kept_apart: tuple[str, ...] = ()) -> DataFrame:

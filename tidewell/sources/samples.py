@@ -93,7 +93,7 @@ def scan_summaries(spark: SparkSession, path: str, metric: str | None = None, si
 
 def normalise_units(samples: DataFrame, units: DataFrame) -> DataFrame:
     """units: unit, canonical, factor. Values in canonical units; unknown units are marked unsupported and left as they are."""
-    out = samples.join(F.broadcast(units), "unit", "left")  # one row per known unit
+    out = samples.join(units, "unit", "left")
     return out.withColumns({"value": F.col("value") * F.coalesce("factor", F.lit(1.0)), "unsupported": F.col("canonical").isNull(), "unit": F.coalesce("canonical", "unit")}).drop("canonical", "factor")
 
 
