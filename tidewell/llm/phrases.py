@@ -28,7 +28,7 @@ from .shared import col, released, salted, slices, stored
 
 MOST, WINDOW, PERIOD, LEVELS, HASH, BITS = 5, 4, 64, 3, 40, 26
 #: Most counts that a task holds before it passes them on.
-HELD = 2_000_000
+HELD = 1_000_000
 _U = np.uint64
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
