@@ -185,7 +185,7 @@ class _Block:
         return r
 
     def links(self, node: int, root: int, x: np.ndarray, similarity: float) -> list[int]:
-        """Nodes of the block similar to x, as far as they connect what is not connected yet."""
+        """Roots of the block's nodes similar to x, as far as they connect what is not connected yet."""
         low, high = np.searchsorted(self.kmers, x, "left"), np.searchsorted(self.kmers, x, "right")
         n = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -195,7 +195,7 @@ class _Block:
             a, b = self._root(self.roots[i]), self._root(root)
             if a != b and self.nodes[i] != node and 1 - distance(self.found[i], x, similarity) >= similarity - 1e-12:
                 self.joined[max(a, b)] = min(a, b)
-                out.append(self.nodes[i])
+                out.append(self.roots[i])
         return out
 
 
@@ -223,14 +223,14 @@ def _compare(similarity: float):
                         block = block or _Block(*held)
                         for u in block.links(node, root, x, similarity):
                             us.append(u)
-                            vs.append(node)
+                            vs.append(root)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.decimal128(38, 0)), pa.array(vs, pa.decimal128(38, 0))], names=["u", "v"])
 
     return run
 
 
 def compared(heads: DataFrame, asked: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between the nodes of `heads` and of `asked` that have the same block; both: block, node, root.
+    """Links (u, v) between the roots of nodes of `heads` and of `asked` that have the same block; both: block, node, root.
 
     A block is a grid: its heads are dealt into parts of CHUNK nodes or HELD characters or so, its asked nodes into lots
     of as many as there are heads in a part, LOT at least; each part meets each lot in one group. Only blocks of several parts or lots are in `grid`, and they get
@@ -301,11 +301,10 @@ def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     mains = loose.select(F.col("block").alias("root")).distinct()
     rooted = root.withColumn("salt", salted(F.col("node")))
     shares = rooted.groupBy("root").agg(salts_seen(F.col("salt")).alias("salts")).join(mains, "root").select("root", each_salt(F.col("salts")).alias("salt"))
-    members = rooted.join(shares, ["root", "salt"]).select("root", "node").unionByName(mains.select("root", F.col("root").alias("node"))).distinct()
+    members = stored(rooted.join(shares, ["root", "salt"]).select("root", "node").unionByName(mains.select("root", F.col("root").alias("node"))).distinct(), "members")
     more = compared(members.select(F.col("root").alias("block"), "node", "root"), loose, texts, similarity)
     if not more.isEmpty():
-        links = links.unionByName(more)
-        root = components(links)
+        root = components(_links(root).unionByName(more))
     now = loose.select("block", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main_now = mains.select(F.col("root").alias("block")).join(root.select(F.col("node").alias("block"), F.col("root").alias("main")), "block", "left")
     shares = now.withColumn("salt", salted(F.col("node"))).groupBy("block").agg(salts_seen(F.col("salt")).alias("salts"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -314,7 +313,7 @@ def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     now = stored(now.withColumn("salt", salted(F.col("node"))).join(told, ["block", "salt"]).where("several").select("block", "node", "root", "main"), "loose")
     last = compared(now.select("block", "node", "root"), now.where("root <> main").select("block", "node", "root"), texts, similarity)
     if not last.isEmpty():
-        root = components(links.unionByName(last))
+        root = components(_links(root).unionByName(last))
 
     placed = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("share", salted(F.col("node")))
     classes = placed.groupBy("root").agg(F.min("first").alias("best"), F.sum("size").alias("class_size"), salts_seen(F.col("share")).alias("shares"))
@@ -323,6 +322,11 @@ def noded_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     return seen.select("doc_id", "row_id", "node", "salt").join(told, ["node", "salt"]).select("doc_id", "node", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"))
 
 
+def _links(root: DataFrame) -> DataFrame:
+    """The components found so far as links, a star each."""
+    return root.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only texts that belong to their node: an id may be repeated with another text."""
     for b in batches:
