@@ -258,6 +258,25 @@ def test_toxicity_on_unseen_documents(spark):
     assert toxicity.drop_toxic(d.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_is_trained_without_features_at_the_driver(spark, monkeypatch):
+    texts = [(i, prose(i) + (" vile rotten" if i % 4 == 0 else "")) for i in range(300)]
+    d = docs(spark, texts).repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    sent, chosen, to_pandas, telling = [], [], type(d).toPandas, toxicity.telling
+    monkeypatch.setattr(type(d), "toPandas", lambda self: sent.append(set(self.columns)) or to_pandas(self))
+    monkeypatch.setattr(toxicity, "telling", lambda *a: chosen.extend(telling(*a)) or chosen)
+    got = toxicity.trained(d, labels)
+    assert sent and not {"kinds", "values", "text"} & set().union(*sent)
+    # The same chain as from rows at hand.
+    folds = dict(d.selectExpr("doc_id", "pmod(xxhash64(doc_id, 1), 4)").collect())
+    counter = toxicity.Counter()
+    found = [counter.count(t) for _, t in texts]
+    marks = np.array([[i % 3 == 0, i % 4 == 0, i % 4 == 0 and i % 3 > 0] for i, _ in texts], float)
+    right = toxicity.fit_chain([f[0] for f in found], [f[1].astype(np.float32).astype(float) for f in found], np.array([f[2] for f in found]), marks, got.names, chosen, np.array([folds[i] for i, _ in texts]))
+    assert np.array_equal(got.wanted, right.wanted) and np.allclose(got.thresholds, right.thresholds)
+    assert all(np.allclose(a, b) and len(a) == len(b) for a, b in zip(got.weights, right.weights, strict=True))
+
+
 def test_pipeline_without_data(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     for t in ("documents", "labels"):

@@ -8,8 +8,8 @@ Features: whole lower-case words and word beginnings of 4 to 6 letters, hashed,
 `keep` most telling ones per category are used; and the logarithm of the number of words.
 
 The models are fitted on at most `sample` labelled documents, those of the smallest hash of their id (a
-documented bound), a category's fold models and its whole model each in a Spark task of their own; every document is
-scored, on its whole text, in Arrow batches.
+documented bound), a category's fold models and its whole model each in a Spark task of their own, to which the
+sample's features are shuffled: they don't pass the driver; every document is scored, on its whole text, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -152,66 +152,75 @@ class Chain:
         return np.column_stack(out) if out else np.zeros((len(words), 0))
 
 
-def in_turn(fit_one, models: int) -> list:
-    """Fits a category's models one after the other."""
-    return [fit_one(g) for g in range(models)]
-
-
-def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarray, labels: np.ndarray, names, chosen: list[np.ndarray], fold: np.ndarray, penalty: float = 1.0, fit_all=in_turn) -> Chain:
-    """kinds: features of each row; labels: a 0/1 column for each category; chosen: the features of each fold's models,
-    then those of the whole models; fold: the fold of each row. fit_all(function, n) gives the function's values for
-    0 to n - 1. A category with one kind of label only gets a constant model."""
-    wanted, folds = np.unique(np.concatenate(chosen)), len(chosen) - 1
+def fit_one(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarray, y: np.ndarray, fold: np.ndarray, earlier: list[np.ndarray], wanted: np.ndarray, allowed: np.ndarray, g: int, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, probabilities of the fold's own rows) of the model that leaves fold g out; of the whole model where no
+    row has fold g. allowed: which of the wanted features it may use; earlier: probabilities of the earlier categories."""
     kinds, values = _only(wanted, kinds, values)
     at = np.repeat(np.arange(len(kinds)), [len(k) for k in kinds])
     feature = np.searchsorted(wanted, np.concatenate([np.zeros(0, np.int64), *kinds]))
-    rows = Rows(at, feature, np.concatenate([np.zeros(0), *values]), np.column_stack([np.ones(len(words)), words - 5]), len(wanted))
+    rows = Rows(at, feature, np.concatenate([np.zeros(0), *values]), np.column_stack([np.ones(len(words)), words - 5, *earlier]), len(wanted))
     # Common features would set the step for all: each is brought to a like size for the fit.
     scale = 1 / np.sqrt(np.bincount(rows.feature, rows.value**2, rows.width) / max(len(words), 1) + 0.01)
-    rows.value = rows.value * scale[rows.feature]
-    allowed = [np.isin(wanted, c) for c in chosen]
-    weights, thresholds = [], []
+    on = allowed[rows.feature]
+    usable = Rows(rows.at[on], rows.feature[on], (rows.value * scale[rows.feature])[on], rows.dense, rows.width)
+    mine, usable = usable.some(np.flatnonzero(fold == g)), usable.some(rest := np.flatnonzero(fold != g))
+    w = fit(usable, y[rest], penalty)
+    p = sigmoid(mine.times(w))
+    w[: len(wanted)] *= scale
+    return w, p
+
+
+def chained(names, wanted: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int, fit_all) -> Chain:
+    """The categories in turn. fit_all(c, y, earlier) gives fit_one's results for the folds and at last for the whole
+    model. A category with one kind of label only gets a constant model."""
+    weights, thresholds, earlier = [], [], []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
         if not len(y) or y.min() == y.max():
-            w = np.zeros(rows.width + rows.dense.shape[1])
-            w[rows.width] = 8.0 if len(y) and y[0] == 1 else -8.0
+            w = np.zeros(len(wanted) + 2 + len(earlier))
+            w[len(wanted)] = 8.0 if len(y) and y[0] == 1 else -8.0
             weights.append(w)
             thresholds.append(0.5)
-            rows = rows.plus(np.full(len(words), sigmoid(w[rows.width])))
+            earlier.append(np.full(len(y), sigmoid(w[len(wanted)])))
             continue
-
-        def fit_one(g: int, rows=rows, y=y) -> tuple[np.ndarray, np.ndarray]:
-            """(weights, probabilities of the fold's own rows) of the model that leaves fold g out; of the whole model for g = folds."""
-            on = allowed[g][rows.feature]
-            usable = Rows(rows.at[on], rows.feature[on], rows.value[on], rows.dense, rows.width)
-            rest, own = np.flatnonzero(fold != g), np.flatnonzero(fold == g)
-            mine, usable = usable.some(own), usable.some(rest)
-            w = fit(usable, y[rest], penalty)
-            return w, sigmoid(mine.times(w))
-
-        fitted, unseen = fit_all(fit_one, folds + 1), np.zeros(len(words))
+        fitted, unseen = fit_all(c, y, earlier), np.zeros(len(y))
         for g in range(folds):
             unseen[fold == g] = fitted[g][1]
         weights.append(fitted[folds][0])
         thresholds.append(best_threshold(unseen, y))
-        rows = rows.plus(unseen)
-    for w in weights:
-        w[: len(wanted)] *= scale
+        earlier.append(unseen)
     return Chain(tuple(names), wanted, weights, thresholds)
 
 
-def as_spark_tasks(spark):
-    """A fit_all that fits each model in a task; what they share is the sample of bounded size."""
+def fit_chain(kinds: list[np.ndarray], values: list[np.ndarray], words: np.ndarray, labels: np.ndarray, names, chosen: list[np.ndarray], fold: np.ndarray, penalty: float = 1.0) -> Chain:
+    """A chain from rows at hand. kinds: features of each row; labels: a 0/1 column for each category; chosen: the
+    features of each fold's models, then those of the whole models; fold: the fold of each row."""
+    wanted = np.unique(np.concatenate(chosen))
+
+    def fit_all(c: int, y: np.ndarray, earlier: list[np.ndarray]) -> list:
+        return [fit_one(kinds, values, words, y, fold, earlier, wanted, np.isin(wanted, own), g, penalty) for g, own in enumerate(chosen)]
+
+    return chained(names, wanted, labels, fold, len(chosen) - 1, fit_all)
+
+
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values("id", ignore_index=True)
+
+
+def as_spark_tasks(rows: DataFrame, wanted: np.ndarray, chosen: list[np.ndarray], penalty: float = 1.0):
+    """A fit_all that fits each model in a task of its own, to which the sample's rows are shuffled; weights and probabilities come back."""
+    allowed, models = [np.isin(wanted, own) for own in chosen], len(chosen)
+    dealt = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(models - 1)))).repartitionById(models, "g")
 
-    def fit_all(fit_one, models: int) -> list:
+    def fit_all(c: int, y: np.ndarray, earlier: list[np.ndarray]) -> list:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for g in b["id"]:
-                    w, p = fit_one(int(g))
-                    yield pd.DataFrame({"g": [int(g)], "w": [w], "p": [p]})
+            if held := list(batches):
+                b = in_order(pd.concat(held))
+                g = int(b["g"].iloc[0])
+                w, p = fit_one([np.asarray(k, np.int64) for k in b["kinds"]], [np.asarray(v, float) for v in b["values"]], b["words"].to_numpy(float), y, b["fold"].to_numpy(np.int64), earlier, wanted, allowed[g], g, penalty)
+                yield pd.DataFrame({"g": [g], "w": [w], "p": [p]})
 
-        got = spark.range(0, models, 1, models).mapInPandas(run, "g long, w array<double>, p array<double>").toPandas().sort_values("g")
+        got = dealt.mapInPandas(released(run), "g int, w array<double>, p array<double>").toPandas().sort_values("g")
         return [(np.array(w, float), np.array(p, float)) for w, p in zip(got["w"], got["p"])]
 
     return fit_all
@@ -241,7 +250,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample
 
 
 def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int = 6000, keep: int = 1000, folds: int = 4, id_col: str = "doc_id", text_col: str = "text", **more) -> Chain:
-    """Features of the sample are counted and chosen by Spark; the driver gets the chosen ones of at most `sample` rows."""
+    """Features of the sample are counted and chosen by Spark and stay there; the driver gets ids, folds and labels of at
+    most `sample` rows, the chosen features' numbers, and each model's weights and probabilities."""
     names = [n for n, _ in conditions]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,9 +271,10 @@ def trained(docs: DataFrame, labels: DataFrame, conditions=CHAIN, sample: int =
             b["kinds"], b["values"] = _only(wanted, list(b["kinds"]), list(b["values"]))
             yield b
 
-    got = counted.mapInPandas(narrow, schema).toPandas().sort_values("id", ignore_index=True)
+    rows = stored(counted.mapInPandas(narrow, schema), "narrowed")
+    got = in_order(rows.select("id", "fold", "marks").toPandas())
     marks = np.stack([np.asarray(m, float) for m in got["marks"]]) if len(got) else np.zeros((0, len(names)))
-    return fit_chain([np.asarray(k, np.int64) for k in got["kinds"]], [np.asarray(v, float) for v in got["values"]], got["words"].to_numpy(float), marks, names, chosen, got["fold"].to_numpy(np.int64), fit_all=as_spark_tasks(docs.sparkSession), **more)
+    return chained(names, wanted, marks, got["fold"].to_numpy(np.int64), folds, as_spark_tasks(rows, wanted, chosen, **more))
 
 
 def scored(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 4 << 20) -> DataFrame:
@@ -299,6 +310,6 @@ def scored(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str
 def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic", **more) -> DataFrame:
     """The documents that the chain does not put into `category`, with their columns as they were."""
     model = trained(docs, labels, **more)
-    give_back()  # the driver has held the sample's features
+    give_back()
     out = scored(docs, model)
     return out.where(~F.col(f"is_{category}")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
