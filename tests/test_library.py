@@ -119,6 +119,20 @@ def test_correlation_of_constants_is_null(spark):
     assert d.agg(correlation("a", "b")).first()[0] is None and d.agg(correlation("b", "b")).first()[0] == 1.0
 
 
+@pytest.mark.parametrize("n", range(4))
+def test_a_day_at_the_bound_is_judged_alike_in_any_order(spark, n):
+    def below(values):
+        rows = [("u", "m", datetime.date(2024, 1, 1 + i), v) for i, v in enumerate(values[n:] + values[:n])]
+        points = spark.createDataFrame(rows, "user_id string, metric_type string, date date, day_value double").coalesce(1)
+        return sorted((r.day_value, r.own_mean) for r in daily.below_average_days(points).collect())
+
+    # a double sum of the first four and of the next four is off by a bit in every order, and the bound with it
+    assert below([43.52, 4.26, 25.05, 144.77]) == [(4.26, 54.4), (25.05, 54.4)]  # 43.52 is 0.8 of the mean
+    assert below([38.83, 36.37, 22.38, 96.57]) == [(22.38, 48.54), (36.37, 48.54), (38.83, 48.54)]  # here 0.8 of the mean is a bit above
+    assert below([None, 1e-12, 3e-12, None]) == [(1e-12, 0.0)] and below([2.0**100, 3 * 2.0**100, None, 2.0**101]) == [(2.0**100, 2.0**101)]
+    assert below([float("inf"), 1.0, None, None]) == [(1.0, float("inf"))] and below([None] * 4) == []
+
+
 def test_users_do_not_mix(spark):
     s = registry.samples_of(spark, SF)
     some = s.where("user_id = 1")
